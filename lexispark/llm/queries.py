@@ -13,15 +13,41 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm.dialogues import perspectives
+
+    return perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op7_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm.mixing import mix_report
+
+    return mix_report(documents(spark, sf_dir))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexispark.llm.packing import pack_documents
 
     return pack_documents(documents(spark, sf_dir), tokenizer_file())
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm.personal import personal_report
+
+    return personal_report(documents(spark, sf_dir))
+
+
+def op10_embedding_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm.vectors import vector_components
+
+    return vector_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from lexispark.llm import dialogues
+
+    return {"op2_perspective_rotation": dialogues.SQL}
