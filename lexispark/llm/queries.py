@@ -19,6 +19,19 @@ def op2_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op4_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm.toxicity import fit, scored, train_labels
+
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return scored(docs, fit(docs, train_labels(labels)))
+
+
+def op6_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm.urls import judged
+
+    return judged(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexispark.llm.mixing import mix_report
 
