@@ -66,7 +66,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of the links (a, b), both long, by alternating large-star and small-star steps.
+    """Connected components of the links (a, b), both of one type that can be ordered, by alternating large-star and small-star steps.
 
     Returns (node, component): every node of a link with the smallest node that it reaches. Each round is two
     aggregations and two equi-joins over at most as many links as before, whatever the shape of the graph; the
@@ -87,7 +87,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             .distinct()
         )
         after = stored(small, "links")
-        was, mark = mark, tuple(after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)"))).first())
+        was, mark = mark, tuple(after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v").cast("decimal(38,0)"))).first())
         drop_stored(now)
         now = after
         if mark == was:

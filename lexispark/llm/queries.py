@@ -26,6 +26,12 @@ def op4_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, fit(docs, train_labels(labels)))
 
 
+def op5_bottom_k_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm.near_dups import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir)).drop("tkey")
+
+
 def op6_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexispark.llm.urls import judged
 
@@ -61,6 +67,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from lexispark.llm import dialogues
+    from lexispark.llm import dialogues, near_dups
 
-    return {"op2_perspective_rotation": dialogues.SQL}
+    return {"op2_perspective_rotation": dialogues.SQL, "op5_bottom_k_near_dups": near_dups.SQL}
