@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -15,38 +16,74 @@ from pyspark.sql import Window as W
 
 from lexispark.llm.common import spread, stored, text_of
 
-#: Words whose ids a Python worker keeps; beyond that it starts anew, so that memory is bounded.
-CACHED_WORDS = 300_000
+#: Words, and parts of words, whose ids a Python worker keeps; beyond that it starts anew, so that memory is bounded.
+CACHED_WORDS, CACHED_PARTS = 500_000, 700_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordIds:
-    """Ids of texts as little-endian bytes. The tokenizer never joins what white space parts, so its ids of a text
-    are those of its words in a row; each word is encoded once and kept."""
+    """Ids of texts as little-endian bytes.
+
+    The tokenizer never joins what white space parts, so its ids of a text are those of its words in a row, and a
+    word's ids those of its parts: runs of letters, single digits, runs of other signs. Each part is encoded once and
+    kept, and so is each word; a worker keeps them from task to task."""
+
+    PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
+    of_file: dict[str, WordIds] = {}
 
     def __init__(self, tokenizer_file: str):
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(tokenizer_file), {}
+        self.tokenizer, self.words, self.parts = Tokenizer.from_file(tokenizer_file), {}, {}
         self.tokenizer.encode_special_tokens = True
+        self.split, self.apart = regex.compile(self.PARTS).findall, regex.compile(r"\p{White_Space}+").split
+
+    @classmethod
+    def at(cls, tokenizer_file: str) -> WordIds:
+        if tokenizer_file not in cls.of_file:
+            cls.of_file[tokenizer_file] = cls(tokenizer_file)
+        return cls.of_file[tokenizer_file]
 
     def __call__(self, text: str) -> bytes:
         words = text.split()
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python alone
+            words = [w for w in self.apart(text) if w]
         try:
-            return b"".join(map(self.known.__getitem__, words))
+            return b"".join(map(self.words.__getitem__, words))
         except KeyError:
-            if len(self.known) > CACHED_WORDS:
-                self.known.clear()
-            new = list({w for w in words if w not in self.known})
-            for at in range(0, len(new), 4096):
-                some = new[at : at + 4096]
-                for word, found in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                    self.known[word] = b"".join(i.to_bytes(4, "little") for i in found.ids)
-            return b"".join(map(self.known.__getitem__, words))
+            if len(self.words) > CACHED_WORDS:
+                self.words.clear()
+            self.learn([*{w for w in words if w not in self.words}])
+            return b"".join(map(self.words.__getitem__, words))
+
+    def learn(self, words: list[str]) -> None:
+        if len(self.parts) > CACHED_PARTS:
+            self.parts.clear()
+        plain = self.tokenizer.normalizer.normalize_str(" ".join(words)).split(" ")
+        split = [self.split(w) for w in plain]
+        new = [*{p for parts in split for p in parts if p not in self.parts}]
+        if new:
+            found = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
+            ids, owner = found.ids, found.word_ids
+            starts = [i for i in range(len(ids)) if not i or owner[i] != owner[i - 1]]
+            if len(plain) != len(words) or len(starts) != len(new):
+                for w in words:  # a sign that this split is not the tokenizer's: word by word, then
+                    self.words[w] = _bytes(self.tokenizer.encode(w, add_special_tokens=False).ids)
+                return
+            for part, start, end in zip(new, starts, [*starts[1:], len(ids)]):
+                self.parts[part] = _bytes(ids[start:end])
+        known = self.parts.__getitem__
+        for word, parts in zip(words, split):
+            self.words[word] = b"".join(map(known, parts))
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def _tokenize(batches: Iterator[pa.RecordBatch], tokenizer_file: str, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
-    ids_of, end, step = WordIds(tokenizer_file), end_id.to_bytes(4, "little"), 4 * capacity
+    ids_of, end, step = WordIds.at(tokenizer_file), end_id.to_bytes(4, "little"), 4 * capacity
     for batch in batches:
         out = [[], [], [], [], []]
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
