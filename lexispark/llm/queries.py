@@ -13,6 +13,12 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm.repeats import repeat_report
+
+    return repeat_report(documents(spark, sf_dir))
+
+
 def op2_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexispark.llm.dialogues import perspectives
 
@@ -67,6 +73,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from lexispark.llm import dialogues, near_dups
+    from lexispark.llm import dialogues, near_dups, repeats
 
-    return {"op2_perspective_rotation": dialogues.SQL, "op5_bottom_k_near_dups": near_dups.SQL}
+    return {"op1_suffix_array_dedup": repeats.SQL, "op2_perspective_rotation": dialogues.SQL, "op5_bottom_k_near_dups": near_dups.SQL}
