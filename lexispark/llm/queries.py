@@ -25,6 +25,12 @@ def op2_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op3_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm.fingerprints import fingerprint_report
+
+    return fingerprint_report(documents(spark, sf_dir))
+
+
 def op4_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexispark.llm.toxicity import fit, scored, train_labels
 
