@@ -1,13 +1,56 @@
-"""Corpus pipeline: toxicity, near-duplicates, personal data, mixing and packing over documents."""
+"""Corpus pipeline over `documents`: toxicity, near-duplicates, personal data, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns the columns of
+documents; the last returns packed pieces. run() writes no files of its own but those of the operators."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from lexispark.llm.common import stored
+from lexispark.llm.mixing import mix_rows
+from lexispark.llm.near_dups import without_near_duplicates
+from lexispark.llm.packing import pack_documents
+from lexispark.llm.personal import redacted
+from lexispark.llm.queries import tokenizer_file
+from lexispark.llm.toxicity import fit, train_labels, without_toxic
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the lexicon, learned from the labels that are not held out, does not reject."""
+    labels = train_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return without_toxic(docs, fit(docs, labels))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least doc_id, of each group of near-duplicates."""
+    return without_near_duplicates(docs)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by the names of their kinds."""
+    return redacted(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, in training order."""
+    return mix_rows(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows as pieces of sequences of at most 4096 tokens."""
+    return pack_documents(docs, tokenizer_file())
+
+
+STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("personal_data", redact_personal_data), ("mixing", mix_sources), ("packing", pack)]
+
+#: The lexicon is learned, components are found step by step, and the tokenizer is a library: no SQL for that.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order over `documents`, each one's result written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
