@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from lexispark.plans import queries_models, queries_relational, queries_structured, queries_text  # noqa: F401
+from lexispark.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
