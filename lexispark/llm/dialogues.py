@@ -14,7 +14,7 @@ def perspectives(turns: DataFrame, turns_a_bucket: int = 1000, speaker: str = "r
 
     `place` counts the turns from 0 by (turn, speaker, text). A turn is rendered as `<|role name|>\\ntext<|end|>\\n`;
     the rendered dialogue is these strings in order, char_start and char_end are a turn's code points in it. `trained`
-    is 1 for the viewer's own turns, whose text and end mark are mask_start to mask_end; the others' are null. A null
+    is 1 for the viewer's own turns, whose text and end mark are mask_start to mask_end; the others' are empty, at their start. A null
     speaker is called `unknown`, a null text is empty, a null turn comes first, a null conv_id is a dialogue of its
     own; equal rows stay separate turns; other columns are ignored; no rows give no rows."""
     t = turns.select(
@@ -42,7 +42,7 @@ def perspectives(turns: DataFrame, turns_a_bucket: int = 1000, speaker: str = "r
         "conv_id", "viewer", "turn", (F.col("bc") + F.col("at")).cast("long").alias("place"),
         F.when(own, F.lit("assistant")).otherwise(F.lit("user")).alias("rendered_role"), F.when(~own, F.col("speaker")).alias("name"),
         "rendered", own.cast("int").alias("trained"), (end - F.col("n")).cast("long").alias("char_start"), end.cast("long").alias("char_end"),
-        F.when(own, end - F.col("n") + F.length("head")).cast("long").alias("mask_start"), F.when(own, end - 1).cast("long").alias("mask_end"),
+        F.when(own, end - F.col("n") + F.length("head")).otherwise(end - F.col("n")).cast("long").alias("mask_start"), F.when(own, end - 1).otherwise(end - F.col("n")).cast("long").alias("mask_end"),
     )
 
 
@@ -70,7 +70,7 @@ p AS (SELECT *, length(rendered) AS n, row_number() OVER w - 1 AS place,
 SELECT conv_id, viewer, turn, place, CASE WHEN speaker = viewer THEN 'assistant' ELSE 'user' END AS rendered_role,
   CASE WHEN speaker <> viewer THEN speaker END AS name, rendered, CAST(speaker = viewer AS INTEGER) AS trained,
   CAST(fin - n AS BIGINT) AS char_start, CAST(fin AS BIGINT) AS char_end,
-  CAST(CASE WHEN speaker = viewer THEN fin - n + length(head) END AS BIGINT) AS mask_start,
-  CAST(CASE WHEN speaker = viewer THEN fin - 1 END AS BIGINT) AS mask_end
+  CAST(CASE WHEN speaker = viewer THEN fin - n + length(head) ELSE fin - n END AS BIGINT) AS mask_start,
+  CAST(CASE WHEN speaker = viewer THEN fin - 1 ELSE fin - n END AS BIGINT) AS mask_end
 FROM p
 """
