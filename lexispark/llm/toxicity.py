@@ -17,6 +17,8 @@ from lexispark.llm.common import spread, stored, text_of
 
 #: Labelled documents that the lexicon and its scale are learned from, at most; the lowest hashes of doc_id.
 LABELLED = 40_000
+#: The least part of a word's clean uses that a phrase must make up to be an exception.
+PHRASE = 0.2
 # Letters that look like Latin ones, and digits and signs that stand for letters. l and i fold together,
 # as 1 stands for either.
 HOMOGLYPHS = "аaеeоoрpсcуyхxіiјjѕsԁdԛqԝwһhαaοoνvρpτtυuιiκkɡgıi"
@@ -147,8 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED, support: int =
     """Learn the lexicon from at most `most` labelled documents (columns doc_id, toxic of `labels`).
 
     Two thirds give the words: a word's weight is a cautious log odds ratio of the toxic to the clean texts that have
-    it, of the toxic ones no more than the contexts it has there, so that copies of one text count once. Phrases of a word with a neighbour that occur
-    in clean texts and never in toxic ones become exceptions, whose clean finds no longer count against the word. The
+    it, of the toxic ones no more than the contexts it has there, so that copies of one text count once. Phrases of a word with a neighbour that make up a
+    good part of its clean uses and none of its toxic ones become exceptions, which no longer count against the word. The
     last third sets the curve from strength to score. No labels or texts: an empty lexicon and low scores."""
     wanted = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     wanted = wanted.orderBy(F.xxhash64("l_id"), "l_id").limit(most)
@@ -164,16 +166,18 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED, support: int =
     of = lambda kind, x: F.coalesce(F.sum(F.when(F.col("kind") == kind, x)), F.lit(0))
     counts = counts.groupBy("word").agg(of(0, F.col("n")).alias("n0"), F.least(of(1, F.col("n")), of(2, F.lit(1))).alias("n1")).where(F.col("n1") >= support)
     # far more frequent in toxic texts than in clean ones, before exceptions are known
-    counts = counts.where((F.col("n1") + 0.5) / (all1 + 1) > 4 * (F.col("n0") + 0.5) / (all0 + 1))
+    counts = counts.where((F.col("n1") + 0.5) / (all1 + 1) > 2 * (F.col("n0") + 0.5) / (all0 + 1))
     found = {r.word: (r.n1, r.n0) for r in counts.collect()}
     mixed = {w for w, (_, n0) in found.items() if n0}
     exceptions, spared = set(), Counter()
     if mixed:
         ph = learn.mapInArrow(partial(_phrases, words=mixed), "phrase string, toxic int").groupBy("phrase").agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0"))
+        # a phrase that makes up a good part of a word's clean uses, and no toxic one
         for r in ph.where((F.col("n1") == 0) & (F.col("n0") >= support)).collect():
-            exceptions.add(r.phrase)
             for w in set(r.phrase.split(" ")) & mixed:
-                spared[w] += r.n0
+                if r.n0 >= PHRASE * found[w][1]:
+                    exceptions.add(r.phrase)
+                    spared[w] = max(spared[w], r.n0)
     weights = {w: _weight(n1, max(0, n0 - spared[w]), all1, all0) for w, (n1, n0) in found.items()}
     lexicon = Lexicon({w: x for w, x in weights.items() if x >= least_weight and len(w) > 1}, exceptions)
     scored = check.mapInArrow(partial(_strengths, lexicon=lexicon), "strength double, toxic int").toPandas()
