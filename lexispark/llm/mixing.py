@@ -81,7 +81,9 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.
     rows = docs.count()
     buckets = 1 + rows // rows_a_bucket
     own = docs.withColumn("m_hash", F.xxhash64(F.lit(7), "doc_id", "key"))
-    own = own.withColumn("m_bucket", F.pmod(F.shiftright("m_hash", 20), F.lit(buckets)))
+    # ranges of the hash, so that their number does not change the order
+    place = F.floor((F.col("m_hash").cast("double") / 2.0**64 + 0.5) * buckets).cast("long")
+    own = own.withColumn("m_bucket", F.least(F.lit(buckets - 1), place))
     sums = own.groupBy("source", "m_bucket").agg(F.sum("size").alias("m_n"))
     sums = sums.withColumn("m_before", F.sum("m_n").over(W.partitionBy("source").orderBy("m_bucket")) - F.col("m_n")).drop("m_n")
     s, t = sums.alias("s"), targets.alias("t")
