@@ -79,6 +79,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from lexispark.llm import dialogues, near_dups, repeats
+    from lexispark.llm import dialogues, near_dups, repeats, vectors
 
-    return {"op1_suffix_array_dedup": repeats.SQL, "op2_perspective_rotation": dialogues.SQL, "op5_bottom_k_near_dups": near_dups.SQL}
+    return {"op1_suffix_array_dedup": repeats.SQL, "op2_perspective_rotation": dialogues.SQL, "op5_bottom_k_near_dups": near_dups.SQL, "op10_embedding_range_join": vectors.SQL}

@@ -155,7 +155,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED, support: int =
     wanted = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     wanted = wanted.orderBy(F.xxhash64("l_id"), "l_id").limit(most)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    rows = stored(d.join(wanted, F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "toxic").repartition(d.sparkSession.sparkContext.defaultParallelism), "labelled")
+    # at most `most` pairs of numbers, so that the texts need not be dealt out
+    rows = stored(d.join(F.broadcast(wanted), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "toxic").repartition(d.sparkSession.sparkContext.defaultParallelism), "labelled")
     part = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(3))
     learn, check = rows.where(part != 0).select("text", "toxic"), rows.where(part == 0).select("text", "toxic")
     totals = learn.agg(F.sum("toxic").alias("n1"), F.count("*").alias("n")).first()

@@ -174,3 +174,15 @@ def vector_components(vectors: DataFrame, cosine: float = 0.95, a_cell: int = 81
     out = once.select("vec_id").join(full, F.col("vec_id") == F.col("f_id"), "left")
     component = F.coalesce("c", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+
+
+#: The rows of vector_components() over `embeddings`, by all pairs.
+SQL = """
+WITH RECURSIVE u AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+w AS (SELECT * FROM u WHERE n > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM w a JOIN w b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.95),
+r AS (SELECT a AS node, b AS seen FROM l UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.seen),
+m AS (SELECT node, least(node, min(seen)) AS comp FROM r GROUP BY 1),
+d AS (SELECT a, count(*) AS k FROM l GROUP BY 1)
+SELECT vec_id, coalesce(k, 0) AS n_links, coalesce(comp, vec_id) AS component_id, coalesce(comp, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN m ON node = vec_id LEFT JOIN d ON a = vec_id
+"""
