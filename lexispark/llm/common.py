@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from lexispark.session import shared_dir
 
 #: A word is a run of what is not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Links that one task unites.
+AT_ONCE = 300_000
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -65,15 +69,40 @@ def spread(df: DataFrame) -> DataFrame:
     return df if len(df.inputFiles()) >= n else df.repartition(n)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of the links (a, b), both of one type that can be ordered, by alternating large-star and small-star steps.
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    up: dict = {}
 
-    Returns (node, component): every node of a link with the smallest node that it reaches. Each round is two
-    aggregations and two equi-joins over at most as many links as before, whatever the shape of the graph; the
+    def root(x):
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    kind = None
+    for b in batches:
+        kind = b.column(0).type
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            a, z = root(u), root(v)
+            if a != z:
+                up[max(a, z)] = min(a, z)
+    if kind is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), kind), pa.array([root(x) for x in up], kind)], names=["node", "component"])
+
+
+def components(edges: DataFrame, rounds: int = 60, at_once: int | None = None) -> DataFrame:
+    """Connected components of the links (a, b), both of one type that can be ordered.
+
+    Returns (node, component): every node of a link with the smallest node that it reaches; no link, no row. Up to
+    `at_once` links, counted first, are united in one task on an executor, some tens of megabytes; the rounds of the
+    general way would cost more than that. More links take alternating large-star and small-star steps: each round is
+    two aggregations and two equi-joins over at most as many links as before, whatever the shape of the graph; the
     neighbours of one node are never brought together in one place, and joins on hot nodes are split by adaptive
-    execution. Each round is written to the shared folder. No link: no row."""
+    execution. Each round is written to the shared folder."""
     two = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
-    now, mark = stored(two, "links"), None
+    two = stored(two, "links")
+    if two.count() <= (AT_ONCE if at_once is None else at_once):
+        kind = two.schema["u"].dataType.simpleString()
+        return two.coalesce(1).mapInArrow(_united, f"node {kind}, component {kind}")
+    now, mark = two, None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))

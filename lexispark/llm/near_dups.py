@@ -18,8 +18,8 @@ from lexispark.llm.common import components, drop_stored, spread, stored, text_o
 KEPT, SHARED = 64, 32
 #: The smallest values of a sketch, one of which such texts share but for 1e-13 of them.
 FIRST = 16
-#: Longer lists give pairs with a few chosen members first, all others later.
-LONG = 64
+#: Members of longer lists are crowded: they are dealt with by their whole sets.
+LONG = 16
 _WORDS = 400_000
 _STEPS = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 1, 2**64) for i in range(5)], dtype=np.uint64)
 
@@ -116,65 +116,106 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return full.mapInArrow(partial(_confirm, percent=percent), "a binary, b binary")
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [shingles(t.as_py()) for t in b.column(1)]
+        ends = np.cumsum([0, *map(len, sets)])
+        values = pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64), pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=["mark", "n", "found"])
+
+
+def _listed(values: DataFrame, size: Column, need: Column) -> DataFrame:
+    """Lists (value, mark, n, pos) of marks by their values that stand first in order of frequency: all but need - 1
+    of `size`. Two marks that share `need` values share one of these. Values of one mark alone come first in that
+    order and need no list; pos counts them."""
+    often = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    per = values.join(often, "value").groupBy("mark", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("seen"))
+    alone = size - F.size("seen")
+    per = per.where(F.size("seen") >= need).withColumn("alone", alone).select("mark", "n", "alone", F.posexplode(F.slice("seen", F.lit(1), F.greatest(F.lit(0), F.size("seen") - need + 1))).alias("pos", "s"))
+    return per.select("s.value", "mark", "n", "alone", (F.col("alone") + F.col("pos")).alias("pos"))
+
+
+def _room(a: str, b: str, percent: int) -> Column:
+    """Whether two sets whose first common value stands at these places can still be similar enough."""
+    rest = F.least(F.col(f"{a}.n") - F.col(f"{a}.pos"), F.col(f"{b}.n") - F.col(f"{b}.pos"))
+    return (100 + percent) * rest >= percent * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
+def _all_pairs(lists: DataFrame, percent: int, ranked: bool) -> DataFrame:
+    x, y = lists.alias("x"), lists.alias("y")
+    on = (F.col("x.value") == F.col("y.value")) & (F.col("x.mark") < F.col("y.mark")) & _fits(F.col("x.n"), F.col("y.n"), percent)
+    on = on & _room("x", "y", percent) if ranked else on
+    return x.join(y, on).select(F.col("x.mark").alias("a"), F.col("y.mark").alias("b"))
+
+
+def _lead_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Each member of a list with the lead of its size class and of those beside it: the member with the fewest values
+    of its own, which is the likest to the others. Size classes are as wide as the similarity allows, so that all
+    partners of a member are in these."""
+    own = lists.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)))))
+    leads = own.groupBy("value", "class").agg(F.min(F.struct("alone", "n", "mark")).alias("l")).select("value", "class", F.col("l.mark").alias("lead"), F.col("l.n").alias("l_n"))
+    near = own.withColumn("class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1))).join(leads, ["value", "class"])
+    near = near.where((F.col("mark") != F.col("lead")) & _fits(F.col("n"), F.col("l_n"), percent))
+    return near.select(F.least("mark", "lead").alias("a"), F.greatest("mark", "lead").alias("b"))
+
+
 def linked(docs: DataFrame, rows: DataFrame, percent: int = 85) -> DataFrame:
     """Links (a, b) between marks of `rows`, from sketches(docs), that connect every two marks whose sets are
     percent % similar, directly or by way of others; each is confirmed on the whole sets.
 
     Lists hold the marks that retain a value. Of its sketch a mark enters only its rarest values: two sketches that
     share SHARED values share one of their KEPT - SHARED + 1 rarest, so lists of frequent passages are seldom used,
-    and values that no other mark retains need no list. Lists up to LONG give all pairs of fitting sizes. Of longer
-    ones all members are paired with the least of each size class, then, where the list is not connected by now, the
-    members of different components with each other."""
+    and values that no other mark retains need no list. Lists up to LONG give all pairs of fitting sizes.
+
+    Members of longer ones go by their whole sets instead: there, similar marks share one of the rarest (100 - percent)
+    % of their values, without slack. Where a list is still long, its members are much alike: each is paired with the
+    likest of its size class, then, if that leaves the list unconnected, those of different components with each other."""
     has = rows.where(F.col("mark").isNotNull())
     first = has.select("mark", F.explode(F.slice("sketch", 1, FIRST)).alias("value"))
     shared = first.groupBy("value").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high").select("value")
     alive = first.join(shared, "value", "left_semi").select("mark").distinct()
     marks = has.join(alive, "mark", "left_semi").groupBy("mark").agg(F.min(F.struct("doc_id", "tkey", "n", "sketch")).alias("r"))
     marks = stored(marks.select("mark", "r.doc_id", "r.tkey", "r.n", "r.sketch"), "marks")
-    values = marks.select("mark", "n", F.explode("sketch").alias("value"))
-    often = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    per = values.join(often, "value").groupBy("mark", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("seen"))
     size = F.least(F.col("n"), F.lit(KEPT)).cast("int")
-    need = _least_shared(F.col("n"), percent)
-    use = F.greatest(F.lit(0), F.size("seen") - need + 1)  # the size - need + 1 rarest, less those of one mark alone
-    per = per.where(F.size("seen") >= need).select("mark", "n", F.explode(F.slice("seen", F.lit(1), use)).alias("s")).select("mark", "n", "s.value")
-    lists = stored(per, "lists")
+    lists = stored(_listed(marks.select("mark", "n", F.explode("sketch").alias("value")), size, _least_shared(F.col("n"), percent)), "lists")
     lengths = lists.groupBy("value").agg(F.count("*").alias("m")).where("m > 1")
-    sized = lists.join(lengths, "value")
-    x, y = sized.where(f"m <= {LONG}").alias("x"), sized.where(f"m <= {LONG}").alias("y")
-    close = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.mark") < F.col("y.mark")) & _fits(F.col("x.n"), F.col("y.n"), percent)).select(F.col("x.mark").alias("a"), F.col("y.mark").alias("b"))
-    # size classes as wide as the similarity allows, so that a mark's partners are in its own or a neighbouring one
-    long = sized.where(f"m > {LONG}").withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)))))
-    leads = long.groupBy("value", "class").agg(F.min(F.struct("n", "mark")).alias("l")).select("value", "class", F.col("l.mark").alias("lead"), F.col("l.n").alias("l_n"))
-    near = long.withColumn("class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1))).join(leads, ["value", "class"])
-    near = near.where((F.col("mark") != F.col("lead")) & _fits(F.col("n"), F.col("l_n"), percent)).select(F.least("mark", "lead").alias("a"), F.greatest("mark", "lead").alias("b"))
-    pairs = stored(_estimated(close.unionByName(near).distinct(), marks, percent), "pairs")
-    texts = _texts(docs, marks, pairs)
+    sized = stored(lists.join(lengths, "value"), "lists")
+    drop_stored(lists)
+    texts = _texts(docs, marks, sized.select("mark").distinct())
+    pairs = _all_pairs(sized.where(F.col("m") <= LONG), percent, False)
+    long = None
+    crowd = sized.where(F.col("m") > LONG).select("mark").distinct()
+    if not crowd.isEmpty():
+        sets = stored(texts.join(crowd, "mark", "left_semi").mapInArrow(_sets, "mark binary, n long, found array<long>"), "sets")
+        own = _listed(sets.select("mark", "n", F.explode("found").alias("value")), F.col("n").cast("int"), F.ceil(F.col("n") * percent / 100).cast("int"))
+        own = stored(own, "lists")
+        sizes = own.groupBy("value").agg(F.count("*").alias("m")).where("m > 1")
+        own = stored(own.join(sizes, "value"), "lists")
+        long = own.where(F.col("m") > LONG)
+        pairs = pairs.unionByName(_all_pairs(own.where(F.col("m") <= LONG), percent, True)).unionByName(_lead_pairs(long, percent))
+    pairs = stored(_estimated(pairs.distinct(), marks, percent), "pairs")
     # Links that are surely enough first: each mark with its likeliest partner. Others only across what these connect.
     best = pairs.select(F.col("a").alias("m"), "a", "b", "estimate").unionByName(pairs.select(F.col("b").alias("m"), "a", "b", "estimate"))
     best = best.groupBy("m").agg(F.max(F.struct("estimate", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
     links = stored(_confirmed(best, texts, percent), "links")
     label = stored(components(links), "labels")
     rest = _across(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), label)
-    more = stored(_confirmed(rest, texts, percent), "links")
-    links = links.unionByName(more)
-    if not long.isEmpty():
+    links = links.unionByName(stored(_confirmed(rest, texts, percent), "links"))
+    if long is not None and not long.isEmpty():
         label = stored(components(links), "labels")
-        named = stored(_labelled(long.select("value", "mark", "n"), "mark", label, "label"), "long")
+        named = stored(_labelled(long.select("value", "mark", "n", "pos"), "mark", label, "label"), "long")
         open_lists = named.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("value")
-        u = named.join(open_lists, "value", "left_semi")
-        v = u.alias("v")
-        u = u.alias("u")
-        far = u.join(v, (F.col("u.value") == F.col("v.value")) & (F.col("u.label") < F.col("v.label")) & _fits(F.col("u.n"), F.col("v.n"), percent))
-        far = far.select(F.least("u.mark", "v.mark").alias("a"), F.greatest("u.mark", "v.mark").alias("b")).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-        far = stored(_estimated(far, marks, percent), "pairs")
-        links = links.unionByName(stored(_confirmed(far, _texts(docs, marks, far), percent), "links"))
+        x = named.join(open_lists, "value", "left_semi")
+        y = x.alias("y")
+        x = x.alias("x")
+        far = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.label") < F.col("y.label")) & _fits(F.col("x.n"), F.col("y.n"), percent) & _room("x", "y", percent))
+        far = far.select(F.least("x.mark", "y.mark").alias("a"), F.greatest("x.mark", "y.mark").alias("b")).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+        links = links.unionByName(stored(_confirmed(_estimated(far, marks, percent), texts, percent), "links"))
     return links
 
 
-def _texts(docs: DataFrame, marks: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(mark, text) of one document for each mark in pairs."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct()
+def _texts(docs: DataFrame, marks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(mark, text) of one document for each mark that is wanted."""
     where = marks.join(wanted, "mark", "left_semi").select("mark", F.col("doc_id").alias("w_doc"), F.col("tkey").alias("w_key"))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("tkey"), text_of().alias("text"))
     d = d.join(where, F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("tkey") == F.col("w_key")))
