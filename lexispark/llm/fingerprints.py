@@ -20,6 +20,7 @@ SAMPLES = 128
 #: Terms with their weight whose samples a worker works out at once; and terms whose random draws it keeps.
 _AT_ONCE, _KEEP = 2048, 120_000
 _u = np.uint64
+_EACH = np.arange(SAMPLES)
 
 
 def _draws(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -42,64 +43,71 @@ def _draws(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return r, np.log(c), uniform(((one & _u(0xFFFF)) << _u(8)) | (two & _u(0xFF)))
 
 
+def terms(text: str) -> Counter[str]:
+    """A text's terms: its words in lower case, with how often they occur."""
+    return Counter(text.lower().split())
+
+
 def weights(text: str) -> dict[str, float]:
-    """A text's terms, its words in lower case, each weighted by how many of the text's characters it makes up."""
-    return {w: float(n * len(w)) for w, n in Counter(text.lower().split()).items()}
+    """The weight of each term: how many of the text's characters it makes up."""
+    return {w: float(n * len(w)) for w, n in terms(text).items()}
 
 
 class Sampler:
     """Samples of weighted term sets. Of term t with weight w, sample k is the level floor(ln w / r + beta) and the key
     ln c - r * (level - beta) - r; the set's sample is the least key's (term, level). Equal samples have the likelihood
-    of the generalised Jaccard similarity. A level moves by whole steps as a weight grows, so a (term, weight) is worked
-    out once and kept."""
+    of the generalised Jaccard similarity. A term of one weight always has the same samples, so they are worked out once and
+    kept."""
 
     def __init__(self):
-        self.place: dict[tuple[str, float], int] = {}
+        self.place: dict[tuple[str, int], int] = {}
         self.keys = np.zeros((0, SAMPLES), np.float32)
         self.marks = np.zeros((0, SAMPLES), np.uint16)
         self.size = 0
 
-    def _learn(self, new: list[tuple[str, float]]) -> None:
+    def _learn(self, new: list[tuple[str, int]]) -> None:
         while self.size + len(new) > len(self.keys):
             grow = max(_AT_ONCE, len(self.keys))
             self.keys = np.concatenate([self.keys, np.zeros((grow, SAMPLES), np.float32)])
             self.marks = np.concatenate([self.marks, np.zeros((grow, SAMPLES), np.uint16)])
         for at in range(0, len(new), _AT_ONCE):
             some = new[at : at + _AT_ONCE]
-            terms = np.array([xxhash.xxh64_intdigest(t) for t, _ in some], dtype=np.uint64)
-            r, c, beta = _draws(terms)
-            level = np.floor(np.log(np.array([w for _, w in some], np.float32))[:, None] / r + beta)
+            hashes = np.array([xxhash.xxh64_intdigest(t) for t, _ in some], dtype=np.uint64)
+            r, c, beta = _draws(hashes)
+            level = np.floor(np.log(np.array([n * len(t) for t, n in some], np.float32))[:, None] / r + beta)
             a, z = self.size, self.size + len(some)
             self.keys[a:z] = c - r * (level - beta) - r
             with np.errstate(over="ignore"):
-                mark = (terms[:, None] ^ (level.astype(np.int64).astype(np.uint64) * _u(0x9E3779B97F4A7C15))) * _u(0xBF58476D1CE4E5B9)
+                mark = (hashes[:, None] ^ (level.astype(np.int64).astype(np.uint64) * _u(0x9E3779B97F4A7C15))) * _u(0xBF58476D1CE4E5B9)
             self.marks[a:z] = (mark >> _u(48)).astype(np.uint16)
             self.place.update(zip(some, range(a, z)))
             self.size = z
 
-    def __call__(self, terms: dict[str, float]) -> np.ndarray:
-        """SAMPLES marks of 16 bits; all 0 for no terms."""
-        if not terms:
-            return np.zeros(SAMPLES, np.uint16)
-        best = np.full(SAMPLES, np.inf, np.float32)
+    def __call__(self, found: Counter[str]) -> np.ndarray:
+        """SAMPLES marks of 16 bits for terms and how often they occur; all 0 for no terms."""
         out = np.zeros(SAMPLES, np.uint16)
-        items = sorted(terms.items())
-        for begin in range(0, len(items), _KEEP // 2):
-            some = items[begin : begin + _KEEP // 2]
-            new = [x for x in some if x not in self.place]
-            if self.size + len(new) > _KEEP:
-                self.place.clear()
-                self.size, new = 0, some
-            if new:
+        if not found:
+            return out
+        best = np.full(SAMPLES, np.inf, np.float32)
+        every = list(found.items())
+        for begin in range(0, len(every), _KEEP // 2):
+            some = every[begin : begin + _KEEP // 2]
+            at = list(map(self.place.get, some))
+            if None in at:
+                new = [x for x, i in zip(some, at) if i is None]
+                if self.size + len(new) > _KEEP:
+                    self.place.clear()
+                    self.size, new = 0, some
                 self._learn(new)
-            at = np.fromiter((self.place[x] for x in some), np.int64, len(some))
+                at = list(map(self.place.__getitem__, some))
+            at = np.array(at)
             for s in range(0, len(at), 1024):
                 key = self.keys[at[s : s + 1024]]
                 least = key.argmin(axis=0)
-                value = key[least, np.arange(SAMPLES)]
-                better = value < best
+                value = key[least, _EACH]
+                better = np.nonzero(value < best)[0]
                 best[better] = value[better]
-                out[better] = self.marks[at[s : s + 1024][least[better]], np.nonzero(better)[0]]
+                out[better] = self.marks[at[s : s + 1024][least[better]], better]
         return out
 
 
@@ -109,7 +117,7 @@ def _sampler() -> Sampler:
 
 
 def fingerprint(text: str) -> np.ndarray:
-    return _sampler()(weights(text))
+    return _sampler()(terms(text))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
