@@ -9,6 +9,7 @@ and bucket. Nothing grows with the number of copies of a text but the number of
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 from functools import partial
@@ -38,11 +39,16 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def _gram_hashes(flat: np.ndarray) -> np.ndarray:
     """The hash of the GRAM bytes from each place on; GRAM is a power of 2."""
-    h, step, n = flat.astype(np.uint64) + _u(1), _BASE, 1
+    h, step, n = flat.astype(np.uint64), _BASE, 1
+    h += _u(1)
     while n < GRAM:
-        h = h[:-n] * _u(step) + h[n:]
-        step, n = step * step % 2**64, 2 * n
-    return _mixed(h)
+        longer = h[:-n] * _u(step)
+        longer += h[n:]
+        h, step, n = longer, step * step % 2**64, 2 * n
+    h ^= h >> _u(29)
+    h *= _u(0xBF58476D1CE4E5B9)
+    h ^= h >> _u(32)
+    return h
 
 
 def _window_least(h: np.ndarray, width: int) -> np.ndarray:
@@ -53,43 +59,46 @@ def _window_least(h: np.ndarray, width: int) -> np.ndarray:
 
 
 class Segments:
-    """The segments of a chunk: document (its place), start in the chunk's bytes, length, key, and a hash of the text."""
+    """The segments of a chunk: document (its place), start in the chunk's bytes, length, key, and, if asked for, a
+    hash of the text."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], hashed: bool = True):
         self.flat = np.frombuffer(b"".join(texts), dtype=np.uint8)
         lengths = np.array([len(t) for t in texts], dtype=np.int64)
         self.ends = np.cumsum(lengths)
         self.starts = self.ends - lengths
-        found = [self._part(at, min(at + CHUNK, len(self.flat) - MIN + 1)) for at in range(0, max(0, len(self.flat) - MIN + 1), CHUNK)]
+        found = [self._part(at, min(at + CHUNK, len(self.flat) - MIN + 1), hashed) for at in range(0, max(0, len(self.flat) - MIN + 1), CHUNK)]
         self.doc, self.start, self.length, self.key, self.hash = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, t) for i, t in enumerate((np.int64, np.int64, np.int64, np.uint64, np.uint64)))
 
-    def _part(self, begin: int, end: int) -> tuple[np.ndarray, ...]:
+    def _part(self, begin: int, end: int, hashed: bool) -> tuple[np.ndarray, ...]:
         """Of the strings that start from begin to end; long texts go part by part, so that memory is bounded."""
-        flat = self.flat[begin : end + MIN - 1]
         with np.errstate(over="ignore"):
-            grams = _gram_hashes(flat)
+            grams = _gram_hashes(self.flat[begin : end + MIN - 1])
             key = _window_least(grams, MIN - GRAM + 1)
-            place = np.arange(begin, end)
-            doc = np.searchsorted(self.ends, place, side="right")
-            whole = place + MIN <= self.ends[doc]
+            # a run starts where the key changes, and with a document; none spans two
             new = np.ones(len(key), dtype=bool)
-            new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | ~whole[:-1]
-            first = np.nonzero(new & whole)[0]
-            if not len(first):
-                return first, first, first, key[:0], key[:0]
-            # the run ends where the next begins, or at its document's last whole string
-            last = np.append(np.nonzero(new)[0], len(key))
-            n = np.minimum(last[np.searchsorted(last, first, side="right")], self.ends[doc[first]] - MIN + 1 - begin) - first
+            np.not_equal(key[1:], key[:-1], out=new[1:])
+            opens = self.starts[(self.starts > begin) & (self.starts < end)] - begin
+            new[opens] = True
+            first = np.nonzero(new)[0]
+            n = np.diff(np.append(first, len(key)))
+            doc = np.searchsorted(self.ends, first + begin, side="right")
+            n = np.minimum(n, self.ends[doc] - MIN + 1 - begin - first)  # strings that end in the document
+            first, doc, n = first[n > 0], doc[n > 0], n[n > 0]
             pieces = -(-n // LONGEST)
-            turn = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            start = np.repeat(first, pieces) + turn * LONGEST
-            n = np.minimum(np.repeat(n, pieces) - turn * LONGEST, LONGEST)
-            powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(grams), _BASE, np.uint64)]))
-            back = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(grams), pow(_BASE, -1, 2**64), np.uint64)]))
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(grams * powers[:-1], dtype=np.uint64)])
-            upto = start + n + MIN - GRAM
-            text = _mixed((sums[upto] - sums[start]) * back[start] + n.astype(np.uint64))
-        return doc[start], start + begin, n + MIN - 1, key[start], text
+            if pieces.max(initial=0) > 1:
+                turn = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                first, doc = np.repeat(first, pieces) + turn * LONGEST, np.repeat(doc, pieces)
+                n = np.minimum(np.repeat(n, pieces) - turn * LONGEST, LONGEST)
+            length = n + MIN - 1
+            text = np.zeros(0, np.uint64)
+            if hashed:  # over grams that cover the text without gaps; the last ones may overlap
+                text = _mixed(length.astype(np.uint64))
+                for k in range(0, MIN - 1 + LONGEST, GRAM):
+                    text = text * _u(_BASE) + grams[first + np.minimum(k, length - GRAM)]
+                    text ^= text >> _u(31)
+                text = _mixed(text)
+            return doc, first + begin, length, key[first], text
 
 
 def _cut(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -177,7 +186,7 @@ def _send_keys(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.R
     for b in batches:
         table = pa.Table.from_batches([b])
         for row in range(b.num_rows):
-            key, twice, bucket = _key_sets(Segments(_texts(table, row)[1]), buckets)
+            key, twice, bucket = _key_sets(Segments(_texts(table, row)[1], hashed=False), buckets)
             at = np.searchsorted(bucket, np.arange(buckets + 1))
             use = np.nonzero(at[1:] > at[:-1])[0]
             yield pa.RecordBatch.from_arrays(
@@ -224,10 +233,11 @@ def _send_segments(chunk: pa.Table, bits: pa.Table, buckets: int) -> pa.Table:
     if not len(use):
         return schema.empty_table()
     # each text once, with the least document that has it
-    own = ids[seg.doc[use]]
-    use = use[np.lexsort((own, seg.hash[use], seg.key[use]))]
+    if np.any(ids[1:] < ids[:-1]):
+        use = use[np.argsort(ids[seg.doc[use]], kind="stable")]
+    use = use[np.argsort(seg.hash[use], kind="stable")]
     new = np.ones(len(use), dtype=bool)
-    new[1:] = (seg.hash[use][1:] != seg.hash[use][:-1]) | (seg.key[use][1:] != seg.key[use][:-1])
+    new[1:] = seg.hash[use][1:] != seg.hash[use][:-1]
     use = use[new]
     bucket = _bucket(seg.key[use], buckets)
     order = np.argsort(bucket, kind="stable")
@@ -244,55 +254,56 @@ def _send_segments(chunk: pa.Table, bits: pa.Table, buckets: int) -> pa.Table:
 # The suffix array of a bucket --------------------------------------------------------------------------------------------
 
 
-def enhanced_suffix_array(text: np.ndarray, start: np.ndarray, length: np.ndarray, least: int = MIN):
-    """Of the suffixes of the pieces (start, length) of text that have `least` bytes or more: the places in order of
-    their bytes, the piece of each, and the common prefix with the one before (0 if that is under `least`).
+def repeated_starts(text: np.ndarray, start: np.ndarray, length: np.ndarray, least: int = MIN) -> tuple[np.ndarray, np.ndarray]:
+    """Places, with their pieces, whose `least` bytes occur in several places that don't all follow one same byte.
 
-    A suffix ends with its piece. Order beyond `least` bytes follows what the shared prefixes need."""
+    Other suffixes are in no maximal repeat: theirs occur once, or start a byte earlier. Compared by hashes of the
+    bytes, so a few places too many may come; none is missed."""
     n = np.maximum(length - least + 1, 0)
     piece = np.repeat(np.arange(len(start)), n)
     place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
-    rest = start[piece] + length[piece] - place
-    reach = int(length.max(initial=0))
+    if not len(place):
+        return place, piece
+    with np.errstate(over="ignore"):
+        grams = _gram_hashes(text)
+        mark = np.zeros(len(place), np.uint64)
+        for k in sorted({*range(0, least - GRAM, GRAM), least - GRAM}):
+            mark = mark * _u(_BASE) + grams[place + k]
+            mark ^= mark >> _u(31)
+    order = np.argsort(mark)
+    mark, left = mark[order], np.where(place == start[piece], -1, text[np.maximum(place - 1, 0)].astype(np.int16))[order]
+    head = np.nonzero(np.concatenate([[True], mark[1:] != mark[:-1]]))[0]
+    count = np.diff(np.append(head, len(mark)))
+    low, high = np.minimum.reduceat(left, head), np.maximum.reduceat(left, head)
+    use = np.sort(order[np.repeat((count > 1) & ((low != high) | (low == -1)), count)])
+    return place[use], piece[use]
+
+
+def enhanced_suffix_array(text: np.ndarray, place: np.ndarray, end: np.ndarray, least: int = MIN) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes that start at `place` and stop before `end`, and the common prefix of each with the
+    one before; 0 where that is under `least`. Each has `least` bytes or more; an absent byte comes before all."""
+    rest = end - place
+    reach = int(rest.max(initial=0))
     wide = np.concatenate([text, np.zeros(reach + 16, np.uint8)])
-    w = wide.astype(np.uint64)
-    for k in (1, 2, 4):
-        w = (w[:-k] << _u(8 * k)) | w[k:]
-    steps = [*range(0, least - 7, 8)]
-    if steps[-1] + 8 < least:
-        steps.append(least - 8)
-    keys = [w[place + k] for k in steps]
-    order = np.lexsort(keys[::-1])
-    same = np.ones(max(0, len(order) - 1), dtype=bool)
-    for key in keys:
-        k = key[order]
-        same &= k[1:] == k[:-1]
-    # Groups that agree on `least` bytes are put in order of what follows, an absent byte first.
-    group = np.concatenate([[0], np.cumsum(~same)]) if len(order) else np.zeros(0, np.int64)
-    tied = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(order) else np.zeros(0, bool)
-    at = np.nonzero(tied)[0]
-    if len(at):
-        p, r = place[order[at]], rest[order[at]]
-        later = []
-        for k in range(least, reach, 7):  # seven bytes a key: a byte is one more than itself, or 0 beyond the end
-            key = np.zeros(len(at), np.uint64)
-            for j in range(7):
-                key = key * _u(257) + np.where(r > k + j, wide[p + np.minimum(k + j, r)].astype(np.uint64) + _u(1), _u(0))
-            later.append(key)
-        order[at] = order[at][np.lexsort([*later[::-1], group[at]])]
+    keys = []
+    for k in range(0, reach, 7):  # seven bytes a key: a byte counts one more than itself, or 0 beyond the end
+        key = np.zeros(len(place), np.uint64)
+        for j in range(k, k + 7):
+            key = key * _u(257) + np.where(rest > j, wide[place + np.minimum(j, reach)].astype(np.uint64) + _u(1), _u(0))
+        keys.append(key)
+    order = np.lexsort(keys[::-1]) if keys else np.zeros(0, np.int64)
     lcp = np.zeros(len(order), dtype=np.int64)
-    pair = np.nonzero(same)[0] + 1
-    p, q = place[order[pair]], place[order[pair - 1]]
-    room = np.minimum(rest[order[pair]], rest[order[pair - 1]])
-    common, alive = np.full(len(pair), least), np.arange(len(pair))
-    for k in range(least, reach):
-        alive = alive[(room[alive] > k)]
-        alive = alive[wide[p[alive] + k] == wide[q[alive] + k]]
+    alive = np.arange(1, len(order))
+    p, q = place[order], place[order[:-1]]
+    room = np.minimum(rest[order][1:], rest[order][:-1])
+    for k in range(reach):
+        alive = alive[room[alive - 1] > k]
+        alive = alive[wide[p[alive] + k] == wide[q[alive - 1] + k]]
         if not len(alive):
             break
-        common[alive] += 1
-    lcp[pair] = common
-    return place[order], piece[order], lcp
+        lcp[alive] += 1
+    lcp[lcp < least] = 0
+    return order, lcp
 
 
 def lcp_intervals(lcp: list[int], left: list[int], least: list[int]) -> Iterator[tuple[int, int, int, int]]:
@@ -326,18 +337,14 @@ def lcp_intervals(lcp: list[int], left: list[int], least: list[int]) -> Iterator
 
 def maximal_repeats(text: np.ndarray, start: np.ndarray, length: np.ndarray, value: np.ndarray, least: int = MIN) -> tuple[np.ndarray, ...]:
     """All occurrences of all maximal repeats of `least` bytes or more among the pieces: group, piece, place in text,
-    length, and the least `value` of a piece in the group. Suffixes whose first `least` bytes always follow one same
-    byte are left to the repeat that starts with that byte, and never come to the scan."""
-    place, piece, lcp = enhanced_suffix_array(text, start, length, least)
+    length, and the least `value` of a piece in the group."""
     none = tuple(np.zeros(0, np.int64) for _ in range(5))
+    place, piece = repeated_starts(text, start, length, least)
     if not len(place):
         return none
+    order, lcp = enhanced_suffix_array(text, place, start[piece] + length[piece], least)
+    place, piece = place[order], piece[order]
     left = np.where(place == start[piece], -1, text[np.maximum(place - 1, 0)].astype(np.int64))
-    head = np.nonzero(lcp == 0)[0]
-    count = np.diff(np.append(head, len(lcp)))
-    low, high = np.minimum.reduceat(left, head), np.maximum.reduceat(left, head)
-    use = np.repeat((count > 1) & ((low != high) | (low == -1)), count)
-    place, piece, lcp, left = place[use], piece[use], lcp[use], left[use]
     groups = list(lcp_intervals(lcp.tolist(), left.tolist(), value[piece].tolist()))
     if not groups:
         return none
@@ -452,6 +459,12 @@ def _kept(chunk: pa.Table, answers: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
+def _release(spark) -> None:
+    """Lets Spark drop the files of shuffles that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _answers(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The chunks, and what the buckets say about each."""
     spark = docs.sparkSession
@@ -460,12 +473,14 @@ def _answers(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     buckets = 1 + total // A_BUCKET
     sent = chunks.mapInArrow(partial(_send_keys, buckets=buckets), "bucket long, chunk long, keys binary, twice binary")
     bits = stored(sent.groupBy("bucket").applyInArrow(_shared_keys, "chunk long, bucket long, bits binary"), "bits")
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the files of shuffles that are done with
+    del sent
+    _release(spark)
     both = chunks.groupBy("chunk").cogroup(bits.groupBy("chunk"))
     segments = both.applyInArrow(lambda c, b: _send_segments(c, b, buckets), "bucket long, chunk long, low binary, hash binary, doc binary, length binary, text binary")
     answers = stored(segments.groupBy("bucket").applyInArrow(_bucket_repeats, "chunk long, hash binary, start binary, length binary"), "answers")
     drop_stored(bits)
-    spark.sparkContext._jvm.System.gc()
+    del both, segments, bits
+    _release(spark)
     return chunks, answers
 
 
