@@ -16,8 +16,16 @@ FORMS = {
     "card": r"[0-9](?:[\x20-]?[0-9]){15,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A candidate: a word with a digit or an @.
-CANDIDATE = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9@]*+[0-9@])[^\x20\x09-\x0D]++"
+#: Stands for each character of a known span while candidates are sought.
+MASK = "￼"
+#: A candidate: a known span, a run of digit groups between single blanks, or a word with a digit or an @.
+_GROUP = r"(?=[().+-]*+[0-9])[0-9().+-]++"
+_NEXT = rf"\x20(?!\+){_GROUP}"
+_END = r"(?=[)\]}>\"',;:!?.]*+(?:[\x20\x09-\x0D]|\z))"
+#: Whole runs only; those of more than 19 groups have more digits than any kind, and the engine recurses by group.
+_RUN = rf"(?<![^\x20\x09-\x0D])[\[{{<\"',;:!?]*+{_GROUP}(?:{_NEXT}){{1,18}}{_END}(?!{_NEXT}{_END})"
+_WORD = rf"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9@]*+[0-9@])[^\x20\x09-\x0D{MASK}]++(?!{MASK})"
+CANDIDATE = f"{MASK}++|{_RUN}|{_WORD}"
 _SPAN = "array<struct<start:bigint,end:bigint,value:string,gap:string>>"
 
 
@@ -73,33 +81,59 @@ def base_spans(text: Column) -> Column:
 
 
 def _loose(value: Column) -> Column:
-    """Kinds that a word could be, by its looks alone."""
-    digits, plain = F.length(_digits(value)), value.rlike(r"^[0-9().+-]+$")
+    """Kinds that a word or a run of digit groups could be, by its looks alone."""
+    digits, plain = F.length(_digits(value)), value.rlike(r"^[0-9().+\x20-]+$")
     looks = (value.rlike(r"^[^@]+@[^@]+$"), value.rlike(r"^[0-9A-Fa-f]+([.:][0-9A-Fa-f]+){3,7}$"), plain & digits.between(13, 19), plain & digits.between(7, 15))
     return F.filter(F.array(*(F.when(x, F.lit(i)) for i, x in enumerate(looks))), lambda k: k.isNotNull())
 
 
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with each character of the spans as MASK, so that positions stay."""
+    def step(acc: Column, s: Column) -> Column:
+        start = F.greatest(acc["end"], s["start"])
+        gap = F.substr(text, (acc["end"] + 1).cast("int"), (start - acc["end"]).cast("int"))
+        hidden = F.repeat(F.lit(MASK), F.greatest(F.lit(0), s["end"] - start).cast("int"))
+        return F.struct(F.greatest(acc["end"], s["end"]).alias("end"), F.concat(acc["out"], F.array(gap, hidden)).alias("out"))
+
+    zero = F.struct(F.lit(0).cast("long").alias("end"), F.array().cast("array<string>").alias("out"))
+    last = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, (acc["end"] + 1).cast("int"), F.lit(2**31 - 1)))
+    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    return F.when(F.size(spans) > 0, F.aggregate(by_start, zero, step, last)).otherwise(text)
+
+
 def scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of rows with equal doc_id and text), spans, and candidates in context: one pass over the texts."""
+    """doc_id, key (of rows with equal doc_id and text), spans, and candidates in context: one pass over the texts.
+
+    A known span is one candidate as a whole. Of a run of digit groups the first word alone is the candidate where it
+    could be an identifier by itself, else the run. The context is the last word between the candidate before and this."""
     text = text_of()
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("key"), text.alias("text"))
     d = d.withColumn("spans", base_spans(F.col("text")))
+    d = d.withColumn("masked", _masked(F.col("text"), F.col("spans")))
+
+    def bare(value: Column, lead: str) -> Column:
+        return F.regexp_replace(F.regexp_replace(value, lead, ""), r"[)\]}>\"',;:!?.]+$", "")
 
     def candidate(s: Column) -> Column:
-        lead = F.length(F.regexp_extract(s["value"], r"^[(\[{<\"',;:!?]*", 0))
-        value = F.regexp_replace(F.regexp_replace(s["value"], r"^[(\[{<\"',;:!?]+", ""), r"[)\]}>\"',;:!?.]+$", "")
+        # of a run, a bracket stays that closes before another digit
+        word, run = r"^[(\[{<\"',;:!?]+", r"^(?:[\[{<\"',;:!?]|\((?![^()]*\)[^)]*[0-9]))+"
+        first = bare(F.substring_index(s["value"], " ", 1), word)
+        whole = F.contains(s["value"], F.lit(" ")) & ~(F.length(first).between(5, 128) & (F.size(_loose(first)) > 0))
+        value = F.when(whole, bare(s["value"], run)).otherwise(first)
+        lead = F.length(F.when(whole, F.regexp_extract(s["value"], run, 0)).otherwise(F.regexp_extract(s["value"], word, 0)))
         start = s["start"] + lead
         words = F.regexp_extract(F.lower(s["gap"]), r"(\p{L}+)[^\p{L}\n]*$", 1)
         end = start + F.length(value)
         return F.struct(words.alias("context"), value.alias("value"), start.cast("long").alias("start"), end.cast("long").alias("end"))
 
-    found = F.transform(_located(F.col("text"), CANDIDATE), candidate)
+    found = F.transform(_located(F.col("masked"), CANDIDATE), candidate)
     d = d.withColumn("found", F.filter(found, lambda c: (F.length(c["context"]) > 0) & F.length(c["value"]).between(5, 128)))
 
     def known(c: Column) -> Column:
         over = F.filter(F.col("spans"), lambda s: (s["start"] < c["end"]) & (s["end"] > c["start"]))
         kinds = F.when(F.size(over) > 0, F.array(F.get(over, F.lit(0))["kind"])).otherwise(_loose(c["value"]))
-        return F.struct(c["context"].alias("context"), F.xxhash64(F.lower(c["value"])).alias("value"), c["start"].alias("start"), c["end"].alias("end"), (F.size(over) > 0).alias("known"), kinds.alias("kinds"))
+        value = F.when(F.size(over) > 0, F.substr(F.col("text"), (c["start"] + 1).cast("int"), (c["end"] - c["start"]).cast("int"))).otherwise(c["value"])
+        return F.struct(c["context"].alias("context"), F.xxhash64(F.lower(value)).alias("value"), c["start"].alias("start"), c["end"].alias("end"), (F.size(over) > 0).alias("known"), kinds.alias("kinds"))
 
     return d.select("doc_id", "key", "spans", F.filter(F.transform("found", known), lambda c: F.size(c["kinds"]) > 0).alias("found"))
 

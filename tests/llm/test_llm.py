@@ -419,6 +419,23 @@ def test_patterns_find_more(spark):
     assert got[100] == "phone:15:25" and got[101] == ""
 
 
+def test_patterns_of_several_groups(spark):
+    from lexispark.llm.personal import personal_report
+
+    rng = random.Random(19)
+
+    def card():
+        head = [rng.randint(1, 9) for _ in range(15)]
+        odd = sum(sum(divmod(2 * d, 10)) for d in head[::2]) + sum(head[1::2])
+        digits = "".join(map(str, [*head, -odd % 10]))
+        return " ".join(digits[i : i + 4] for i in range(0, 16, 4))
+
+    rows = [(i, f"{words(rng, 5)} telephone +1 ({262 + i}) 555-{1000 + i} {words(rng, 4)} code {rng.randint(10**7, 10**8)} visa {card()}, {words(rng, 3)}", "s") for i in range(30)]
+    more = {100: ("call telephone (262) 555-1234 now", "phone:15:29"), 101: ("my code (262) 555-1234 now", ""), 102: ("a telephone: 262 555 1234, or", "phone:13:25"), 103: ("the visa 4111 1111 1111 1112.", "card:9:28"), 104: ("no telephone 2625551234 12 times", "phone:13:23"), 105: ("telephone 12 or 14", ""), 106: ("é telephone (262 555 1234)", "phone:13:25")}
+    got = {r.doc_id: r.spans for r in personal_report(docs(spark, rows + [(i, t, "s") for i, (t, _) in more.items()])).collect()}
+    assert {i: got[i] for i in more} == {i: spans for i, (_, spans) in more.items()}
+
+
 # 10 --------------------------------------------------------------------------------------------------------------------
 
 
