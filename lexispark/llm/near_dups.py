@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -13,11 +14,8 @@ from pyspark.sql import functions as F
 
 from lexispark.llm.common import components, drop_stored, spread, stored, text_of
 
-#: Values that a sketch retains, and the fewest of them that texts of 85 % similarity share: less than 1e-11 of such
-#: pairs share fewer (binomial tail; the true law is narrower).
-KEPT, SHARED = 64, 32
-#: The smallest values of a sketch, one of which such texts share but for 1e-13 of them.
-FIRST = 16
+#: Values that a sketch retains.
+KEPT = 64
 #: Members of longer lists are crowded: they are dealt with by their whole sets.
 LONG = 16
 _WORDS = 400_000
@@ -71,11 +69,27 @@ def sketches(docs: DataFrame) -> DataFrame:
     return spread(d).mapInArrow(_sketch, "doc_id long, tkey long, n long, mark binary, sketch array<long>")
 
 
+def shared(percent: int) -> int:
+    """The fewest values of KEPT that texts of that similarity share: less than 1e-11 of such pairs share fewer
+    (binomial tail; the true law is narrower)."""
+    tail, p = 0.0, percent / 100
+    for k in range(KEPT):
+        tail += math.comb(KEPT, k) * p**k * (1 - p) ** (KEPT - k)
+        if tail >= 1e-11:
+            return k
+    return KEPT
+
+
+def first_values(percent: int) -> int:
+    """How many of a sketch's smallest values: one of these such texts share but for 1e-13 of them."""
+    return next((k for k in range(1, KEPT) if (1 - percent / 100) ** k < 1e-13), KEPT)
+
+
 def _least_shared(n: Column, percent: int) -> Column:
     """Values of a sketch that any near text's sketch shares with it: all but the dissimilar part of a set so small
-    that its partners' sketches are whole too, else SHARED."""
+    that its partners' sketches are whole too, else shared()."""
     whole = F.ceil(n * percent / 100)
-    return F.when(n <= KEPT * percent // 100, whole).otherwise(F.least(whole, F.lit(SHARED))).cast("int")
+    return F.when(n <= KEPT * percent // 100, whole).otherwise(F.least(whole, F.lit(shared(percent)))).cast("int")
 
 
 def _fits(a: Column, b: Column, percent: int) -> Column:
@@ -93,7 +107,7 @@ def _estimated(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     union = F.when(cut, F.slice(union, 1, KEPT)).otherwise(union)
     both = F.array_intersect(turned("s_a"), turned("s_b"))
     full = full.withColumn("in_union", F.size(union)).withColumn("in_both", F.size(F.array_intersect(union, both)))
-    near = F.when(cut, F.col("in_both") >= SHARED).otherwise(100 * F.col("in_both") >= percent * F.col("in_union"))
+    near = F.when(cut, F.col("in_both") >= shared(percent)).otherwise(100 * F.col("in_both") >= percent * F.col("in_union"))
     return full.where(near & _fits(F.col("n_a"), F.col("n_b"), percent)).select("a", "b", (F.col("in_both") / F.col("in_union")).alias("estimate"))
 
 
@@ -164,14 +178,14 @@ def linked(docs: DataFrame, rows: DataFrame, percent: int = 85) -> DataFrame:
     percent % similar, directly or by way of others; each is confirmed on the whole sets.
 
     Lists hold the marks that retain a value. Of its sketch a mark enters only its rarest values: two sketches that
-    share SHARED values share one of their KEPT - SHARED + 1 rarest, so lists of frequent passages are seldom used,
+    share shared() values share one of their KEPT - shared() + 1 rarest, so lists of frequent passages are seldom used,
     and values that no other mark retains need no list. Lists up to LONG give all pairs of fitting sizes.
 
     Members of longer ones go by their whole sets instead: there, similar marks share one of the rarest (100 - percent)
     % of their values, without slack. Where a list is still long, its members are much alike: each is paired with the
     likest of its size class, then, if that leaves the list unconnected, those of different components with each other."""
     has = rows.where(F.col("mark").isNotNull())
-    first = has.select("mark", F.explode(F.slice("sketch", 1, FIRST)).alias("value"))
+    first = has.select("mark", F.explode(F.slice("sketch", 1, first_values(percent))).alias("value"))
     shared = first.groupBy("value").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high").select("value")
     alive = first.join(shared, "value", "left_semi").select("mark").distinct()
     marks = has.join(alive, "mark", "left_semi").groupBy("mark").agg(F.min(F.struct("doc_id", "tkey", "n", "sketch")).alias("r"))

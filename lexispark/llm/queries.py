@@ -41,7 +41,7 @@ def op4_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_bottom_k_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexispark.llm.near_dups import near_duplicates
 
-    return near_duplicates(documents(spark, sf_dir)).drop("tkey")
+    return near_duplicates(documents(spark, sf_dir), percent=85).drop("tkey")
 
 
 def op6_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

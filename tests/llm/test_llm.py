@@ -239,6 +239,22 @@ def test_near_duplicates(spark, monkeypatch, long):
     assert near_dups.near_duplicates(docs(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [50, 400])
+def test_near_duplicates_between_80_and_85(spark, n):
+    from corpus_pipeline import drop_near_duplicates
+    from lexispark.llm import near_dups
+
+    w = [f"w{i}" for i in range(n + 4)]
+    cut = n - round(0.82 * n)
+    rows = [(1, " ".join(w), "s"), (2, " ".join(w[:-cut]), "s"), (3, " ".join(w[: -2 * cut]), "s")]
+    sets = [shingle_set(t) for _, t, _ in rows]
+    assert 0.8 <= len(sets[1]) / len(sets[0]) < 0.85 and len(sets[2]) / len(sets[1]) < 0.8
+    left = drop_near_duplicates(spark, docs(spark, rows), None)
+    assert sorted(r.doc_id for r in left.collect()) == [1, 3]
+    assert {tuple(r) for r in near_dups.near_duplicates(docs(spark, rows), percent=85).drop("tkey").collect()} == linked_groups(rows)
+    assert (near_dups.shared(85), near_dups.first_values(85)) == (32, 16)
+
+
 @pytest.mark.parametrize("at_once", [None, 0])
 def test_components(spark, at_once):
     from lexispark.llm.common import components
