@@ -16,10 +16,21 @@ from pyspark.sql import functions as F
 from lexispark.functions.text import corpus_tokens
 
 
-def bag_of_words(text: str, out: str = "bow", vocabulary: Sequence[str] | None = None, largest: int = 1 << 18) -> Pipeline:
+def _words(text: str, out: str) -> RegexTokenizer:
+    return RegexTokenizer(inputCol=text, outputCol=out, pattern=r"\b\w\w+\b", gaps=False, toLowercase=True)
+
+
+def word_counts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """M1 as rows: (key, word, n) for all words of bag_of_words(), by aggregates alone; key is unique."""
+    words = _words(text, "words").transform(df.select(key, text))
+    return words.select(key, F.explode("words").alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
+
+
+def bag_of_words(text: str, out: str = "bow", vocabulary: Sequence[str] | None = None, largest: int = 2**31 - 1) -> Pipeline:
     """M1: counts of words of two signs or more, in lower case, as sparse vectors. With a vocabulary the places are its
-    order; else the most frequent words, `largest` at most."""
-    words = RegexTokenizer(inputCol=text, outputCol=f"{out}_words", pattern=r"\b\w\w+\b", gaps=False, toLowercase=True)
+    order; else all words, the most frequent first, or the `largest` most frequent ones. The vocabulary goes to the
+    driver; word_counts() has none."""
+    words = _words(text, f"{out}_words")
     if vocabulary is not None:
         count = CountVectorizerModel.from_vocabulary(sorted(vocabulary), inputCol=f"{out}_words", outputCol=out)
     else:

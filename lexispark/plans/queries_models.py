@@ -30,8 +30,8 @@ def _featured(t: Tables, size: int = 4096):
 @query("M1_bag_of_words", "SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS BIGINT) AS n_words FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z0-9_]', ' ', 'g') AS text FROM documents)")
 def _(t: Tables):
     d = t.documents.select("doc_id", F.regexp_replace("text", "[^A-Za-z0-9_]", " ").alias("text"))
-    out = features.bag_of_words("text").fit(d).transform(d)
-    return out.select("doc_id", F.aggregate(vector_to_array("bow"), F.lit(0.0), lambda a, x: a + x).cast("long").alias("n_words"))
+    n = features.word_counts(d, "doc_id", "text").groupBy("doc_id").agg(F.sum("n").alias("n"))
+    return d.select("doc_id").join(n, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_words"))
 
 
 @query("M2_concept_similarity")

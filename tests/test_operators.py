@@ -118,3 +118,11 @@ def test_folds_are_even(spark):
 def test_report(spark):
     d = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("c", "b")], "y string, p string")
     assert rows(metrics.class_report(d, "y", "p"), "label") == [("a", 1.0, 0.5, 2), ("b", 0.333333, 1.0, 1), ("c", 0.0, 0.0, 1)]
+
+
+def test_bag_holds_every_word(spark):
+    from lexispark.operators import features
+
+    d = spark.range(30).select("id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(10_000)), lambda i: F.concat(F.lit("w"), i + 10_000 * F.col("id"))), " ").alias("text"))
+    assert len(features.vocabulary_of(features.bag_of_words("text").fit(d))) == 300_000
+    assert {r.n for r in features.word_counts(d, "id", "text").groupBy("id").agg(F.sum("n").alias("n")).collect()} == {10_000}
