@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,10 @@ from lexispark.session import shared_dir
 #: A word is a run of what is not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Links that one task unites.
-AT_ONCE = 300_000
+AT_ONCE = 100_000
+#: Rows of an Arrow batch, at most, where rows are texts.
+TEXTS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -69,6 +73,26 @@ def spread(df: DataFrame) -> DataFrame:
     return df if len(df.inputFiles()) >= n else df.repartition(n)
 
 
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches of at most TEXTS rows, as the default of 10,000 long texts would take
+    hundreds of megabytes in the JVM and again in Python; and workers give back what memory they no longer use."""
+    spark = df.sparkSession
+    if int(spark.conf.get(_BATCH)) > TEXTS:
+        spark.conf.set(_BATCH, str(TEXTS))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return df.mapInArrow(task, schema)
+
+
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     up: dict = {}
 
@@ -88,7 +112,7 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(up), kind), pa.array([root(x) for x in up], kind)], names=["node", "component"])
 
 
-def components(edges: DataFrame, rounds: int = 60, at_once: int | None = None) -> DataFrame:
+def components(edges: DataFrame, at_once: int | None = None) -> DataFrame:
     """Connected components of the links (a, b), both of one type that can be ordered.
 
     Returns (node, component): every node of a link with the smallest node that it reaches; no link, no row. Up to
@@ -96,14 +120,15 @@ def components(edges: DataFrame, rounds: int = 60, at_once: int | None = None) -
     general way would cost more than that. More links take alternating large-star and small-star steps: each round is
     two aggregations and two equi-joins over at most as many links as before, whatever the shape of the graph; the
     neighbours of one node are never brought together in one place, and joins on hot nodes are split by adaptive
-    execution. Each round is written to the shared folder."""
+    execution. Each round is written to the shared folder. Rounds go on until one changes nothing; their number grows
+    with the logarithm of the longest chain."""
     two = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
     two = stored(two, "links")
     if two.count() <= (AT_ONCE if at_once is None else at_once):
         kind = two.schema["u"].dataType.simpleString()
         return two.coalesce(1).mapInArrow(_united, f"node {kind}, component {kind}")
     now, mark = two, None
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -121,6 +146,4 @@ def components(edges: DataFrame, rounds: int = 60, at_once: int | None = None) -
         now = after
         if mark == was:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

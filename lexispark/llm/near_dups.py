@@ -12,13 +12,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import components, drop_stored, spread, stored, text_of
+from lexispark.llm.common import components, drop_stored, in_batches, spread, stored, text_of
 
 #: Values that a sketch retains.
 KEPT = 64
 #: Members of longer lists are crowded: they are dealt with by their whole sets.
 LONG = 16
-_WORDS = 400_000
+#: Words of 64 bits of the signature by which members of long lists are compared.
+SIGN_WORDS = 8
+#: Words whose hashes a Python worker keeps; beyond that it starts anew.
+_WORDS = 100_000
 _STEPS = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 1, 2**64) for i in range(5)], dtype=np.uint64)
 
 
@@ -66,7 +69,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, tkey (hash of the text), n (shingles), mark (digest of the set; null if it is empty), sketch."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("tkey"), text_of().alias("text"))
-    return spread(d).mapInArrow(_sketch, "doc_id long, tkey long, n long, mark binary, sketch array<long>")
+    return in_batches(spread(d), _sketch, "doc_id long, tkey long, n long, mark binary, sketch array<long>")
 
 
 def shared(percent: int) -> int:
@@ -127,7 +130,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are that similar."""
     side = lambda x: texts.select(F.col("mark").alias(x), F.col("text").alias(f"t_{x}"))
     full = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "t_a", "t_b")
-    return full.mapInArrow(partial(_confirm, percent=percent), "a binary, b binary")
+    return in_batches(full, partial(_confirm, percent=percent), "a binary, b binary")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,6 +165,25 @@ def _all_pairs(lists: DataFrame, percent: int, ranked: bool) -> DataFrame:
     return x.join(y, on).select(F.col("x.mark").alias("a"), F.col("y.mark").alias("b"))
 
 
+def _signed(lists: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """lists with the sketch of each mark as SIGN_WORDS * 64 bits, and how many of them a near mark's bits share with
+    it at least: those of the values shared at least, less one for each two values that fall on one bit."""
+    bits = SIGN_WORDS * 64
+    words = []
+    for i in range(SIGN_WORDS):
+        own = F.filter("sketch", lambda v, i=i: F.pmod(v, F.lit(bits)).between(64 * i, 64 * i + 63))
+        words.append(F.aggregate(own, F.lit(0).cast("long"), lambda acc, v: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(v, F.lit(64)).cast("int")))).alias(f"w{i}"))
+    signs = marks.select(F.col("mark").alias("g_mark"), _least_shared(F.col("n"), percent).alias("need"), F.size("sketch").alias("size"), *words)
+    set_bits = sum((F.bit_count(f"w{i}") for i in range(1, SIGN_WORDS)), F.bit_count("w0"))
+    signs = signs.withColumn("bar", F.col("need") - (F.col("size") - set_bits)).drop("need", "size")
+    return lists.join(signs, F.col("mark") == F.col("g_mark")).drop("g_mark")
+
+
+def _bits_allow(x: str, y: str) -> Column:
+    both = [F.bit_count(F.col(f"{x}.w{i}").bitwiseAND(F.col(f"{y}.w{i}"))) for i in range(SIGN_WORDS)]
+    return sum(both[1:], both[0]) >= F.greatest(f"{x}.bar", f"{y}.bar")
+
+
 def _lead_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """Each member of a list with the lead of its size class and of those beside it: the member with the fewest values
     of its own, which is the likest to the others. Size classes are as wide as the similarity allows, so that all
@@ -173,7 +195,7 @@ def _lead_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return near.select(F.least("mark", "lead").alias("a"), F.greatest("mark", "lead").alias("b"))
 
 
-def linked(docs: DataFrame, rows: DataFrame, percent: int = 85) -> DataFrame:
+def linked(docs: DataFrame, rows: DataFrame, percent: int = 80) -> DataFrame:
     """Links (a, b) between marks of `rows`, from sketches(docs), that connect every two marks whose sets are
     percent % similar, directly or by way of others; each is confirmed on the whole sets.
 
@@ -183,7 +205,8 @@ def linked(docs: DataFrame, rows: DataFrame, percent: int = 85) -> DataFrame:
 
     Members of longer ones go by their whole sets instead: there, similar marks share one of the rarest (100 - percent)
     % of their values, without slack. Where a list is still long, its members are much alike: each is paired with the
-    likest of its size class, then, if that leaves the list unconnected, those of different components with each other."""
+    likest of its size class, then, if that leaves the list unconnected, those of different components with each other
+    as far as their signatures allow, so that unlike texts that share a frequent passage make no pairs."""
     has = rows.where(F.col("mark").isNotNull())
     first = has.select("mark", F.explode(F.slice("sketch", 1, first_values(percent))).alias("value"))
     shared = first.groupBy("value").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high").select("value")
@@ -200,7 +223,7 @@ def linked(docs: DataFrame, rows: DataFrame, percent: int = 85) -> DataFrame:
     long = None
     crowd = sized.where(F.col("m") > LONG).select("mark").distinct()
     if not crowd.isEmpty():
-        sets = stored(texts.join(crowd, "mark", "left_semi").mapInArrow(_sets, "mark binary, n long, found array<long>"), "sets")
+        sets = stored(in_batches(texts.join(crowd, "mark", "left_semi"), _sets, "mark binary, n long, found array<long>"), "sets")
         own = _listed(sets.select("mark", "n", F.explode("found").alias("value")), F.col("n").cast("int"), F.ceil(F.col("n") * percent / 100).cast("int"))
         own = stored(own, "lists")
         sizes = own.groupBy("value").agg(F.count("*").alias("m")).where("m > 1")
@@ -219,10 +242,10 @@ def linked(docs: DataFrame, rows: DataFrame, percent: int = 85) -> DataFrame:
         label = stored(components(links), "labels")
         named = stored(_labelled(long.select("value", "mark", "n", "pos"), "mark", label, "label"), "long")
         open_lists = named.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("value")
-        x = named.join(open_lists, "value", "left_semi")
+        x = stored(_signed(named.join(open_lists, "value", "left_semi"), marks, percent), "long")
         y = x.alias("y")
         x = x.alias("x")
-        far = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.label") < F.col("y.label")) & _fits(F.col("x.n"), F.col("y.n"), percent) & _room("x", "y", percent))
+        far = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.label") < F.col("y.label")) & _fits(F.col("x.n"), F.col("y.n"), percent) & _room("x", "y", percent) & _bits_allow("x", "y"))
         far = far.select(F.least("x.mark", "y.mark").alias("a"), F.greatest("x.mark", "y.mark").alias("b")).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
         links = links.unionByName(stored(_confirmed(_estimated(far, marks, percent), texts, percent), "links"))
     return links
@@ -245,29 +268,48 @@ def _across(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return _labelled(_labelled(pairs, "a", label, "c_a"), "b", label, "c_b").where("c_a <> c_b").select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, tkey.
 
     Equal sets are one class from the start. A null or blank text has an empty set and is linked with nothing; a null
-    doc_id stays null and gives its component no id unless all its ids are null; repeated rows are each reported, in
-    one component; other columns are ignored; no rows give no rows."""
+    doc_id stays null and gives its component no id unless all its ids are null; of such a component the rows with the
+    least tkey are kept, and otherwise those whose doc_id is the component's; repeated rows are each reported, in one
+    component; other columns are ignored; no rows give no rows.
+
+    Components are found between marks and so are their least ids; documents meet their mark's result by a plain
+    equi-join, which adaptive execution splits where one text has very many copies."""
     rows = stored(sketches(docs), "sketches")
     links = linked(docs, rows, percent)
-    label = components(links)
+    label = stored(components(links), "labels")
     slim = rows.select("doc_id", "tkey", "n", "mark")
-    alone = slim.where(F.col("mark").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "tkey")
-    named = _labelled(slim.where(F.col("mark").isNotNull()), "mark", label, "label")
-    ids = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(ids, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "tkey").unionByName(alone)
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "tkey")
-
-
-def without_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """docs less all but one document of each component, in docs' columns; of repeated rows one stays."""
-    kept = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("k_doc"), F.col("tkey").alias("k_key")).distinct()
-    d = docs.withColumn("d_key", F.xxhash64(text_of()))
-    d = d.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("k_doc")) & (F.col("d_key") == F.col("k_key")), "left_semi")
-    return d.dropDuplicates(["doc_id", "d_key"]).select(*docs.columns)
+    of_mark = slim.where(F.col("mark").isNotNull()).groupBy("mark").agg(F.min("doc_id").alias("low"), F.min(F.when(F.col("doc_id").isNull(), F.col("tkey"))).alias("key"))
+    of_mark = stored(of_mark, "marks")
+    joint = stored(of_mark.join(label, F.col("mark") == F.col("node")).select("mark", "component", "low", "key"), "joint")
+    least = stored(joint.groupBy("component").agg(F.min("low").alias("c_low"), F.min("key").alias("c_key")).withColumnRenamed("component", "c_of"), "least")
+    joint = joint.join(least, F.col("component") == F.col("c_of")).select(F.col("mark").alias("j_mark"), "c_low", "c_key")
+    named = of_mark.join(joint, F.col("mark") == F.col("j_mark"), "left")
+    linked_to = F.col("j_mark").isNotNull()
+    named = named.select(F.col("mark").alias("m_mark"), F.when(linked_to, F.col("c_low")).otherwise(F.col("low")).alias("component_id"), F.when(linked_to, F.col("c_key")).otherwise(F.col("key")).alias("m_key"))
+    named = stored(named, "named")
+    out = slim.join(named, F.col("mark") == F.col("m_mark"), "left")
+    component = F.when(F.col("mark").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    nameless = F.col("doc_id").isNull() & F.col("component_id").isNull() & (F.col("mark").isNull() | (F.col("tkey") == F.col("m_key")))
+    kept = F.coalesce(F.col("doc_id") == component, nameless)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), "tkey")
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """docs less all but one document of each component, in docs' columns; of rows that repeat a doc_id and its text
+    one stays, and of copies without a doc_id too. Null texts, empty tables and so on as in near_duplicates()."""
+    kept = near_duplicates(docs, percent).where("kept").groupBy(F.col("doc_id").alias("k_doc"), F.col("tkey").alias("k_key")).agg(F.count("*").alias("k_rows"))
+    kept = stored(kept, "kept")
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("r_doc"), F.xxhash64(text_of()).alias("r_key"))
+    same = F.col("r_doc").eqNullSafe(F.col("k_doc")) & (F.col("r_key") == F.col("k_key"))
+    again = kept.where("k_rows > 1")
+    if again.isEmpty():
+        return keyed.join(kept, same, "left_semi").select("row.*")
+    one = keyed.join(again, same, "left_semi").groupBy("r_doc", "r_key").agg(F.first("row").alias("row"))
+    return keyed.join(kept.where("k_rows = 1"), same, "left_semi").select("row.*").unionByName(one.select("row.*"))
 
 
 #: The rows of near_duplicates() over `documents`, by all shingles that two documents share.

@@ -2,42 +2,74 @@
 
 from __future__ import annotations
 
+import string
 import struct
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from lexispark.llm.common import spread, stored, text_of
+from lexispark.llm.common import in_batches, spread, stored, text_of
 
-#: Words, and parts of words, whose ids a Python worker keeps; beyond that it starts anew, so that memory is bounded.
-CACHED_WORDS, CACHED_PARTS = 500_000, 700_000
+#: Parts of words whose ids a Python worker keeps: twice as many at most, those used last.
+CACHED_PARTS = 100_000
+#: Bytes of text, and parts, that are looked up at once.
+TEXT_AT_ONCE, PARTS_AT_ONCE = 4 << 20, 1 << 18
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+class Recent(dict):
+    """A cache of bounded size: when it is full, what it holds becomes the older half, and the older half goes."""
+
+    def __init__(self, size: int):
+        self.size, self.older = size, {}
+
+    def lacking(self, keys: Iterable[str]) -> list[str]:
+        """Those of the distinct keys that neither half has; those of the older half come into the newer one."""
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        lack, older = [], self.older
+        for key in keys:
+            if key not in self:
+                if (found := older.get(key)) is None:
+                    lack.append(key)
+                else:
+                    self[key] = found
+        return lack
+
+
 class WordIds:
-    """Ids of texts as little-endian bytes.
+    """Ids of texts.
 
     The tokenizer never joins what white space parts, so its ids of a text are those of its words in a row, and a
-    word's ids those of its parts: runs of letters, single digits, runs of other signs. Each part is encoded once and
-    kept, and so is each word; a worker keeps them from task to task."""
+    word's ids those of its parts: runs of letters, single digits, runs of other signs. Arrow splits a batch of texts
+    into words, the distinct ones into parts, and numbers both; Python handles each distinct part of a batch once, and
+    the tokenizer each part that the worker has not seen of late. Added tokens that a text spells out are parts of
+    their own, as to the tokenizer."""
 
-    PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
+    PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+"
     of_file: dict[str, WordIds] = {}
 
     def __init__(self, tokenizer_file: str):
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.parts = Tokenizer.from_file(tokenizer_file), {}, {}
-        self.tokenizer.encode_special_tokens = True
-        self.split, self.apart = regex.compile(self.PARTS).findall, regex.compile(r"\p{White_Space}+").split
+        self.tokenizer, self.parts = Tokenizer.from_file(tokenizer_file), Recent(CACHED_PARTS)
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("added tokens must stand for their own characters alone")
+        self.added = {t.content: _bytes([i]) for i, t in added.items()}
+        self.pieces = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")").split if self.added else lambda text: [text]
+        self.apart, self.split = regex.compile(r"\p{White_Space}+").split, regex.compile(self.PARTS).findall
 
     @classmethod
     def at(cls, tokenizer_file: str) -> WordIds:
@@ -45,37 +77,79 @@ class WordIds:
             cls.of_file[tokenizer_file] = cls(tokenizer_file)
         return cls.of_file[tokenizer_file]
 
-    def __call__(self, text: str) -> bytes:
-        words = text.split()
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python alone
-            words = [w for w in self.apart(text) if w]
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            if len(self.words) > CACHED_WORDS:
-                self.words.clear()
-            self.learn([*{w for w in words if w not in self.words}])
-            return b"".join(map(self.words.__getitem__, words))
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.parts) > CACHED_PARTS:
-            self.parts.clear()
-        plain = self.tokenizer.normalizer.normalize_str(" ".join(words)).split(" ")
-        split = [self.split(w) for w in plain]
-        new = [*{p for parts in split for p in parts if p not in self.parts}]
-        if new:
-            found = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-            ids, owner = found.ids, found.word_ids
-            starts = [i for i in range(len(ids)) if not i or owner[i] != owner[i - 1]]
-            if len(plain) != len(words) or len(starts) != len(new):
-                for w in words:  # a sign that this split is not the tokenizer's: word by word, then
-                    self.words[w] = _bytes(self.tokenizer.encode(w, add_special_tokens=False).ids)
-                return
-            for part, start, end in zip(new, starts, [*starts[1:], len(ids)]):
-                self.parts[part] = _bytes(ids[start:end])
-        known = self.parts.__getitem__
-        for word, parts in zip(words, split):
-            self.words[word] = b"".join(map(known, parts))
+    def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each closed by end_id, and where each text's ids end."""
+        split = pc.utf8_split_whitespace(texts)
+        words, count = split.flatten(), split.value_lengths().to_numpy()
+        odd = np.zeros(len(texts), dtype=bool)
+        for sign in ("\x1c", "\x1d", "\x1e", "\x1f", *self.added):  # white space to Arrow alone, or a part of its own
+            odd |= pc.match_substring(texts, sign).to_numpy(zero_copy_only=False)
+        if odd.any():
+            every = [self._odd(t.as_py()) if x else w.as_py() for t, w, x in zip(texts, split, odd)]
+            words, count = pa.array([w for each in every for w in each], pa.string()), np.array([len(each) for each in every])
+        numbered = words.dictionary_encode()
+        distinct = self._parts(numbered.dictionary, odd.any())
+        parts = distinct.flatten().dictionary_encode()
+        ids = [*self.of_parts(parts.dictionary.to_pylist()), end_id.to_bytes(4, "little")]
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        first, every = np.cumsum(size) - size, np.frombuffer(b"".join(ids), dtype="<u4")
+        # from words to parts; the end is one word more, of one part
+        a_word = np.append(distinct.value_lengths().to_numpy(), 1)
+        begin, part = np.cumsum(a_word) - a_word, np.append(parts.indices.to_numpy(), len(ids) - 1)
+        ids_a_word = np.add.reduceat(np.append(size[part], 0), begin) * (a_word > 0)
+        word = np.insert(numbered.indices.to_numpy(), np.cumsum(count), len(a_word) - 1)
+        at = np.concatenate([[0], np.cumsum(ids_a_word[word])])
+        out = np.empty(at[-1], dtype="<u4")
+        for a in range(0, len(word), PARTS_AT_ONCE):
+            some = word[a : a + PARTS_AT_ONCE]
+            codes = part[_spans(begin[some], a_word[some])]
+            out[at[a] : at[a + len(some)]] = every[_spans(first[codes], size[codes])]
+        return out, at[np.cumsum(count + 1)]
+
+    def _odd(self, text: str) -> list[str]:
+        return [w for piece in self.pieces(text) for w in ([piece] if piece in self.added else self.apart(piece)) if w]
+
+    def _parts(self, words: pa.Array, odd: bool) -> pa.Array:
+        """The parts of each word, normalised."""
+        plain = pc.ascii_lower(words)
+        foreign = pc.invert(pc.string_is_ascii(words)).to_numpy(zero_copy_only=False)
+        if foreign.any():
+            own = words.filter(pa.array(foreign)).to_pylist()
+            normal = self.tokenizer.normalizer.normalize_str(" ".join(own)).split(" ")
+            if len(normal) != len(own):
+                normal = [self.tokenizer.normalizer.normalize_str(w) for w in own]
+            plain = pc.replace_with_mask(plain, pa.array(foreign), pa.array(normal, pa.string()))
+        # letters and signs behind them are told apart by Arrow alone, where all is ASCII
+        core, tail = pc.ascii_rtrim(plain, string.punctuation), pc.ascii_ltrim(plain, string.ascii_lowercase)
+        simple = pc.and_(pc.ascii_is_alpha(core), pc.string_is_ascii(plain))
+        marked = pc.if_else(simple, pc.binary_join_element_wise(core, tail, " "), plain)
+        rest = pc.invert(simple)
+        marked = pc.replace_with_mask(marked, rest, pa.array([" ".join(self.split(w)) for w in plain.filter(rest).to_pylist()], pa.string()))
+        parts = pc.split_pattern(marked, " ")
+        if odd and any(w in self.added for w in words.to_pylist()):
+            parts = pa.array([[w] if w in self.added else p for w, p in zip(words.to_pylist(), parts.to_pylist())], pa.list_(pa.string()))
+        return parts
+
+    def of_parts(self, parts: list[str]) -> list[bytes]:
+        """The ids of distinct parts, little-endian; an empty one has none."""
+        lack = self.parts.lacking(parts)
+        self.parts.update((p, self.added.get(p, b"")) for p in lack if not p or p in self.added)
+        lack = [p for p in lack if p and p not in self.added]
+        if lack:
+            found = self.tokenizer.encode(" ".join(lack), add_special_tokens=False)
+            owner = np.array(found.word_ids, dtype=np.int64)
+            starts = np.concatenate([[0], np.flatnonzero(owner[1:] != owner[:-1]) + 1, [len(owner)]])
+            if len(starts) - 1 == len(lack):  # no part is without a token, so that is one run of tokens for each
+                ids, edges = np.array(found.ids, dtype="<u4").tobytes(), (4 * starts).tolist()
+                self.parts.update(zip(lack, [ids[a:z] for a, z in zip(edges, edges[1:])]))
+            else:  # a sign that these parts are not the tokenizer's own
+                self.parts.update((p, _bytes(self.tokenizer.encode(p, add_special_tokens=False).ids)) for p in lack)
+        return list(map(self.parts.__getitem__, parts))
+
+
+def _spans(start: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each span, one span after the other."""
+    return np.arange(number.sum()) + np.repeat(start - np.cumsum(number) + number, number)
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -83,22 +157,27 @@ def _bytes(ids: list[int]) -> bytes:
 
 
 def _tokenize(batches: Iterator[pa.RecordBatch], tokenizer_file: str, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
-    ids_of, end, step = WordIds.at(tokenizer_file), end_id.to_bytes(4, "little"), 4 * capacity
+    ids_of = WordIds.at(tokenizer_file)
     for batch in batches:
-        out = [[], [], [], [], []]
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            ids = ids_of(text.as_py()) + end
-            for piece, at in enumerate(range(0, len(ids), step)):
-                part = ids[at : at + step]
-                for column, value in zip(out, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part))):
-                    column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        sizes, at = np.cumsum(pc.binary_length(batch.column(1)).to_numpy()), 0
+        while at < batch.num_rows:  # a text alone, or several of bounded size
+            upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TEXT_AT_ONCE, side="right")))
+            ids, ends = ids_of(batch.column(1).slice(at, upto - at), end_id)
+            starts = np.concatenate([[0], ends[:-1]])
+            number = -(-(ends - starts) // capacity)
+            doc = np.repeat(np.arange(len(ends)), number)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number)
+            a = starts[doc] + piece * capacity
+            z = np.minimum(a + capacity, ends[doc])
+            crc = [zlib.crc32(ids[x:y]) for x, y in zip(a.tolist(), z.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, upto - at).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(piece * capacity, pa.int64()), pa.array(z - a, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            at = upto
 
 
 def tokenized(docs: DataFrame, tokenizer_file: str, end_id: int = 1, capacity: int = 4096) -> DataFrame:
     """Pieces of each text's ids followed by end_id: doc_id, piece, start, length and crc32 of the ids."""
     run = partial(_tokenize, tokenizer_file=tokenizer_file, end_id=end_id, capacity=capacity)
-    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))).mapInArrow(run, _PIECES)
+    return in_batches(spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))), run, _PIECES)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

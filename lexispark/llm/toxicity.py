@@ -13,10 +13,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import spread, stored, text_of
+from lexispark.llm.common import in_batches, spread, stored, text_of
 
 #: Labelled documents that the lexicon and its scale are learned from, at most; the lowest hashes of doc_id.
 LABELLED = 40_000
+#: Words that a Python worker counts before it hands their numbers on.
+COUNTED = 100_000
 #: The least part of a word's clean uses that a phrase must make up to be an exception.
 PHRASE = 0.2
 # Letters that look like Latin ones, and digits and signs that stand for letters. l and i fold together,
@@ -88,7 +90,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 around = ["", *words, ""]
                 seen.update((w, hash_of(around[i], around[i + 2])) for i, w in enumerate(words))
         yield _rows([(w, 2, m, 1) for w, m in seen])
-        if len(texts) > 500_000:
+        if len(texts) > COUNTED:
             yield _rows([(w, k, 0, n) for (w, k), n in texts.items()])
             texts.clear()
     yield _rows([(w, k, 0, n) for (w, k), n in texts.items()])
@@ -163,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED, support: int =
     all1, all0 = totals.n1 or 0, totals.n - (totals.n1 or 0)
     if not all1 or not all0:
         return Lexicon({})
-    counts = learn.mapInArrow(_count, "word string, kind int, mark long, n long").groupBy("word", "kind", "mark").agg(F.sum("n").alias("n"))
+    counts = in_batches(learn, _count, "word string, kind int, mark long, n long").groupBy("word", "kind", "mark").agg(F.sum("n").alias("n"))
     of = lambda kind, x: F.coalesce(F.sum(F.when(F.col("kind") == kind, x)), F.lit(0))
     counts = counts.groupBy("word").agg(of(0, F.col("n")).alias("n0"), F.least(of(1, F.col("n")), of(2, F.lit(1))).alias("n1")).where(F.col("n1") >= support)
     # far more frequent in toxic texts than in clean ones, before exceptions are known
@@ -172,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED, support: int =
     mixed = {w for w, (_, n0) in found.items() if n0}
     exceptions, spared = set(), Counter()
     if mixed:
-        ph = learn.mapInArrow(partial(_phrases, words=mixed), "phrase string, toxic int").groupBy("phrase").agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0"))
+        ph = in_batches(learn, partial(_phrases, words=mixed), "phrase string, toxic int").groupBy("phrase").agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0"))
         # a phrase that makes up a good part of a word's clean uses, and no toxic one
         for r in ph.where((F.col("n1") == 0) & (F.col("n0") >= support)).collect():
             for w in set(r.phrase.split(" ")) & mixed:
@@ -181,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED, support: int =
                     spared[w] = max(spared[w], r.n0)
     weights = {w: _weight(n1, max(0, n0 - spared[w]), all1, all0) for w, (n1, n0) in found.items()}
     lexicon = Lexicon({w: x for w, x in weights.items() if x >= least_weight and len(w) > 1}, exceptions)
-    scored = check.mapInArrow(partial(_strengths, lexicon=lexicon), "strength double, toxic int").toPandas()
+    scored = in_batches(check, partial(_strengths, lexicon=lexicon), "strength double, toxic int").toPandas()
     if len(scored):
         lexicon.offset, lexicon.slope = _scale(scored["strength"].to_numpy(), scored["toxic"].to_numpy())
     return lexicon
@@ -214,7 +216,7 @@ def scored(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFra
     are scored each; other columns are ignored; no rows give no rows."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     d = spread(d).withColumn("held_out", held_out())
-    return d.mapInArrow(partial(_score, lexicon=lexicon, threshold=threshold), "doc_id long, held_out boolean, score double, predicted int, n_found long")
+    return in_batches(d, partial(_score, lexicon=lexicon, threshold=threshold), "doc_id long, held_out boolean, score double, predicted int, n_found long")
 
 
 def _clean(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, threshold: float, column: int) -> Iterator[pa.RecordBatch]:
@@ -225,4 +227,4 @@ def _clean(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, threshold: float
 
 def without_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFrame:
     """docs less the rows whose score reaches the threshold, in docs' columns."""
-    return spread(docs).mapInArrow(partial(_clean, lexicon=lexicon, threshold=threshold, column=docs.columns.index("text")), docs.schema)
+    return in_batches(spread(docs), partial(_clean, lexicon=lexicon, threshold=threshold, column=docs.columns.index("text")), docs.schema)
