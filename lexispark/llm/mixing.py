@@ -17,16 +17,17 @@ WEIGHTS = (5, 2, 1)
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)))
 
 
-def ranked_sources(sources: DataFrame) -> DataFrame:
+def ranked_sources(sources: DataFrame, a_range: int = 100_000) -> DataFrame:
     """Sources (source, ...) with their place `turn` from 0 by code point, null last.
 
-    The rank is found from counts of smaller leading characters and a window within one, so no task sorts all."""
-    lead = F.coalesce(F.substring("source", 1, 4), F.lit(""))
-    own = sources.withColumn("m_null", F.col("source").isNull().cast("int")).withColumn("m_lead", lead)
-    groups = own.groupBy("m_null", "m_lead").agg(F.count("*").alias("m_n"))
-    groups = groups.withColumn("m_before", F.sum("m_n").over(W.orderBy("m_null", "m_lead")) - F.col("m_n")).drop("m_n")
-    ranked = own.withColumn("m_at", F.row_number().over(W.partitionBy("m_null", "m_lead").orderBy("source")) - 1)
-    return ranked.join(groups, ["m_null", "m_lead"]).withColumn("turn", (F.col("m_at") + F.col("m_before")).cast("long")).drop("m_null", "m_lead", "m_at", "m_before")
+    They are cut into ranges of bounded size, so no task sorts all; only the ranges' sizes are summed in one place."""
+    ranges = 1 + sources.count() // a_range
+    own = sources.withColumn("m_null", F.col("source").isNull().cast("int")).repartitionByRange(ranges, "m_null", "source")
+    own = stored(own.withColumn("m_range", F.spark_partition_id()), "ranges")
+    before = own.groupBy("m_range").agg(F.count("*").alias("m_n"))
+    before = before.select(F.col("m_range").alias("m_r"), (F.sum("m_n").over(W.orderBy("m_range")) - F.col("m_n")).alias("m_before"))
+    ranked = own.withColumn("m_at", F.row_number().over(W.partitionBy("m_range").orderBy("m_null", "source")) - 1)
+    return ranked.join(before, F.col("m_range") == F.col("m_r")).withColumn("turn", (F.col("m_at") + F.col("m_before")).cast("long")).drop("m_null", "m_range", "m_r", "m_at", "m_before")
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -34,7 +35,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     `most` times its size, and what it can't take goes to the others by weight, again and again until none is above.
 
     Each round is one aggregate over the sources and sends one row to the driver."""
-    sources = stored(ranked_sources(sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))), "sources")
+    sums = stored(sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")), "sources")
+    sources = stored(ranked_sources(sums), "sources")
     weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.pmod("turn", F.lit(len(weights))) + 1).cast("int"))
     sources = sources.withColumn("weight", weight)
     cap = F.lit(float(most)) * F.col("source_size")
@@ -78,8 +80,8 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.
     time of each time it is taken. The order is made in buckets of the hash, each of bounded size, with sums of the
     buckets before, so one source may hold any share of the rows."""
     targets = source_targets(docs, weights, share, most)
-    rows = docs.count()
-    buckets = 1 + rows // rows_a_bucket
+    rows, tasks = docs.count(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 1 + max(rows // rows_a_bucket, min(rows // 500, 4 * tasks))
     own = docs.withColumn("m_hash", F.xxhash64(F.lit(7), "doc_id", "key"))
     # ranges of the hash, so that their number does not change the order
     place = F.floor((F.col("m_hash").cast("double") / 2.0**64 + 0.5) * buckets).cast("long")
@@ -117,13 +119,15 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.
     )
 
 
-def sized(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, source, size (words of the text), key (of equal rows) and the columns named."""
-    text = text_of()
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("key"), *more,
-    )
+def _keys(docs: DataFrame) -> list[Column]:
+    """doc_id, source, and a hash of all columns; maps and variants, which have no hash, by their text."""
+    hashed = [F.to_json(F.struct(f"`{c}`")) if "map<" in kind or kind == "variant" else F.col(f"`{c}`") for c, kind in docs.dtypes]
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(*hashed).alias("key")]
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size (words of the text) and key, the same for rows that are equal in all columns."""
+    return docs.select(*_keys(docs), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"))
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
@@ -131,19 +135,30 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
     times, position.
 
     A null text has no words and is never taken; a null source is a source of its own, after all others; repeated
-    rows count as often as they come; equal hashes are ordered by doc_id; other columns are ignored; no rows give
-    no rows. Documents that are not taken have a null position and stand last."""
+    rows count as often as they come; equal hashes are ordered by doc_id; other columns only tell rows apart; no rows
+    give no rows. Documents that are not taken have a null position and stand last."""
     rows = mixed(stored(sized(docs), "sizes"), **options)
     out = rows.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), F.col("taken").cast("long").alias("taken"), "source", "times", F.element_at("positions", 1).alias("position"))
     return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def mix_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, sorted by training position, in docs' columns."""
+    """The mix itself: each row of docs as often as it is taken, sorted by training position, in docs' columns.
+
+    Rows that are equal in all columns are planned one by one, and as they are the same, one of them is given out at
+    the positions of all. Nulls and other cases as in mix_report(); scratch columns stand beside the row, so docs may
+    have columns of any name."""
     sizes = stored(sized(docs), "sizes")
-    plan = mixed(sizes, **options).where("times > 0").select("doc_id", "key", "positions", "source")
-    plan = plan.select(F.col("doc_id").alias("m_doc"), F.col("key").alias("m_key"), F.col("source").alias("m_source"), "positions").dropDuplicates(["m_doc", "m_key", "m_source"])
-    keyed = docs.withColumn("m_k", F.xxhash64(text_of()))
-    full = keyed.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("m_doc")) & (F.col("m_k") == F.col("m_key")) & F.col("source").cast("string").eqNullSafe(F.col("m_source")))
+    key = ["doc_id", "source", "key"]
+    plan = mixed(sizes, **options).where("times > 0").select(*(F.col(c).alias(f"m_{c}") for c in key), "positions")
+    again = stored(sizes.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*(F.col(c).alias(f"s_{c}") for c in key)), "again")
+    same = lambda x, y: F.col(f"{x}doc_id").eqNullSafe(F.col(f"{y}doc_id")) & (F.col(f"{x}key") == F.col(f"{y}key")) & F.col(f"{x}source").eqNullSafe(F.col(f"{y}source"))
+    keyed = docs.select(F.struct("*").alias("row"), *_keys(docs))
+    if again.isEmpty():
+        full = keyed.join(plan, same("", "m_"))
+    else:
+        plan = stored(plan, "plan")
+        one = keyed.join(again, same("", "s_"), "left_semi").groupBy(*key).agg(F.first("row").alias("row")).select("row", *key)
+        full = keyed.join(plan.join(again, same("m_", "s_"), "left_anti"), same("", "m_")).unionByName(one.join(plan.join(again, same("m_", "s_"), "left_semi"), same("", "m_")))
     full = full.withColumn("m_position", F.explode("positions"))
-    return full.orderBy("m_position", "doc_id").select(*docs.columns)
+    return full.orderBy("m_position", "m_doc_id", "m_key").select("row.*")
