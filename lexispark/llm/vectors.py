@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import components, stored
+from lexispark.llm.common import components, drop_stored, stored
 
 #: Rows of a block of dot products, which bounds the memory of a task.
 BLOCK = 1024
@@ -36,13 +36,11 @@ def unit(values: list | np.ndarray | None) -> np.ndarray | None:
 
 def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, units = [], []
+        units = []
         for i, v in zip(b.column(0).to_pylist(), b.column(1)):
-            u = unit(v.values.to_numpy(zero_copy_only=False) if v.is_valid and v.values is not None else None)
-            if u is not None and i is not None:
-                ids.append(i)
-                units.append(u.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(units, pa.binary())], names=["vec_id", "unit"])
+            u = unit(v.values.to_numpy(zero_copy_only=False) if i is not None and v.is_valid and v.values is not None else None)
+            units.append(None if u is None else u.tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(units, pa.binary())], names=["vec_id", "unit"])
 
 
 def _to_cells(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, reach: float) -> Iterator[pa.RecordBatch]:
@@ -70,7 +68,7 @@ def _to_cells(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, reach: floa
         rows = np.concatenate(rows).astype(np.int64)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate(cells).astype(np.int64)), b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), b.column(2).take(pa.array(rows)), pa.array(np.concatenate(own).astype(bool))],
-            names=["cell", "vec_id", "unit", "copies", "own"],
+            names=["cell", "node", "unit", "copies", "own"],
         )
 
 
@@ -89,12 +87,12 @@ def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _join_block(pdf: pd.DataFrame, cosine: float) -> pd.DataFrame:
     """The `mine` rows of a group against its other rows: each mine row's number of links, and a star of links
-    (vec_id, least linked id) for each component in the group.
+    (node, least linked node) for each component in the group.
 
     A vector is first compared on its leading 16 components, in single precision: the distance there is no larger
     than the whole one. What is left is compared in full, in double precision."""
     x = np.frombuffer(b"".join(pdf["unit"]), dtype=np.float64).reshape(len(pdf), -1)
-    names, node = np.unique(pdf["vec_id"].to_numpy(), return_inverse=True)
+    names, node = np.unique(pdf["node"].to_numpy(), return_inverse=True)
     copies, is_mine = pdf["copies"].to_numpy(), pdf["mine"].to_numpy()
     mine, rest = np.nonzero(is_mine)[0], np.nonzero(~is_mine)[0]
     head = np.ascontiguousarray(x[:, :16], dtype=np.float32)
@@ -121,59 +119,68 @@ def _join_block(pdf: pd.DataFrame, cosine: float) -> pd.DataFrame:
                 parent = _unite(parent, node[a], node[b])
     moved = np.nonzero(parent != np.arange(len(names)))[0]
     counted = mine[links[mine] > 0]
-    return pd.DataFrame({"vec_id": np.concatenate([names[node[counted]], names[moved]]), "links": np.concatenate([links[counted], np.full(len(moved), -1)]), "other": np.concatenate([names[node[counted]], names[parent[moved]]])})
+    return pd.DataFrame({"node": np.concatenate([names[node[counted]], names[moved]]), "links": np.concatenate([links[counted], np.full(len(moved), -1)]), "other": np.concatenate([names[node[counted]], names[parent[moved]]])})
+
+
+def _pivots(classes: DataFrame, number: int, a_cell: int, seed: int) -> np.ndarray | None:
+    """Vectors far from each other, as many as there are cells of a_cell vectors, at most the square root of their
+    number and PIVOT_SAMPLE; None if there are no vectors."""
+    drawn = classes.orderBy(F.xxhash64(F.lit(seed), "unit"), "unit").select("unit").limit(PIVOT_SAMPLE).collect()
+    sample = [np.frombuffer(r.unit, dtype=np.float64) for r in drawn]
+    if not sample:
+        return None
+    size = max({len(v) for v in sample}, key=lambda n: (sum(len(v) == n for v in sample), n))
+    sample = np.array([v for v in sample if len(v) == size])
+    wanted, chosen = min(1 + number // a_cell, 1 + math.isqrt(number), len(sample)), [0]
+    apart = np.full(len(sample), -np.inf)
+    while len(chosen) < wanted:  # each pivot is the vector farthest from those before
+        apart = np.maximum(apart, sample @ sample[chosen[-1]])
+        chosen.append(int(apart.argmin()))
+    return sample[sorted(set(chosen))]
 
 
 def vector_components(vectors: DataFrame, cosine: float = 0.95, a_cell: int = 8192, seed: int = 1) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
-    Equal unit vectors are one row with a count through the join. Pivots are drawn from a sample of at most
+    Equal unit vectors are one node with a count through the join. Pivots are drawn from a sample of at most
     PIVOT_SAMPLE vectors; any pivots give the same links. Each cell's own vectors are compared with all vectors that
     reach the cell, in groups of bounded size, so every link of a vector is found, once, in that vector's own cell.
     A group returns counts and a spanning star of links, never all pairs.
 
-    Null, zero or non-finite vectors link with nothing; vectors of different lengths never link; a null vec_id is a
-    row that links with nothing; rows that repeat a vec_id count as one vector (the least by value if they differ);
-    other columns are ignored; an empty table gives an empty result."""
-    spark = vectors.sparkSession
-    all_rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    once = all_rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    units = once.mapInArrow(_unit_rows, "vec_id long, unit binary")
-    each = stored(units, "vectors")
-    classes = stored(each.groupBy("unit").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")), "classes")
+    Null, zero or non-finite vectors link with nothing; vectors of different lengths never link; a row with a null
+    vec_id stays and links with nothing; rows that repeat a vec_id are a vector each, and link with each other too if
+    they are near; other columns are ignored; an empty table gives an empty result."""
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    each = stored(rows.mapInArrow(_unit_rows, "vec_id long, unit binary"), "vectors")
+    classes = each.where(F.col("unit").isNotNull()).groupBy("unit").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     number = classes.count()
-    sample = [np.frombuffer(r.unit, dtype=np.float64) for r in classes.orderBy(F.xxhash64(F.lit(seed), "vec_id")).select("unit").limit(PIVOT_SAMPLE).collect()]
-    if not sample:
-        return once.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    size = max({len(v) for v in sample}, key=lambda n: (sum(len(v) == n for v in sample), n))
-    sample = np.array([v for v in sample if len(v) == size])
-    wanted, chosen = min(256, 1 + number // a_cell), [0]
-    apart = np.full(len(sample), -np.inf)
-    while len(chosen) < min(wanted, len(sample)):  # each pivot is the vector farthest from those before
-        apart = np.maximum(apart, sample @ sample[chosen[-1]])
-        chosen.append(int(apart.argmin()))
-    pivots, reach = sample[sorted(set(chosen))], math.sqrt(2 - 2 * cosine)
-    cells = stored(classes.select("vec_id", "unit", "copies").mapInArrow(partial(_to_cells, pivots=pivots, reach=reach), "cell long, vec_id long, unit binary, copies long, own boolean"), "cells")
+    pivots, reach = _pivots(classes, number, a_cell, seed), math.sqrt(2 - 2 * cosine)
+    if pivots is None:
+        return each.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    cells = stored(classes.select("node", "unit", "copies").mapInArrow(partial(_to_cells, pivots=pivots, reach=reach), "cell long, node long, unit binary, copies long, own boolean"), "cells")
     # A cell's own vectors are dealt to parts, all its vectors to blocks; a group is a part against a block.
     bound = lambda n, most: F.greatest(F.lit(1), F.ceil(n / F.lit(most))).cast("int")
     sizes = cells.groupBy("cell").agg(F.sum(F.col("own").cast("int")).alias("n"), F.count("*").alias("m")).where("n > 0")
     sizes = sizes.select("cell", bound(F.col("n"), a_cell).alias("parts"), bound(F.col("m"), 2 * a_cell).alias("blocks"))
-    dealt = cells.join(F.broadcast(sizes), "cell").withColumn("hash", F.xxhash64("vec_id"))
+    dealt = cells.join(F.broadcast(sizes), "cell").withColumn("hash", F.xxhash64("node"))  # a row for each pivot or length
     part, block = F.pmod("hash", "parts").cast("int"), F.pmod("hash", "blocks").cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    mine = dealt.where("own").select("cell", part.alias("part"), every("blocks").alias("block"), "vec_id", "unit", "copies", F.lit(True).alias("mine"))
-    rest = dealt.select("cell", every("parts").alias("part"), block.alias("block"), "vec_id", "unit", "copies", F.lit(False).alias("mine"))
-    joined = mine.unionByName(rest).groupBy("cell", "part", "block").applyInPandas(lambda pdf: _join_block(pdf, cosine), "vec_id long, links long, other long")
+    mine = dealt.where("own").select("cell", part.alias("part"), every("blocks").alias("block"), "node", "unit", "copies", F.lit(True).alias("mine"))
+    rest = dealt.select("cell", every("parts").alias("part"), block.alias("block"), "node", "unit", "copies", F.lit(False).alias("mine"))
+    joined = mine.unionByName(rest).groupBy("cell", "part", "block").applyInPandas(lambda pdf: _join_block(pdf, cosine), "node long, links long, other long")
     joined = stored(joined, "links")
-    counts = joined.where("links > 0").groupBy("vec_id").agg(F.sum("links").alias("links"))
-    linked = components(joined.where("links < 0").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
-    lead = classes.select(F.col("unit").alias("c_unit"), F.col("vec_id").alias("lead"), "copies")
-    full = each.join(lead, F.col("unit") == F.col("c_unit")).select("vec_id", "lead", "copies")
-    full = full.join(counts.withColumnRenamed("vec_id", "l_id"), F.col("lead") == F.col("l_id"), "left").join(linked, F.col("lead") == F.col("node"), "left")
-    full = full.select(F.col("vec_id").alias("f_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "lead").alias("c"))
-    out = once.select("vec_id").join(full, F.col("vec_id") == F.col("f_id"), "left")
-    component = F.coalesce("c", "vec_id")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    drop_stored(cells)
+    counts = joined.where("links > 0").groupBy(F.col("node").alias("l_node")).agg(F.sum("links").alias("links"))
+    label = components(joined.where("links < 0").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    label = label.select(F.col("node").alias("c_node"), "component")
+    full = classes.join(counts, F.col("node") == F.col("l_node"), "left").join(label, F.col("node") == F.col("c_node"), "left")
+    full = stored(full.select("unit", "vec_id", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "full")
+    least = stored(full.where("component is not null").groupBy(F.col("component").alias("of")).agg(F.min("vec_id").alias("least")), "least")
+    full = full.join(least, F.col("component") == F.col("of"), "left").select(F.col("unit").alias("f_unit"), "n_links", F.coalesce("least", "vec_id").alias("component_id"))
+    out = each.join(full, F.col("unit") == F.col("f_unit"), "left")
+    component = F.coalesce("component_id", "vec_id")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
 #: The rows of vector_components() over `embeddings`, by all pairs.
