@@ -141,6 +141,14 @@ def test_fingerprints(spark):
     assert fp.fingerprint_report(docs(spark, [(5, "a b c", "s"), (5, "a b c", "s"), (None, "q", None), (5, "d", "s")])).count() == 4
 
 
+def test_fingerprints_by_many_ranges(spark):
+    from lexispark.llm import fingerprints as fp
+
+    rows = corpus(2, 60) + [(None, f"no id {i} " * 5, "s") for i in range(20)] + [(9, f"again {i}", "s") for i in range(10)]
+    one, many = ([tuple(r) for r in fp.fingerprint_report(docs(spark, rows), ranges=n).collect()] for n in (1, 300))
+    assert len(one) == len(rows) and Counter(one) == Counter(many)
+
+
 def test_collisions_follow_generalised_jaccard():
     from lexispark.llm import fingerprints as fp
 
@@ -200,7 +208,7 @@ def shingle_set(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def linked_groups(rows, percent=85):
+def linked_groups(rows, percent=80):
     sets = [shingle_set(t) for _, t, _ in rows]
     up = list(range(len(rows)))
 
@@ -239,6 +247,47 @@ def test_near_duplicates(spark, monkeypatch, long):
     assert near_dups.near_duplicates(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_near_duplicates_at_half(spark):
+    from lexispark.llm import near_dups
+
+    rng, rows = random.Random(6), []
+    for i in range(60):  # pairs whose sets share a little over half
+        w = [f"p{i}w{k}" for k in range(rng.randint(60, 200))]
+        at = len(w) * 18 // 25
+        rows += [(2 * i, " ".join(w), "s"), (2 * i + 1, " ".join(w[:at] + [f"q{i}w{k}" for k in range(len(w) - at)]), "s")]
+    got = near_dups.near_duplicates(docs(spark, rows), percent=50).drop("tkey")
+    assert {tuple(r) for r in got.collect()} == linked_groups(rows, 50)
+    assert sum(not k for *_, k in linked_groups(rows, 50)) > 50
+
+
+def test_near_duplicates_of_stock_paragraphs(spark, monkeypatch):
+    from lexispark.llm import near_dups
+
+    rng = random.Random(16)
+    stock = [words(rng, 40) for _ in range(12)]
+    rows = [(i, " ".join(rng.sample(stock, rng.randint(2, 6))), "s") for i in range(150)]
+    rows += [(1000 + i, rows[i][1] + " tail", "s") for i in range(0, 150, 3)]
+    seen = []
+    near = near_dups._estimated
+    monkeypatch.setattr(near_dups, "_estimated", lambda pairs, *a: (seen.append(pairs.count()), near(pairs, *a))[1])
+    got = near_dups.near_duplicates(docs(spark, rows), percent=85).drop("tkey")
+    assert {tuple(r) for r in got.collect()} == linked_groups(rows, 85)
+    assert sum(seen) < 10 * len(rows)
+
+
+def test_copies_without_ids(spark):
+    from lexispark.llm import near_dups
+
+    rng = random.Random(7)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    rows = [(None, a, "s"), (None, a + " x", "s"), (None, a, "s"), (None, b, "s"), (5, b + " y", "s"), (None, None, "s"), (None, c, "s")]
+    d = docs(spark, rows).withColumn("row", F.lit("own")).withColumn("d_key", F.lit("mine")).withColumn("r_doc", F.lit("x"))
+    left = near_dups.without_near_duplicates(d)
+    assert left.columns == d.columns and all((r.row, r.d_key, r.r_doc) == ("own", "mine", "x") for r in left.collect())
+    texts = Counter(r.text for r in left.collect())
+    assert texts[a] + texts[a + " x"] == 1 and texts == Counter([t for t in (a, a + " x") if texts[t]] + [b + " y", None, c])
+
+
 @pytest.mark.parametrize("n", [50, 400])
 def test_near_duplicates_between_80_and_85(spark, n):
     from corpus_pipeline import drop_near_duplicates
@@ -251,7 +300,7 @@ def test_near_duplicates_between_80_and_85(spark, n):
     assert 0.8 <= len(sets[1]) / len(sets[0]) < 0.85 and len(sets[2]) / len(sets[1]) < 0.8
     left = drop_near_duplicates(spark, docs(spark, rows), None)
     assert sorted(r.doc_id for r in left.collect()) == [1, 3]
-    assert {tuple(r) for r in near_dups.near_duplicates(docs(spark, rows), percent=85).drop("tkey").collect()} == linked_groups(rows)
+    assert {tuple(r) for r in near_dups.near_duplicates(docs(spark, rows), percent=85).drop("tkey").collect()} == linked_groups(rows, 85)
     assert (near_dups.shared(85), near_dups.first_values(85)) == (32, 16)
 
 
@@ -320,7 +369,46 @@ def test_mixing(spark):
     for r in got:
         want[r.doc_id] += r.times
     assert Counter(r.doc_id for r in mixed.collect()) == +want
-    assert mix_report(docs(spark, rows).limit(0)).count() == 0
+    assert mix_report(docs(spark, rows).limit(0)).count() == 0 and mix_rows(docs(spark, rows).limit(0)).count() == 0
+
+
+def test_mixing_of_equal_rows(spark):
+    from lexispark.llm.mixing import mix_report, mix_rows
+
+    rows = [(1, "one two three", "a")] * 7 + [(2, "four five", "a")] * 2 + [(None, "six", None)] * 3 + [(3, "seven eight nine ten", "b")]
+    d = docs(spark, rows).withColumn("m_k", F.lit("kept")).withColumn("row", F.lit(1)).withColumn("m_doc_id", F.lit("x"))
+    want = Counter()
+    for r in mix_report(d).collect():
+        want[r.doc_id] += r.times
+    for _ in range(2):
+        got = mix_rows(d).collect()
+        assert Counter(r.doc_id for r in got) == +want and all((r.m_k, r.row, r.m_doc_id) == ("kept", 1, "x") for r in got)
+
+
+def test_sources_are_ranked_by_code_point(spark):
+    from lexispark.llm.mixing import ranked_sources
+
+    names = ["", "a", "https://b", "https://a", "http", "é", "z", "\U0001f642", "\uffee", None, *(f"https://x{i}" for i in range(50))]
+    got = ranked_sources(spark.createDataFrame([(n,) for n in names], "source string"), a_range=9).collect()
+    assert [r.source for r in sorted(got, key=lambda r: r.turn)] == sorted(filter(lambda n: n is not None, names)) + [None]
+    assert sorted(r.turn for r in got) == list(range(len(names)))
+
+
+def test_positions_by_slow_summation(spark):
+    from lexispark.llm.mixing import SCHEDULES, mix_report
+
+    got = mix_report(docs(spark, corpus(17, 90))).collect()
+    names = sorted({r.source for r in got}, key=lambda s: (s is None, s or ""))
+    times = np.linspace(0, 1, 20001)
+    for i, s in enumerate(names):
+        factor = np.interp(times, *zip(*SCHEDULES[i % 3]))
+        done = np.concatenate([[0], np.cumsum((factor[1:] + factor[:-1]) / 2) / 20000])
+        taken = sorted((r for r in got if r.source == s and r.taken), key=lambda r: r.position)
+        before = 0
+        for r in taken:  # those taken once more at the end come a second time after the whole source
+            if r.position is not None and before <= taken[0].target:
+                assert abs(np.interp(r.position, times, done) * r.target - before) < max(2, 0.002 * r.target) or r.times < taken[0].times
+            before += r["size"]
 
 
 # 8 ---------------------------------------------------------------------------------------------------------------------
@@ -361,8 +449,7 @@ def test_packing(spark):
 
     file = public.path("word_bpe_49k.json")
     plain = tokenizers.Tokenizer.from_file(file)
-    plain.encode_special_tokens = True
-    odd = ["ΣΑΣ İs don't we'll 'thing '''s", "a\x1cb c\x85d​e f", "été ́x x́", "½ ② x² 日本語 🙂🙂", "<|endoftext|>"]
+    odd = ["ΣΑΣ İs don't we'll 'thing '''s", "a\x1cb c\x85d​e f", "été ́x x́", "½ ② x² 日本語 🙂🙂", "<|endoftext|>", "a<|startoftext|>b <|endoftext|>\x1d<|ENDOFTEXT|>", "\x00a\x01.b \x7f rock'n'roll it's. 12ab3,c", " \n "]
     rows = corpus(8) + [(3000 + i, t, "s") for i, t in enumerate(odd)] + [(3000, odd[0], "s"), (None, "tail", "s")]
     for bucket in (50_000, 3):
         pieces = packing.stored(packing.tokenized(docs(spark, rows), file), "pieces")
@@ -464,22 +551,25 @@ def test_vectors(spark, a_cell):
     near = base[:40] + 0.05 * rng.standard_normal((40, 24))
     chain = [base[0] + 0.12 * k * base[1] for k in range(12)]
     rows = [(i * 2, v.tolist()) for i, v in enumerate([*base, *near, *chain])]
-    rows += [(900 + i, rows[5][1]) for i in range(30)] + [(1000, [x * 2 for x in rows[6][1]]), (1001, None), (1002, [0.0] * 24), (1003, [math.nan] * 24), (1004, [None] * 24), (1005, [1.0, 2.0]), (1006, [1.0, 2.0]), (1007, []), (1008, [math.inf] + [1.0] * 23), (10, rows[5][1]), (1009, [1e200] * 24), (1010, [1e-200] * 24)]
-    d = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, unit string")
-    got = {r.vec_id: r for r in vector_components(d, a_cell=a_cell).collect()}
-    units = {i: unit(v) for i, v in rows}
-    ids = sorted(units)
-    links = {i: [j for j in ids if j != i and units[i] is not None and units[j] is not None and len(units[i]) == len(units[j]) and units[i] @ units[j] >= 0.95] for i in ids}
-    assert sorted(got) == ids
-    for i in ids:
-        seen, todo = {i}, [i]
+    rows += [(900 + i, rows[5][1]) for i in range(30)] + [(1000, [x * 2 for x in rows[6][1]]), (1001, None), (1002, [0.0] * 24), (1003, [math.nan] * 24), (1004, [None] * 24), (1005, [1.0, 2.0]), (1006, [1.0, 2.0]), (1007, []), (1008, [math.inf] + [1.0] * 23), (1009, [1e200] * 24), (1010, [1e-200] * 24)]
+    # repeated ids, with equal and with other vectors, and rows without one
+    rows += [(10, rows[5][1]), (20, rows[30][1]), (20, (-np.array(rows[31][1])).tolist()), (None, rows[5][1]), (None, rows[6][1]), (None, None)]
+    d = spark.createDataFrame([(i, v, "x", 1, 2) for i, v in rows], "vec_id long, embedding array<double>, unit string, node int, copies int")
+    got = Counter(tuple(r) for r in vector_components(d, a_cell=a_cell).collect())
+    units = [None if i is None else unit(v) for i, v in rows]
+    links = [[j for j, u in enumerate(units) if j != k and own is not None and u is not None and len(u) == len(own) and u @ own >= 0.95] for k, own in enumerate(units)]
+    want = Counter()
+    for k, (i, _) in enumerate(rows):
+        seen, todo = {k}, [k]
         while todo:
             for j in links[todo.pop()]:
                 if j not in seen:
                     seen.add(j)
                     todo.append(j)
-        assert (got[i].n_links, got[i].component_id, got[i].kept) == (len(links[i]), min(seen), i == min(seen)), i
-    assert vector_components(d.limit(0)).count() == 0
+        low = None if i is None else min(rows[j][0] for j in seen)
+        want[i, len(links[k]), low, i is None or i == low] += 1
+    assert got == want
+    assert vector_components(d.limit(0)).count() == 0 and vector_components(d.where("vec_id in (1001, 1002)")).count() == 2
 
 
 # Pipeline ----------------------------------------------------------------------------------------------------------------
