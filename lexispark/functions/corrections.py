@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,105 +29,75 @@ def join_expansions(c: Column | str, expansions: Iterable[str], low: int = 2, hi
     return F.pandas_udf(lambda s: pd.Series([one(x) for x in s], dtype="object"), "string")(c)
 
 
-@dataclass
-class _Mined:
-    """Changes found so far: [original, new] lists, in order."""
-
-    abbreviations: list[list[str]] = field(default_factory=list)
-    spellings: list[list[str]] = field(default_factory=list)
-
-    def glue(self, spelling: bool, token: str) -> None:
-        """A token that nothing matched goes to the change before it."""
-        where = self.spellings if spelling else self.abbreviations
-        if where and token:
-            where[-1][1] = token if where[-1][1] == NO_CHANGE else f"{where[-1][1]}_{token}"
+def _steps(token: str, target: list[str], j: int) -> list[tuple[str, int, tuple[int, int]]]:
+    """How a token of the normalised text may stand for target words from j on: (kind, words, gain). The gain is one
+    kept word, or one changed word; kept words count first."""
+    parts, found = token.split("_"), []
+    if token == target[j] or (len(parts) > 1 and "".join(parts) == target[j]):
+        found.append(("kept", 1, (1, 0)))
+    if len(parts) > 1 and target[j : j + len(parts)] == parts:
+        found.append(("kept", len(parts), (1, 0)))
+    if not found and not token.isdigit():
+        initials, there = [p[:1] for p in parts if p], [t[:1] for t in target[j : j + len(parts)]]
+        if initials and initials == there:
+            found.append(("changed", len(parts), (0, 1)))
+    return found
+
+
+def aligned(tokens: list[str], target: list[str]) -> list[tuple[str, int, int, int]]:
+    """The best alignment of two texts that keeps their order: most kept words, then most changed ones, each with
+    words of the same initials; the first such words among equals. Steps (kind, token, target, words): kept, changed,
+    lost (a token without counterpart) and new (a target word without one), lost ones before new ones."""
+    n, m = len(tokens), len(target)
+    gain = [[(0, 0)] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            ways = [gain[i + 1][j], gain[i][j + 1]]
+            ways += [(g[0] + gain[i + 1][j + w][0], g[1] + gain[i + 1][j + w][1]) for _, w, g in _steps(tokens[i], target, j)]
+            gain[i][j] = max(ways)
+    path, i, j = [], 0, 0
+    while i < n or j < m:
+        step = None
+        if i < n and j < m:
+            step = next(((k, w) for k, w, g in _steps(tokens[i], target, j) if (g[0] + gain[i + 1][j + w][0], g[1] + gain[i + 1][j + w][1]) == gain[i][j]), None)
+        if step:
+            path.append((step[0], i, j, step[1]))
+            i, j = i + 1, j + step[1]
+        elif i < n and gain[i + 1][j] == gain[i][j]:
+            path.append(("lost", i, j, 0))
+            i += 1
+        else:
+            path.append(("new", i, j, 1))
+            j += 1
+    return path
 
 
 def mine(original: str, norm: str, changes: str | None, corrected: str, expansions: dict[str, list[str]] | None = None) -> tuple[str | None, str | None]:
     """Abbreviations and spellings, as `orig:new;` lists, that lead from the normalised to the corrected text.
 
-    Tokens of the normalised text are aligned with those of the corrected one from left to right: equal tokens, then
-    known joins, then tokens with the same initials. `expansions` maps an expansion to its abbreviations; a change of
-    one whose abbreviation occurs in the original is an abbreviation. Spellings that got an underscore are moved to
-    the abbreviations at the end."""
-    original, norm, corrected = original.lower(), norm.lower().replace("/", " "), corrected.lower()
-    corrected = re.sub(" {2,}", " ", re.sub("[^A-Za-z0-9+%.>/&]", " ", corrected)).replace("/", " ")
-    before = {}
-    for pair in (changes or "").split("||"):
-        if len(pair) > 1 and ":" in pair:
-            old, new = pair.split(":")[:2]
-            before[new] = old
-    own, tokens, target = set(original.split(" ")), norm.split(" "), corrected.split(" ")
-    state, at, mined = [0] * len(target), -1, _Mined()
-
-    def record(token: str, change: str) -> None:
-        for short in (expansions or {}).get(token, []):
-            if short.lower() in original:
-                mined.abbreviations.append([short, change])
-                return
-        mined.spellings.append([before.get(token, token), change])
-
-    def flush(upto: int) -> None:
-        for i in range(upto):
-            if state[i] == 0 and target[i] not in own:
-                left = state[i - 1]
-                if left in (1, 2):
-                    mined.glue(left == 1, target[i])
-                    state[i] = left
-
-    def agrees(j: int, place: int) -> bool:
-        """Whether what follows token j comes after this place too."""
-        for token in tokens[j + 1 :]:
-            if token in target and target.index(token) > place:
-                return True
-            if not token.isdigit():
-                same = (i for i in range(at + 1, len(target)) if target[i][:1] == token[:1])
-                return next(same, len(target)) > place
-        return True
-
-    for j, token in enumerate(tokens):
-        if len(token) < 2:
-            continue
-        if token in target:
-            at = target.index(token)
-            state[at] = 1
-            continue
-        if token.isdigit():
-            continue
-        parts = token.split("_")
-        if len(parts) > 1:
-            if " ".join(parts) in corrected or "".join(parts) in corrected:
-                for i in range(at + 1, min(at + 1 + len(parts), len(target))):
-                    state[i] = 2
-                at += len(parts)
-                continue
-            done = False
-            for i in range(at + 1, len(target) - 1):
-                if all((parts[0], parts[1], target[i], target[i + 1])) and (parts[0][0], parts[1][0]) == (target[i][0], target[i + 1][0]):
-                    if agrees(j, at + i + len(parts) - 1):
-                        flush(i)
-                        record(token, "_".join(target[i : i + len(parts)]))
-                        for k in range(i, min(i + len(parts), len(target))):
-                            state[k] = 1
-                        at, done = at + i + len(parts) - 1, True
-                    break
-            if done:
-                continue
-        place = next((i for i in range(at + 1, len(target)) if target[i][:1] == token[:1]), None)
-        if place is None:
-            flush(max(0, min(at, len(target))))
-            record(token, NO_CHANGE)
-        else:
-            flush(place)
-            if agrees(j, place):
-                record(token, target[place])
-            at = place
-            state[place] = 1
-    flush(len(target))
-    moved = [c for c in mined.spellings if "_" in "".join(c)]
-    spellings = [c for c in mined.spellings if "_" not in "".join(c)]
-    said = lambda rows: "".join(f"{a}:{b};" for a, b in rows) or None
-    return said(mined.abbreviations + moved), said(spellings)
+    The texts are aligned word by word (aligned()). A changed word gives a change; a lost one changes to NO_CHANGE; a
+    new word that the original has not either joins the change before it with an underscore. Single signs and lost
+    numbers give nothing. A change starts from the word that the normaliser had replaced, where `changes` tells.
+    `expansions` maps an expansion to its abbreviations: a change of one whose abbreviation is in the original is an
+    abbreviation, and so is every change that has an underscore; these follow the others."""
+    original, norm = original.lower(), norm.lower().replace("/", " ")
+    target = re.sub("[^a-z0-9+%.>/&]", " ", corrected.lower()).replace("/", " ").split()
+    tokens, own = [t for t in norm.split() if len(t) > 1], set(original.split())
+    before = {new: old for old, _, new in (pair.partition(":") for pair in (changes or "").split("||")) if new}
+    found: list[list[str]] = []  # [list, word, change]
+    for kind, i, j, width in aligned(tokens, target):
+        if kind == "new":
+            if found and target[j] not in own:
+                found[-1][2] = target[j] if found[-1][2] == NO_CHANGE else f"{found[-1][2]}_{target[j]}"
+        elif kind != "kept" and not tokens[i].isdigit():
+            change = "_".join(target[j : j + width]) if kind == "changed" else NO_CHANGE
+            short = next((x for x in (expansions or {}).get(tokens[i], []) if x.lower() in original), None)
+            found.append(["known" if short else "spelling", short or before.get(tokens[i], tokens[i]), change])
+    known = [c for c in found if c[0] == "known"]
+    joined = [c for c in found if c[0] == "spelling" and "_" in c[1] + c[2]]
+    spellings = [c for c in found if c[0] == "spelling" and "_" not in c[1] + c[2]]
+    said = lambda rows: "".join(f"{a}:{b};" for _, a, b in rows) or None
+    return said(known + joined), said(spellings)
 
 
 def surround(changes: str | None, original: str) -> str:

@@ -60,10 +60,15 @@ def _(t: Tables):
     return t.part.select("p_partkey", corrections.join_expansions(F.lower(F.concat_ws(" ", "p_name", "p_type")), _GRAMS).alias("joined"))
 
 
-@query("T7_T8_mined_corrections")
-def _(t: Tables):
-    d = t.part.select("p_partkey", F.col("p_name").alias("original"), F.concat_ws(" ", "p_name", F.lower("p_type")).alias("norm"), F.lit(None).cast("string").alias("changes"), F.concat_ws(" ", "p_name", F.lower("p_brand")).alias("corrected"))
-    return corrections.mined_changes(d)
+# The original `sol <second word> <brand> iv` was normalised with `sol` as solid and `iv` as a known expansion, and
+# corrected to the part's name and `inner valve`, without the brand.
+@query("T7_T8_mined_corrections", """
+WITH p AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, lower(replace(p_brand, '#', '')) AS brand FROM part)
+SELECT p_partkey, 'iv:inner_valve:' || brand AS abbreviations, 'sol:' || a || ':' || b || ';' || brand || ':NoChange:iv' AS spellings FROM p""")
+def _(t: Tables):
+    a, b, brand = F.split("p_name", " ")[0], F.split("p_name", " ")[1], F.lower(F.regexp_replace("p_brand", "#", ""))
+    d = t.part.select("p_partkey", F.concat_ws(" ", F.lit("sol"), b, brand, F.lit("iv")).alias("original"), F.concat_ws(" ", F.lit("solid"), b, brand, F.lit("intra_venous")).alias("norm"), F.lit("sol:solid||iv:intra_venous").alias("changes"), F.concat_ws(" ", a, b, F.lit("inner valve")).alias("corrected"))
+    return corrections.mined_changes(d, {"intra_venous": ["iv"]}).select("p_partkey", "abbreviations", "spellings")
 
 
 @query("T9_feature_tokens")

@@ -59,11 +59,51 @@ def test_surround():
     assert corrections.surround(None, "a") == ""
 
 
-def test_mining():
-    assert corrections.mine("ring smll", "ring smll", None, "ring small") == (None, "smll:small;")
-    assert corrections.mine("ring", "ring", None, "ring") == (None, None)
-    assert corrections.mine("ring xx", "ring xx", None, "ring") == (None, "xx:NoChange;")
-    assert corrections.mine("soln bag", "solution bag", "soln:solution", "saline bag") == (None, "soln:saline;")
+@pytest.mark.parametrize(
+    "original, norm, changes, corrected, expansions, abbreviations, spellings",
+    [
+        ("ring smll", "ring smll", None, "ring small", None, None, "smll:small;"),
+        ("ring", "ring", None, "ring", None, None, None),
+        ("ring xx", "ring xx", None, "ring", None, None, "xx:NoChange;"),
+        ("soln bag", "solution bag", "soln:solution", "saline bag", None, None, "soln:saline;"),
+        # a word that stands for several, and words that a lost one became
+        ("tkr kit", "tkr kit", None, "total knee replacement kit", None, "tkr:total_knee_replacement;", None),
+        ("kit xq", "kit xq", None, "kit for wound care", None, "xq:for_wound_care;", None),
+        # joined expansions are kept apart, joined or as one word
+        ("tkr kit", "total_knee_replacement kit", "tkr:total_knee_replacement", "Total Knee Replacement kit", None, None, None),
+        ("icu bed", "in_tube bed", "icu:in_tube", "intube bed", None, None, None),
+        ("iv set", "intra_venous set", "iv:intra_venous", "internal valve set", None, "iv:internal_valve;", None),
+        # known expansions, by the abbreviation that the original has
+        ("iv bag", "intravenous bag", "iv:intravenous", "invasive bag", {"intravenous": ["ivn", "IV"]}, "IV:invasive;", None),
+        # order is kept: what comes after decides which word of equal initials is meant
+        ("sal sol", "sal sol", None, "saline sterile solution", None, "sol:sterile_solution;", "sal:saline;"),
+        ("bolt ring", "bolt ring", None, "ring bolt", None, None, "bolt:NoChange;"),
+        # numbers, single signs, slashes and signs that are no letters
+        ("500 ml/hr x bag", "500 ml/hr x bag", None, "250 ML / HR, bag", None, None, None),
+        ("", "", None, "", None, None, None),
+        ("a  b", "aa  bb", "aa", "ab bc", None, None, "aa:ab;bb:bc;"),
+    ],
+)
+def test_mining(original, norm, changes, corrected, expansions, abbreviations, spellings):
+    assert corrections.mine(original, norm, changes, corrected, expansions) == (abbreviations, spellings)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from(["ab", "ac", "bc", "b_c", "12"]), max_size=4), st.lists(st.sampled_from(["ab", "a", "bc", "b", "c", "12"]), max_size=5))
+def test_alignment_is_the_best(tokens, target):
+    def best(i, j):
+        if i == len(tokens) or j == len(target):
+            return (0, 0)
+        ways = [best(i + 1, j), best(i, j + 1)]
+        for _, w, g in corrections._steps(tokens[i], target, j):
+            rest = best(i + 1, j + w)
+            ways.append((g[0] + rest[0], g[1] + rest[1]))
+        return max(ways)
+
+    path = corrections.aligned(tokens, target)
+    assert (sum(k == "kept" for k, *_ in path), sum(k == "changed" for k, *_ in path)) == best(0, 0)
+    assert [i for k, i, _, _ in path if k != "new"] == list(range(len(tokens)))
+    assert [x for k, _, j, w in path for x in range(j, j + w)] == list(range(len(target)))
 
 
 def test_change_rows(spark):
