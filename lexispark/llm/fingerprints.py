@@ -8,39 +8,41 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import text_of
+from lexispark.llm.common import in_batches, text_of
 
 #: Samples of a fingerprint. The share that two fingerprints have alike is off by about 1 / (2 * sqrt(SAMPLES)).
 SAMPLES = 128
-#: Terms with their weight whose samples a worker works out at once; and terms whose random draws it keeps.
-_AT_ONCE, _KEEP = 2048, 120_000
+#: Terms with their weight whose samples a worker works out, or compares, at once; and whose samples it keeps.
+_AT_ONCE, _KEEP = 1024, 100_000
 _u = np.uint64
 _EACH = np.arange(SAMPLES)
+_SEEDS = (np.arange(SAMPLES, dtype=np.uint64) + _u(1)) * _u(0x9E3779B97F4A7C15)
 
 
 def _draws(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each term hash and sample: r and ln c, with r and c of the gamma distribution (2, 1), and beta, uniform."""
+    """For each term hash and sample: r and ln c, with r and c of the gamma distribution (2, 1), and beta, uniform.
+
+    Each comes from 64 bits of the term and the sample: a sum of two exponential draws has that distribution."""
     with np.errstate(over="ignore"):
-        seed = (np.arange(SAMPLES * 2, dtype=np.uint64) + _u(1)) * _u(0x9E3779B97F4A7C15)
-        h = terms[:, None] ^ seed[None, :]
+        h = terms[:, None] ^ _SEEDS
         for by in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
-            h ^= h >> _u(30)
+            h ^= h >> _u(31)
             h *= _u(by)
         h ^= h >> _u(31)
-    one, two = h[:, :SAMPLES], h[:, SAMPLES:]
-    bits = np.uint64((1 << 24) - 1)
-
-    def uniform(x: np.ndarray) -> np.ndarray:
-        return (x.astype(np.uint32).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
-
-    r = -np.log(uniform(one >> _u(40)) * uniform((one >> _u(16)) & bits))  # a sum of two exponential draws
-    c = -np.log(uniform(two >> _u(40)) * uniform((two >> _u(16)) & bits))
-    return r, np.log(c), uniform(((one & _u(0xFFFF)) << _u(8)) | (two & _u(0xFF)))
+        beta = ((h * _u(0xD6E8FEB86659FD93)) >> _u(40)).astype(np.float32)
+    beta *= np.float32(2.0**-24)
+    uniform = h.view(np.uint16).astype(np.float32)
+    uniform += np.float32(0.5)
+    drawn = uniform[:, ::2] * uniform[:, 1::2]
+    drawn *= np.float32(2.0**-32)
+    np.negative(np.log(drawn, out=drawn), out=drawn)
+    return drawn[:, ::2], np.log(drawn[:, 1::2]), beta
 
 
 def terms(text: str) -> Counter[str]:
@@ -60,26 +62,35 @@ class Sampler:
     kept."""
 
     def __init__(self):
-        self.place: dict[tuple[str, int], int] = {}
+        self.place: dict[str | tuple[str, int], int] = {}  # by term and count; by the term alone for a count of 1
         self.keys = np.zeros((0, SAMPLES), np.float32)
         self.marks = np.zeros((0, SAMPLES), np.uint16)
+        self.room = np.empty((_AT_ONCE, SAMPLES), np.float32)
         self.size = 0
 
-    def _learn(self, new: list[tuple[str, int]]) -> None:
+    def _learn(self, new: list) -> None:
         while self.size + len(new) > len(self.keys):
-            grow = max(_AT_ONCE, len(self.keys))
+            grow = max(_AT_ONCE, len(self.keys))  # twice _KEEP rows at most
             self.keys = np.concatenate([self.keys, np.zeros((grow, SAMPLES), np.float32)])
             self.marks = np.concatenate([self.marks, np.zeros((grow, SAMPLES), np.uint16)])
         for at in range(0, len(new), _AT_ONCE):
             some = new[at : at + _AT_ONCE]
-            hashes = np.array([xxhash.xxh64_intdigest(t) for t, _ in some], dtype=np.uint64)
+            pairs = [(t, 1) if type(t) is str else t for t in some]
+            hashes = np.array([xxhash.xxh64_intdigest(t) for t, _ in pairs], dtype=np.uint64)
             r, c, beta = _draws(hashes)
-            level = np.floor(np.log(np.array([n * len(t) for t, n in some], np.float32))[:, None] / r + beta)
+            level = np.log(np.array([n * len(t) for t, n in pairs], np.float32))[:, None] / r
+            level += beta
+            np.floor(level, out=level)
             a, z = self.size, self.size + len(some)
-            self.keys[a:z] = c - r * (level - beta) - r
             with np.errstate(over="ignore"):
-                mark = (hashes[:, None] ^ (level.astype(np.int64).astype(np.uint64) * _u(0x9E3779B97F4A7C15))) * _u(0xBF58476D1CE4E5B9)
-            self.marks[a:z] = (mark >> _u(48)).astype(np.uint16)
+                mark = level.astype(np.int32).view(np.uint32) * np.uint32(0x9E3779B1)
+                mark ^= (hashes >> _u(32)).astype(np.uint32)[:, None]
+                mark *= np.uint32(0x85EBCA77)
+            self.marks[a:z] = mark.view(np.uint16)[:, 1::2]
+            level -= beta
+            level += np.float32(1)
+            level *= r
+            np.subtract(c, level, out=self.keys[a:z])
             self.place.update(zip(some, range(a, z)))
             self.size = z
 
@@ -89,7 +100,7 @@ class Sampler:
         if not found:
             return out
         best = np.full(SAMPLES, np.inf, np.float32)
-        every = list(found.items())
+        every = [t if n == 1 else (t, n) for t, n in found.items()]
         for begin in range(0, len(every), _KEEP // 2):
             some = every[begin : begin + _KEEP // 2]
             at = list(map(self.place.get, some))
@@ -97,17 +108,19 @@ class Sampler:
                 new = [x for x, i in zip(some, at) if i is None]
                 if self.size + len(new) > _KEEP:
                     self.place.clear()
-                    self.size, new = 0, some
+                    self.size, new, at = 0, some, [None] * len(some)
+                fresh = iter(range(self.size, self.size + len(new)))
                 self._learn(new)
-                at = list(map(self.place.__getitem__, some))
+                at = [next(fresh) if i is None else i for i in at]
             at = np.array(at)
-            for s in range(0, len(at), 1024):
-                key = self.keys[at[s : s + 1024]]
+            for s in range(0, len(at), _AT_ONCE):
+                some = at[s : s + _AT_ONCE]
+                key = np.take(self.keys, some, axis=0, out=self.room[: len(some)], mode="clip")
                 least = key.argmin(axis=0)
                 value = key[least, _EACH]
                 better = np.nonzero(value < best)[0]
                 best[better] = value[better]
-                out[better] = self.marks[at[s : s + 1024][least[better]], better]
+                out[better] = self.marks[some[least[better]], better]
         return out
 
 
@@ -151,35 +164,43 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
-def fingerprint_report(docs: DataFrame) -> DataFrame:
+def fingerprint_report(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row.
 
     The next document is that of the next smaller doc_id; rows that repeat a doc_id stand by a hash of their texts; a
     null doc_id comes after all others; after the last comes the first, so a single row is its own next. A null text
     is empty; empty texts have equal fingerprints, unlike all others; other columns are ignored; no rows, no rows.
 
-    The table is cut by quantiles of doc_id into ranges. Each range also gets the first row of the range after it, so
-    that it can be read alone, in order, with two texts in hand at any time. Texts are shuffled once."""
+    The table is cut by quantiles of doc_id into ranges, and rows without one by their hash. Each range also gets the
+    first row of the range after it, so that it can be read alone, in order, with two texts in hand at any time. A
+    range is a partition; texts are shuffled once. The driver gets the cuts and a number for each range."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    ids = d.where(F.col("doc_id").isNotNull()).select("doc_id")
-    cuts = sorted({int(x) for x in ids.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.25 / ranges)}) if ranges > 1 else []
-    above = F.lit(0) if not cuts else F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col("doc_id")))
-    d = d.withColumn("part", F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(above).cast("int")).withColumn("tie", F.xxhash64("text"))
-    # the first row of each range; there are no more than ranges
-    first = d.groupBy("part").agg(F.max("doc_id").alias("top")).select(F.col("part").alias("f_part"), "top")
-    first = d.select("part", "doc_id", "tie").join(F.broadcast(first), (F.col("part") == F.col("f_part")) & F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("part", "doc_id").agg(F.min("tie").alias("tie"))
-    heads = sorted(first.collect(), key=lambda r: r.part)
-    if not heads:
+    ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    ids = d.select("doc_id")
+    rows, known = ids.agg(F.count("*"), F.count("doc_id")).first()
+    quantiles = ids.where(F.col("doc_id").isNotNull()).approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.25 / ranges) if ranges > 1 else []
+    cuts = np.array(sorted({int(x) for x in quantiles}), dtype=np.int64)
+    nameless = 1 + (rows - known) * ranges // max(1, rows)
+
+    def range_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(len(cuts) - np.searchsorted(cuts, ids.to_numpy(), side="right"))
+
+    by_id = F.pandas_udf(range_of, "long")(F.coalesce("doc_id", F.lit(0)))
+    by_tie = len(cuts) + 1 + F.least(F.lit(nameless - 1), F.floor((F.col("tie").cast("double") / 2.0**64 + 0.5) * nameless))
+    d = d.withColumn("tie", F.xxhash64("text")).withColumn("part", F.when(F.col("doc_id").isNull(), by_tie).otherwise(by_id).cast("int"))
+    # the first row of each range goes to the range before it as well, that of the first to the last
+    first = d.groupBy("part").agg(F.max(F.struct("doc_id", F.bitwise_not("tie").alias("tie"))).alias("f")).collect()
+    if not first:
         return d.select("part", "doc_id", "text", F.lit(False).alias("stranger")).mapInArrow(_pairs, _SCHEMA)
-    before = [(h.part, h.doc_id, h.tie, heads[i - 1].part) for i, h in enumerate(heads)]
+    first.sort(key=lambda r: r.part)
+    before = [(r.part, r.f.doc_id, ~r.f.tie, first[i - 1].part) for i, r in enumerate(first)]
     table = F.broadcast(spark.createDataFrame(before, "h_part int, h_doc long, h_tie long, to_part int"))
     strangers = d.join(table, (F.col("part") == F.col("h_part")) & F.col("doc_id").eqNullSafe(F.col("h_doc")) & (F.col("tie") == F.col("h_tie")))
     strangers = strangers.select(F.col("to_part").alias("part"), "doc_id", "text", F.lit(True).alias("stranger"), "tie").dropDuplicates(["part"])
     rows = d.select("part", "doc_id", "text", F.lit(False).alias("stranger"), "tie").unionByName(strangers)
-    rows = rows.repartition(len(heads), "part").sortWithinPartitions("part", "stranger", F.col("doc_id").desc_nulls_last(), "tie")
-    return rows.select("part", "doc_id", "text", "stranger").mapInArrow(_pairs, _SCHEMA)
+    rows = rows.repartitionById(first[-1].part + 1, "part").sortWithinPartitions("part", "stranger", F.col("doc_id").desc_nulls_last(), "tie")
+    return in_batches(rows.select("part", "doc_id", "text", "stranger"), _pairs, _SCHEMA)
 
 
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
