@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from decimal import ROUND_HALF_UP, Decimal
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -46,24 +45,27 @@ def jaro(a: str, b: str) -> float:
 
 
 def damerau_levenshtein(a: str, b: str) -> int:
-    """Unrestricted distance: insert, delete, replace, and transpose with edits between. Rows of one string at a time
-    over a table of where each sign was last seen."""
-    n, m = len(a), len(b)
-    far = n + m
-    d = np.zeros((n + 2, m + 2), dtype=np.int64)
-    d[0, :] = d[:, 0] = far
-    d[1:, 1], d[1, 1:] = np.arange(n + 1), np.arange(m + 1)
-    seen: dict[str, int] = {}
-    for i in range(1, n + 1):
-        last = 0
-        for j in range(1, m + 1):
-            above, same = seen.get(b[j - 1], 0), a[i - 1] == b[j - 1]
-            swap = d[above, last] + (i - above - 1) + 1 + (j - last - 1)
-            d[i + 1, j + 1] = min(d[i, j] + (not same), d[i + 1, j] + 1, d[i, j + 1] + 1, swap)
-            if same:
-                last = j
-        seen[a[i - 1]] = i
-    return int(d[n + 1, m + 1])
+    """Unrestricted distance: insert, delete, replace, and transpose with edits between. Row by row over the prefixes
+    of a; all rows are kept, as a transposition may reach back to any of them."""
+    if a == b:
+        return 0
+    last_row, rows = {}, [list(range(len(b) + 1))]
+    for i, x in enumerate(a, 1):
+        row, upper, last_column = [i], rows[-1], 0
+        for j, y in enumerate(b, 1):
+            if x == y:
+                best = upper[j - 1]
+            else:
+                best = min(upper[j - 1], upper[j], row[-1]) + 1
+            seen = last_row.get(y, 0)
+            if seen and last_column:
+                best = min(best, rows[seen - 1][last_column - 1] + (i - seen - 1) + 1 + (j - last_column - 1))
+            row.append(best)
+            if x == y:
+                last_column = j
+        rows.append(row)
+        last_row[x] = i
+    return rows[-1][-1]
 
 
 def dl_similarity(a: str, b: str) -> float:

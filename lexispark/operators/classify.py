@@ -134,12 +134,14 @@ def votes(models: dict[str, object], df: DataFrame, features: str, row: str) ->
 
 def knn(train: DataFrame, new: DataFrame, features: str, label: str, row: str, k: int = 10, block: int = 2000) -> DataFrame:
     """The most frequent class among the k nearest training vectors (dense array column), by blocks of training
-    rows; each block sends its k best alone. new is the stated query set against all rows."""
+    rows against blocks of new ones; each pair of blocks sends its k best alone. new is the stated query set against
+    all rows."""
     t = train.select(F.col(features).alias("t_v"), F.col(label).alias("t_c"), F.xxhash64(features, label).alias("t_h"))
-    blocks = 1 + t.count() // block
-    t = t.withColumn("b", F.pmod("t_h", F.lit(blocks)))
+    blocks, turns = 1 + t.count() // block, 1 + new.count() // block
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    t = t.withColumn("b", F.pmod("t_h", F.lit(blocks))).withColumn("turn", every(turns))
     q = new.select(F.col(row).alias("row_id"), F.col(features).alias("q_v"))
-    q = q.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    q = q.withColumn("turn", F.pmod(F.xxhash64("row_id"), F.lit(turns))).withColumn("b", every(blocks))
 
     def near(a, b):
         import pandas as pd
@@ -152,7 +154,7 @@ def knn(train: DataFrame, new: DataFrame, features: str, label: str, row: str, k
         rows = np.repeat(np.arange(len(y)), best.shape[1])
         return pd.DataFrame({"row_id": b["row_id"].to_numpy()[rows], "d": d[rows, best.ravel()], "c": a["t_c"].to_numpy()[best.ravel()]})
 
-    some = t.groupBy("b").cogroup(q.groupBy("b")).applyInPandas(near, "row_id long, d double, c string")
+    some = t.groupBy("b", "turn").cogroup(q.groupBy("b", "turn")).applyInPandas(near, "row_id long, d double, c string")
     top = some.groupBy("row_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "c"))), 1, k).alias("n"))
     counts = top.select("row_id", F.explode("n.c").alias("c")).groupBy("row_id", "c").agg(F.count("*").alias("n"))
     return counts.groupBy("row_id").agg(F.min(F.struct((-F.col("n")).alias("m"), "c")).alias("s"), F.sum("n").alias("all")).select("row_id", F.col("s.c").alias("prediction"), (-F.col("s.m") / F.col("all")).alias("prob"))

@@ -1,9 +1,9 @@
 """Nearest known texts by Jaro or Damerau-Levenshtein similarity (survey J12 to J14, C1, C2).
 
-Both measures are bounded by the signs two texts have in common, whatever their order: that is worked out for a whole
-block at once, and only pairs that could still win are measured. Each distinct text is compared once. Known texts are
-dealt to blocks of bounded size and each new text goes to every block that its length allows, so nothing is broadcast
-and a task never holds more than a block."""
+Both measures are bounded by the lengths of two texts and by the signs they have in common, whatever their order. The
+first bound is applied before texts are dealt out, the second for a whole block at once; only pairs that could still
+win are measured. Each distinct text is compared once. Known and new texts are both dealt to blocks of bounded size by
+length, and a task holds one block of either; nothing is broadcast."""
 
 from __future__ import annotations
 
@@ -11,14 +11,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from lexispark.functions.similarity import dl_similarity, jaro, match_text
 
-BLOCK = 4000
+#: Known texts of a block, and new ones.
+BLOCK, NEW = 4000, 2000
 _FOLDS = 64
+#: Lengths are classed by powers of this.
+_STEP = float(np.log(1.3))
 
 
 def _signs(texts: list[str]) -> np.ndarray:
@@ -39,51 +41,75 @@ def _limits(measure: str, common: np.ndarray, size: int, sizes: np.ndarray) -> n
     return common / longest
 
 
-def _best(known: pd.DataFrame, new: pd.DataFrame, measure: str, least: float | None) -> pd.DataFrame:
-    """For each new text its best known one of the block, or with `least` all that reach it."""
+def _best(known: pd.DataFrame, new: pd.DataFrame, measure: str) -> pd.DataFrame:
+    """For each new text all known ones of the block that reach its `n_least`; where that is null its best ones."""
     exact = jaro if measure == "jaro" else dl_similarity
     texts, sizes = known["k_text"].tolist(), known["k_text"].str.len().to_numpy()
     signs, rows = _signs(texts), []
-    for text in new["n_text"]:
-        own = _signs([text])[0]
+    for text, least in zip(new["n_text"], new["n_least"]):
+        own, best_only = _signs([text])[0], least is None or least != least
         limits = np.floor(_limits(measure, np.minimum(signs, own).sum(axis=1), len(text), sizes) * 100 + 0.5 + 1e-9) / 100
-        top, order = -1.0, np.argsort(-limits, kind="stable")
-        for i in order:
-            bar = least if least is not None else top
+        bar, found = -1.0 if best_only else least, []
+        for i in np.argsort(-limits, kind="stable") if best_only else np.nonzero(limits >= least)[0]:
             if limits[i] < bar:
                 break
-            sim = exact(text, texts[i])
             # the same two decimals as round() in SQL gives
-            two = np.floor(sim * 100 + 0.5 + 1e-9) / 100
+            two = float(np.floor(exact(text, texts[i]) * 100 + 0.5 + 1e-9) / 100)
             if two >= bar:
-                rows.append((text, texts[i], float(two)))
-                top = max(top, two)
-        if least is None:
-            rows = [r for r in rows if r[0] != text or r[2] == top]
+                found.append((text, texts[i], two))
+                bar = max(bar, two) if best_only else bar
+        rows += [r for r in found if r[2] >= bar]
     return pd.DataFrame(rows, columns=["n_text", "k_text", "similarity"]).astype({"n_text": "object", "k_text": "object", "similarity": "float64"})
 
 
+def _class(c: str) -> Column:
+    return F.floor(F.log(F.greatest(F.length(c), F.lit(1)).cast("double")) / _STEP).cast("int")
+
+
+def _reach(measure: str, least: Column) -> Column:
+    """How many classes of length away a text can be that reaches `least`: jaro >= x needs min / max >= 3 x - 2, the
+    distance's similarity >= x needs min / max >= x; rounding gives half a point."""
+    ratio = F.greatest(F.lit(0.02), 3 * (least - 0.005) - 2 if measure == "jaro" else least - 0.005)
+    return (F.ceil(-F.log(ratio) / _STEP) + 1).cast("int")
+
+
+def _joined(new: DataFrame, known: DataFrame, sizes: dict[int, int], turns: int, measure: str) -> DataFrame:
+    """New texts (n_text, n_least, low, high) against known ones (k_text, size) of the classes low to high."""
+    blocks = F.create_map(*(F.lit(x) for s, n in sizes.items() for x in (s, 1 + n // BLOCK)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    n = new.withColumn("size", F.explode(F.filter(F.array(*map(F.lit, sorted(sizes))), lambda s: s.between(F.col("low"), F.col("high")))))
+    n = n.withColumn("turn", F.pmod(F.xxhash64("n_text"), F.lit(turns)).cast("int")).withColumn("salt", every(blocks[F.col("size")]))
+    k = known.withColumn("salt", F.pmod(F.xxhash64("k_text"), blocks[F.col("size")]).cast("int")).withColumn("turn", every(F.lit(turns)))
+    keys = ["size", "salt", "turn"]
+    pairs = k.groupBy(*keys).cogroup(n.select("n_text", "n_least", *keys).groupBy(*keys))
+    return pairs.applyInPandas(lambda a, b: _best(a, b, measure), "n_text string, k_text string, similarity double")
+
+
 def matches(new: DataFrame, known: DataFrame, measure: str = "jaro", least: float | None = None) -> DataFrame:
-    """(n_text, k_text, similarity) between the distinct texts of new (n_text) and of known (k_text): all pairs of
-    at least that similarity, or without `least` each new text's best ones in each block."""
+    """(n_text, k_text, similarity) between the distinct texts of new (n_text) and of known (k_text): all pairs of at
+    least that similarity, or without `least` each new text's best ones, with all ties.
+
+    Without `least` a text is first compared with known ones of about its length; the best similarity there bounds
+    the lengths, and the pairs, that need be looked at among the others. The driver gets the number of known texts by
+    class of length, some tens of rows."""
     n, k = new.select("n_text").where("n_text is not null").distinct(), known.select("k_text").where("k_text is not null").distinct()
-    step = float(np.log(1.3))
-    size = lambda c: F.floor(F.log(F.greatest(F.length(c), F.lit(1)).cast("double")) / step)
-    count = k.count()
-    salts = 1 + count // BLOCK
-    k = k.withColumn("size", size("k_text") if least is not None else F.lit(0)).withColumn("salt", F.pmod(F.xxhash64("k_text"), F.lit(salts)))
+    k = k.withColumn("size", _class("k_text"))
+    sizes = {r["size"]: r["n"] for r in k.groupBy("size").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return n.join(k.where("false"), F.lit(False)).select("n_text", "k_text", F.lit(0.0).alias("similarity"))
+    turns = 1 + n.count() // NEW
+    own = n.withColumn("own", _class("n_text"))
     if least is not None:
-        # jaro >= x needs min/max >= 3 x - 2, distance similarity >= x needs min/max >= x; rounding gives half a point
-        ratio = max(0.02, 3 * (least - 0.005) - 2 if measure == "jaro" else least - 0.005)
-        wide = int(np.ceil(-np.log(ratio) / step)) + 1
-        n = n.withColumn("size", F.explode(F.sequence(size("n_text") - wide, size("n_text") + wide)))
-    else:
-        n = n.withColumn("size", F.lit(0).cast("long"))
-    n = n.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))).withColumn("turn", F.pmod(F.xxhash64("n_text"), F.lit(16)))
-    k = k.withColumn("size", F.col("size").cast("long")).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
-    keys = ["size", "salt", "turn"]
-    both = k.groupBy(*keys).cogroup(n.groupBy(*keys))
-    return both.applyInPandas(lambda a, b: _best(a, b, measure, least), "n_text string, k_text string, similarity double")
+        wide = _reach(measure, F.lit(float(least)))
+        return _joined(own.select("n_text", F.lit(float(least)).alias("n_least"), (F.col("own") - wide).alias("low"), (F.col("own") + wide).alias("high")), k, sizes, turns, measure)
+    near = F.array_min(F.transform(F.array(*map(F.lit, sorted(sizes))), lambda s: F.struct(F.abs(s - F.col("own")).alias("d"), s.alias("s"))))["s"]
+    first = _joined(own.select("n_text", F.lit(None).cast("double").alias("n_least"), near.alias("low"), near.alias("high")), k, sizes, turns, measure)
+    bar = first.groupBy("n_text").agg(F.max("similarity").alias("n_least"))
+    wide = _reach(measure, F.col("n_least"))
+    rest = bar.withColumn("own", _class("n_text")).select("n_text", "n_least", (F.col("own") - wide).alias("low"), (F.col("own") + wide).alias("high"))
+    found = _joined(rest, k, sizes, turns, measure)
+    top = found.groupBy("n_text").agg(F.max("similarity").alias("_top")).withColumnRenamed("n_text", "_n")
+    return found.join(top, (F.col("n_text") == F.col("_n")) & (F.col("similarity") == F.col("_top"))).select("n_text", "k_text", "similarity")
 
 
 def _known(train: DataFrame, text: str, label: str, order: str) -> DataFrame:
@@ -128,8 +154,3 @@ def exact_matches(new: DataFrame, train: DataFrame, key: list[str]) -> DataFrame
 def unmatched(new: DataFrame, train: DataFrame, key: list[str]) -> DataFrame:
     """New rows whose key no training row has."""
     return new.join(train, key, "left_anti")
-
-
-def latest_of(df: DataFrame, keys: list[str], *order) -> DataFrame:
-    """The row that comes first in the given order for each key."""
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
-    """One row per key, the first in the order given; the order should decide ties."""
+    """One row per key, the first in the order given; the order should decide ties. Spark plans the condition on
+    the row number as a limit within each task first, so of a hot key one row a task is dealt out."""
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
