@@ -13,6 +13,11 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def text_key(c: Column | str) -> Column:
+    """A digest of 128 bits by which whole texts are joined and counted, so that texts need not be dealt out."""
+    return F.unhex(F.md5(_c(c)))
+
+
 def charset_clean(c: Column | str) -> Column:
     """Other signs than the allowed ones become blanks, runs of blanks one blank; ends are not trimmed."""
     return F.regexp_replace(F.regexp_replace(_c(c), "[^A-Za-z0-9+%.>/&]", " "), " {2,}", " ")
@@ -75,11 +80,11 @@ def word_grams(c: Column | str, low: int = 2, high: int = 6) -> Column:
     return F.concat(*(of(n) for n in range(low, high + 1)))
 
 
-def feature_tokens(norm: Column | str, original: Column | str, abbreviations: Column | None = None, important: Sequence[str] = (), number: int = 4) -> Column:
+def feature_tokens(norm: Column | str, original: Column | str, abbreviations: Column | None = None, important: Sequence[str] = (), number: int = 4, width: int = 50) -> Column:
     """Up to `number` feature words, padded with ''. Digits alone go; of more than `number` words only important
     ones stay, if there are any; each once, in order of first occurrence; split on slashes unless it has a digit;
     an expansion becomes its abbreviation (map expansion -> array of abbreviations) if that is a word of the original.
-    Cut to 50 characters."""
+    Cut to `width` characters."""
     words = F.filter(F.split(_c(norm), r"\s+"), lambda w: (w != "") & ~w.rlike("^[0-9]+$"))
     if important:
         kept = F.filter(words, lambda w: w.isin(list(important)))
@@ -93,7 +98,12 @@ def feature_tokens(norm: Column | str, original: Column | str, abbreviations: Co
             return F.when(F.size(known) > 0, F.lower(F.get(known, F.lit(0)))).otherwise(w)
 
         words = F.transform(words, short)
-    return F.transform(F.sequence(F.lit(0), F.lit(number - 1)), lambda i: F.substring(F.coalesce(F.get(words, i), F.lit("")), 1, 50))
+    return F.transform(F.sequence(F.lit(0), F.lit(number - 1)), lambda i: F.substring(F.coalesce(F.get(words, i), F.lit("")), 1, width))
+
+
+def report_cut(norm: Column | str, changes: Column | str) -> tuple[Column, Column]:
+    """The normalised text and its changes as a report holds them, 255 and 400 characters long at most."""
+    return F.substring(_c(norm), 1, 255), F.substring(_c(changes), 1, 400)
 
 
 def change_map(c: Column | str) -> Column:
@@ -104,9 +114,9 @@ def change_map(c: Column | str) -> Column:
     return F.map_from_entries(last)
 
 
-def ascii_recoded(c: Column | str) -> Column:
-    """Latin-1 bytes read as such; quotes and tabs go."""
-    return F.translate(F.decode(F.encode(_c(c), "ISO-8859-1"), "ISO-8859-1"), '"\t', "")
+def latin1_recoded(c: Column | str) -> Column:
+    """Bytes in Latin-1 as text; quotes and tabs go. A string column stands for its bytes."""
+    return F.translate(F.decode(_c(c).cast("binary"), "ISO-8859-1"), '"\t', "")
 
 
 def document_clean(c: Column | str) -> Column:

@@ -18,8 +18,8 @@ _KEYED = f"WITH d AS (SELECT doc_id, {T1.format('text')} AS k FROM documents), n
 
 
 def known_texts(t: Tables):
-    """New texts (doc_id, k), which have no label, and known ones (train_id, k, toxic)."""
-    d = t.documents.select("doc_id", text.charset_clean("text").alias("k"))
+    """New texts (doc_id, k), which have no label, and known ones (train_id, k, toxic); k stands for the cleaned text."""
+    d = t.documents.select("doc_id", text.text_key(text.charset_clean("text")).alias("k"))
     return d.join(t.labels, "doc_id", "left_anti"), d.join(t.labels, "doc_id").select(F.col("doc_id").alias("train_id"), "k", "toxic")
 
 

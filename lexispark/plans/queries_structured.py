@@ -58,9 +58,10 @@ def _(t: Tables):
     return st.valid_lines(lines(t), "billed", "units", "rev_code").select("l_orderkey", "l_linenumber")
 
 
-@query("F10_unit_price", "SELECT l_orderkey, l_linenumber, l_extendedprice / l_quantity AS norm_billed_amount FROM lineitem")
+@query("F10_unit_price", "SELECT l_orderkey, l_linenumber, coalesce(CASE WHEN l_tax > 0.02 THEN l_extendedprice END, -100) / coalesce(CASE WHEN l_linenumber < 4 THEN l_quantity END, -100) AS norm_billed_amount FROM lineitem")
 def _(t: Tables):
-    return t.lineitem.select("l_orderkey", "l_linenumber", st.unit_price(F.col("l_extendedprice"), F.col("l_quantity")).alias("norm_billed_amount"))
+    billed, units = F.when(F.col("l_tax") > 0.02, F.col("l_extendedprice")), F.when(F.col("l_linenumber") < 4, F.col("l_quantity"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", st.unit_price(billed, units).alias("norm_billed_amount"))
 
 
 @query("F11_rare_as_others", "SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY p_brand) < 80 THEN 'Others' ELSE p_brand END AS p_brand FROM part")

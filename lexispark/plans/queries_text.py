@@ -71,10 +71,23 @@ def _(t: Tables):
     return corrections.mined_changes(d, {"intra_venous": ["iv"]}).select("p_partkey", "abbreviations", "spellings")
 
 
-@query("T9_feature_tokens")
-def _(t: Tables):
-    d = t.part.withColumn("norm", F.lower(F.concat_ws(" ", "p_name", "p_type", F.col("p_size").cast("string"), "p_brand")))
-    f = text.feature_tokens("norm", "p_name")
+# Of the words of norm: none that are numbers; the important ones where there are more than four; split on slashes
+# unless there is a digit; `economy` as `eco` where the original has that.
+@query("T9_feature_tokens", """
+WITH d AS (SELECT p_partkey, p_name || CASE WHEN p_size % 2 = 0 THEN ' eco' ELSE '' END AS original,
+    list_filter(string_split(lower(p_name || ' ' || p_type || '/kit ' || p_size || ' ' || CASE WHEN p_size % 3 = 0 THEN 'economy ' || p_name || ' extra ' ELSE '' END || p_brand || '/x'), ' '), lambda w: NOT regexp_matches(w, '^[0-9]+$')) AS ws FROM part),
+i AS (SELECT *, list_filter(ws, lambda w: w IN ('red', 'economy', 'widget', 'ring')) AS kept FROM d),
+w AS (SELECT p_partkey, original, CASE WHEN len(ws) > 4 AND len(kept) > 0 THEN kept ELSE ws END AS ws FROM i),
+o AS (SELECT p_partkey, original, list_filter(ws, lambda x, n: list_position(ws, x) = n) AS ws FROM w),
+f AS (SELECT p_partkey, list_transform(flatten(list_transform(ws, lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN [w] ELSE string_split(w, '/') END)),
+    lambda w: CASE WHEN w = 'economy' AND list_contains(string_split(lower(original), ' '), 'eco') THEN 'eco' ELSE w END) AS ws FROM o)
+SELECT p_partkey, coalesce(ws[1][:6], '') AS feature_1, coalesce(ws[2][:6], '') AS feature_2, coalesce(ws[3][:6], '') AS feature_3, coalesce(ws[4][:6], '') AS feature_4 FROM f""")
+def _(t: Tables):
+    more = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("economy "), "p_name", F.lit(" extra "))).otherwise("")
+    d = t.part.withColumn("norm", F.lower(F.concat("p_name", F.lit(" "), "p_type", F.lit("/kit "), "p_size", F.lit(" "), more, "p_brand", F.lit("/x"))))
+    d = d.withColumn("original", F.concat("p_name", F.when(F.col("p_size") % 2 == 0, " eco").otherwise("")))
+    short = F.create_map(F.lit("economy"), F.array(F.lit("ECO")))
+    f = text.feature_tokens("norm", "original", short, ("red", "economy", "widget", "ring"), width=6)
     return d.select("p_partkey", *(F.get(f, F.lit(i)).alias(f"feature_{i + 1}") for i in range(4)))
 
 
@@ -91,9 +104,9 @@ def _(t: Tables):
     return corrections.change_rows(t.part.select("p_partkey", said.alias("c")), "c", "p_partkey")
 
 
-@query("T12_recoded", "SELECT event_id, replace(props, '\"', '') AS props FROM events")
+@query("T12_recoded", "SELECT doc_id, translate(regexp_replace(text, '[^\\x00-\\xFF]', '?', 'g'), '\"' || chr(9), '') AS recoded FROM documents")
 def _(t: Tables):
-    return t.events.select("event_id", text.ascii_recoded("props").alias("props"))
+    return t.documents.select("doc_id", text.latin1_recoded(F.encode("text", "ISO-8859-1")).alias("recoded"))
 
 
 @query("T13_document_clean", r"""
@@ -104,9 +117,9 @@ def _(t: Tables):
     return t.documents.select("doc_id", text.document_clean("text").alias("cleaned"))
 
 
-@query("T14_corpus_tokens", "SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(lower(regexp_replace(text, '[^a-zA-Z]', ' ', 'g')), '\\s+'), lambda w: w <> '')) AS BIGINT) AS n_tokens FROM documents")
+@query("T14_corpus_tokens", "SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace(text, '[^a-zA-Z]', ' ', 'g')), '\\s+'), lambda w: w <> ''), ' ') AS tokens FROM documents")
 def _(t: Tables):
-    return t.documents.select("doc_id", F.size(text.corpus_tokens("text")).cast("long").alias("n_tokens"))
+    return t.documents.select("doc_id", F.array_join(text.corpus_tokens("text"), " ").alias("tokens"))
 
 
 @query("T15_correction_clean", "SELECT doc_id, regexp_replace(replace(text, ',', ' '), ' {2,}', ' ', 'g') AS cleaned FROM documents")
@@ -128,14 +141,25 @@ _A, _B = "p_name || ' ' || p_type", "p_name || ' ' || p_brand"
 _M = "regexp_replace({0}, '[^A-Za-z0-9+%.>/&]', '', 'g')"
 
 
-@query("D1_jaro", f"SELECT p_partkey, round(jaro_similarity({_M.format(_A)}, {_M.format(_B)}), 2) AS similarity FROM part")
+# The second text of D1 and D2: two signs swapped, reversed, in upper case, with signs between, longer, or empty.
+_OTHER = "CASE p_size % 6 WHEN 0 THEN p_name[2:2] || p_name[1:1] || p_name[3:] WHEN 1 THEN reverse(p_name) WHEN 2 THEN upper(p_name) WHEN 3 THEN replace(p_name, ' ', '-#-') WHEN 4 THEN p_name || p_brand ELSE '' END"
+_N, _O = _M.format("p_name"), _M.format(f"({_OTHER})")
+
+
+def _others():
+    name = F.col("p_name")
+    made = F.when(F.col("p_size") % 6 == 0, F.concat(F.substring(name, 2, 1), F.substring(name, 1, 1), F.substring(name, 3, 99))).when(F.col("p_size") % 6 == 1, F.reverse(name))
+    return made.when(F.col("p_size") % 6 == 2, F.upper(name)).when(F.col("p_size") % 6 == 3, F.regexp_replace(name, " ", "-#-")).when(F.col("p_size") % 6 == 4, F.concat("p_name", "p_brand")).otherwise("")
+
+
+@query("D1_jaro", f"SELECT p_partkey, round(jaro_similarity({_N}, {_O}), 2) AS similarity FROM part")
 def _(t: Tables):
-    return t.part.select("p_partkey", similarity.jaro_similarity(F.concat_ws(" ", "p_name", "p_type"), F.concat_ws(" ", "p_name", "p_brand")).alias("similarity"))
+    return t.part.select("p_partkey", similarity.jaro_similarity(F.col("p_name"), _others()).alias("similarity"))
 
 
-@query("D2_damerau_levenshtein", f"SELECT p_partkey, round(1 - damerau_levenshtein({_M.format(_A)}, {_M.format(_B)}) / greatest(length({_M.format(_A)}), length({_M.format(_B)})), 2) AS similarity FROM part")
+@query("D2_damerau_levenshtein", f"SELECT p_partkey, round(1 - damerau_levenshtein({_N}, {_O}) / greatest(length({_N}), length({_O})), 2) AS similarity FROM part")
 def _(t: Tables):
-    return t.part.select("p_partkey", similarity.damerau_similarity(F.concat_ws(" ", "p_name", "p_type"), F.concat_ws(" ", "p_name", "p_brand")).alias("similarity"))
+    return t.part.select("p_partkey", similarity.damerau_similarity(F.col("p_name"), _others()).alias("similarity"))
 
 
 def lines(t: Tables):
@@ -159,17 +183,33 @@ def _(t: Tables):
     return fuzzy.nearest(new, known, "descr", "cls", "idx", "jaro", 0.85).select("descr", "prediction", fuzzy.boosted(F.col("similarity")).alias("score"))
 
 
-@query("J13_unanimous_match", _LINES + """
-SELECT descr, count(*) AS n_matches, count(DISTINCT cls) AS n_classes, round(avg(jaro), 6) AS mean_similarity, CASE WHEN count(DISTINCT cls) = 1 THEN min(cls) END AS prediction FROM j WHERE jaro >= 0.85 GROUP BY 1""")
+# The names and brands of parts against the same with one sign changed or gone, each of one class or of two.
+_NEAR = f"""
+WITH n AS (SELECT DISTINCT {_B} AS descr, {_M.format(_B)} AS c FROM part),
+x AS (SELECT DISTINCT p_name, p_brand, p_size % 2 AS odd FROM part),
+k AS (SELECT replace(p_name, 'g', CASE WHEN odd = 1 THEN 'q' ELSE '' END) || ' ' || p_brand AS descr, split_part(p_name, ' ', 1 + odd) AS cls FROM x),
+j AS (SELECT n.descr, k.cls, round(jaro_similarity(n.c, {_M.format('k.descr')}), 2) AS jaro FROM n, k)
+"""
+
+
+def near_lines(t: Tables):
+    """New lines (descr) and known ones (descr, cls) that are much like them."""
+    new = t.part.select(F.concat_ws(" ", "p_name", "p_brand").alias("descr")).distinct()
+    x = t.part.select("p_name", "p_brand", (F.col("p_size") % 2).alias("odd")).distinct()
+    name = F.when(F.col("odd") == 1, F.regexp_replace("p_name", "g", "q")).otherwise(F.regexp_replace("p_name", "g", ""))
+    return new, x.select(F.concat_ws(" ", name, "p_brand").alias("descr"), F.element_at(F.split("p_name", " "), F.col("odd") + 1).alias("cls"))
+
+
+@query("J13_unanimous_match", _NEAR + "SELECT descr, count(*) AS n_matches, count(DISTINCT cls) AS n_classes, round(avg(jaro), 6) AS mean_similarity, CASE WHEN count(DISTINCT cls) = 1 THEN min(cls) END AS prediction FROM j WHERE jaro >= 0.95 GROUP BY 1")
 def _(t: Tables):
-    new, known = lines(t)
-    return fuzzy.unanimous(new, known, "descr", "cls", "descr", 0.85).withColumn("mean_similarity", F.round("mean_similarity", 6))
+    new, known = near_lines(t)
+    return fuzzy.unanimous(new, known, "descr", "cls", "descr", 0.95).withColumn("mean_similarity", F.round("mean_similarity", 6))
 
 
-@query("J14_match_counts", _LINES + "SELECT descr, count(*) AS n_matches, count(DISTINCT cls) AS n_classes, round(avg(jaro), 6) AS mean_similarity FROM j WHERE jaro >= 0.80 GROUP BY 1")
+@query("J14_match_counts", _NEAR + "SELECT descr, count(*) AS n_matches, count(DISTINCT cls) AS n_classes, round(avg(jaro), 6) AS mean_similarity FROM j WHERE jaro >= 0.90 GROUP BY 1")
 def _(t: Tables):
-    new, known = lines(t)
-    return fuzzy.unanimous(new, known, "descr", "cls", "descr", 0.80).select("descr", "n_matches", "n_classes", F.round("mean_similarity", 6).alias("mean_similarity"))
+    new, known = near_lines(t)
+    return fuzzy.unanimous(new, known, "descr", "cls", "descr", 0.90).select("descr", "n_matches", "n_classes", F.round("mean_similarity", 6).alias("mean_similarity"))
 
 
 @query("C1_jaro_nearest", _LINES + "SELECT descr, arg_min(cls, idx) AS prediction, max(jaro) AS similarity FROM (SELECT *, max(jaro) OVER (PARTITION BY descr) AS top FROM j) WHERE jaro = top GROUP BY 1")
