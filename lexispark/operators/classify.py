@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.operators import fuzzy, sampling
@@ -43,6 +46,25 @@ class OneVsRestModel:
         return out.drop(*(c for c in out.columns if c[:2] in ("_r", "_p", "_q") and c[2:].isdigit()))
 
 
+    def save(self, path: str) -> None:
+        PipelineModel(self.models).write().overwrite().save(f"{path}/models")
+        _put(path, {"labels": self.labels})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> OneVsRestModel:
+        return cls(PipelineModel.load(f"{path}/models").stages, _got(spark, path)["labels"])
+
+
+def _put(path: str, facts: dict) -> None:
+    """Facts about a model as one row of JSON beside its files."""
+    spark = SparkSession.getActiveSession()
+    spark.createDataFrame([(json.dumps(facts),)], "facts string").coalesce(1).write.mode("overwrite").text(f"{path}/facts")
+
+
+def _got(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(f"{path}/facts").first()[0])
+
+
 def one_vs_rest(binary) -> Callable:
     def train(df: DataFrame, features: str, label: str) -> OneVsRestModel:
         labels = sorted(r[0] for r in df.select(label).distinct().collect())
@@ -67,12 +89,20 @@ class ProbabilityModel:
         return out.withColumn("_class", F.get(names, place)).withColumn("prob", top).drop("prediction", "probability", "rawPrediction").withColumnRenamed("_class", "prediction")
 
 
+    def save(self, path: str) -> None:
+        PipelineModel([self.index, self.model]).write().overwrite().save(f"{path}/models")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> ProbabilityModel:
+        return cls(*PipelineModel.load(f"{path}/models").stages)
+
+
 def multiclass(make: Callable) -> Callable:
     """make(number of features, number of classes) -> estimator."""
 
     def train(df: DataFrame, features: str, label: str) -> ProbabilityModel:
         index = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(df)
-        width = df.select(F.size(vector_to_array(features))).first()[0]
+        width = df.select(features).first()[0].size
         model = make(width, len(index.labels)).setFeaturesCol(features).setLabelCol("_y").fit(index.transform(df))
         return ProbabilityModel(index, model)
 
@@ -90,6 +120,166 @@ class TextModel:
         out = fuzzy.nearest(df, *self.args, measure=self.measure, by_text=self.measure != "jaro")
         return out.withColumnRenamed("similarity", "prob")
 
+    def save(self, path: str) -> None:
+        train, text, label, order = self.args
+        train.select(text, label, order).write.mode("overwrite").parquet(f"{path}/texts")
+        _put(path, {"columns": [text, label, order], "measure": self.measure})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> TextModel:
+        facts = _got(spark, path)
+        return cls(spark.read.parquet(f"{path}/texts"), *facts["columns"], facts["measure"])
+
+
+class LinearScores:
+    """A linear score for each class, and the softmax of the scores as probabilities; features are vectors."""
+
+    def __init__(self, labels: list[str], weights: np.ndarray, bias: np.ndarray):
+        self.labels, self.weights, self.bias = labels, weights, bias
+
+    def predict(self, df: DataFrame, features: str) -> DataFrame:
+        model = df.sparkSession.sparkContext.broadcast((self.weights, self.bias))
+
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for col in batches:
+                share = softmax(scores(rows_of(col), *model.value))
+                place = share.argmax(axis=1) if len(share) else np.zeros(0, int)
+                yield pd.DataFrame({"place": place.astype("int32"), "prob": share[np.arange(len(share)), place]})
+
+        said = F.pandas_udf(run, "place int, prob double")(_sparse(features))
+        out = df.withColumn("_said", said)
+        return out.withColumn("prediction", F.get(F.array(*map(F.lit, self.labels)), F.col("_said.place"))).withColumn("prob", F.col("_said.prob")).drop("_said")
+
+
+    def save(self, path: str) -> None:
+        spark = SparkSession.getActiveSession()
+        rows = [(name, float(b), w.tolist()) for name, b, w in zip(self.labels, self.bias, self.weights)]
+        spark.createDataFrame(rows, "label string, bias double, weights array<double>").write.mode("overwrite").parquet(f"{path}/scores")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> LinearScores:
+        rows = sorted(spark.read.parquet(f"{path}/scores").collect())
+        return cls([r.label for r in rows], np.array([r.weights for r in rows]), np.array([r.bias for r in rows]))
+
+
+MODELS = {c.__name__: c for c in (OneVsRestModel, ProbabilityModel, TextModel, LinearScores)}
+
+
+def _sparse(features: str) -> Column:
+    """A vector as a struct of size, indices and values, which Arrow can carry."""
+    return F.from_json(F.to_json(F.struct(F.col(features).alias("v"))), "v struct<type:tinyint,size:int,indices:array<int>,values:array<double>>")["v"]
+
+
+def rows_of(col: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Row, place and value of each entry of a batch of vectors, and the number of rows."""
+    row, place, value = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
+    for i, (indices, values) in enumerate(zip(col["indices"], col["values"])):
+        values = np.asarray(values, dtype=float)
+        place.append(np.asarray(indices, dtype=int) if indices is not None else np.arange(len(values)))
+        row.append(np.full(len(values), i))
+        value.append(values)
+    return np.concatenate(row), np.concatenate(place), np.concatenate(value), len(col)
+
+
+def scores(rows, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    row, place, value, n = rows
+    out = np.tile(bias, (n, 1))
+    for k in range(len(bias)):
+        out[:, k] += np.bincount(row, weights=value * weights[k, place], minlength=n)
+    return out
+
+
+def softmax(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(axis=1, keepdims=True)) if len(x) else x
+    return e / e.sum(axis=1, keepdims=True) if len(x) else x
+
+
+def boosted_linear(rounds: int = 20, rate: float = 0.5, ridge: float = 1.0) -> Callable:
+    """A boosted linear model of the softmax loss. Each round is one pass over the rows, which gives the gradient
+    and curvature of every weight; all weights take their Newton step at once, scaled by `rate` and by how many entries
+    a row has, so that steps of features that stand together do not add up beyond the loss. A task sends two numbers
+    for each feature and class."""
+
+    def train(df: DataFrame, features: str, label: str) -> LinearScores:
+        labels = sorted(r[0] for r in df.select(label).where(F.col(label).isNotNull()).distinct().collect())
+        width, spark = df.select(features).first()[0].size, df.sparkSession
+        data = df.where(F.col(label).isNotNull()).select(_sparse(features).alias("v"), (F.array_position(F.array(*map(F.lit, labels)), F.col(label)) - 1).cast("int").alias("y"))
+        data = data.select("v.indices", "v.values", "y").persist()
+        weights, bias = np.zeros((len(labels), width)), np.zeros(len(labels))
+        for _ in range(rounds):
+            model = spark.sparkContext.broadcast((weights, bias))
+
+            def run(batches, model=model):
+                w, b = model.value
+                grad, curve, ends = np.zeros_like(w), np.zeros_like(w), np.zeros((2, len(b)))
+                for pdf in batches:
+                    rows = rows_of(pdf)
+                    row, place, value, n = rows
+                    if not n:
+                        continue
+                    share = softmax(scores(rows, w, b))
+                    entries = np.maximum(1, np.bincount(row, minlength=n))
+                    off = share - np.eye(len(b))[pdf["y"].to_numpy()]
+                    bend = share * (1 - share)
+                    ends += off.sum(axis=0), bend.sum(axis=0)
+                    for k in range(len(b)):
+                        grad[k] += np.bincount(place, weights=value * off[row, k], minlength=w.shape[1])
+                        curve[k] += np.bincount(place, weights=value**2 * (bend[:, k] * entries)[row], minlength=w.shape[1])
+                yield pd.DataFrame({"grad": [grad.tobytes()], "curve": [curve.tobytes()], "ends": [ends.tobytes()]})
+
+            grad, curve, ends = np.zeros_like(weights), np.zeros_like(weights), np.zeros((2, len(labels)))
+            for r in data.mapInPandas(run, "grad binary, curve binary, ends binary").toLocalIterator():
+                grad += np.frombuffer(r.grad).reshape(grad.shape)
+                curve += np.frombuffer(r.curve).reshape(curve.shape)
+                ends += np.frombuffer(r.ends).reshape(ends.shape)
+            weights = weights - rate * (grad + ridge * weights) / (curve + ridge)
+            bias = bias - rate * ends[0] / (ends[1] + ridge)
+            model.unpersist()
+        data.unpersist()
+        return LinearScores(labels, weights, bias)
+
+    return train
+
+
+def discriminant(shrink: float = 1e-3, widest: int = 1000) -> Callable:
+    """Linear discriminant analysis: class means and one covariance for all classes, by one pass of sums; a share
+    `shrink` of the mean variance is added to the diagonal. For dense features, `widest` of them at most, as a task sends
+    the square of their number."""
+
+    def train(df: DataFrame, features: str, label: str) -> LinearScores:
+        width = df.select(features).first()[0].size
+        if width > widest:
+            raise ValueError(f"{width} features; {widest} are the most for a covariance matrix")
+        data = df.where(F.col(label).isNotNull()).select(vector_to_array(features).alias("x"), F.col(label).alias("y"))
+
+        def run(batches):
+            number, first, second = {}, {}, np.zeros((width, width))
+            for pdf in batches:
+                x = np.stack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, width))
+                second += x.T @ x
+                for y in pdf["y"].unique():
+                    own = x[(pdf["y"] == y).to_numpy()]
+                    number[y] = number.get(y, 0) + len(own)
+                    first[y] = first.get(y, 0) + own.sum(axis=0)
+            yield pd.DataFrame({"y": [*number, None], "n": [*number.values(), 0], "sums": [*(v.tobytes() for v in first.values()), second.tobytes()]})
+
+        number, first, second = {}, {}, np.zeros((width, width))
+        for r in data.mapInPandas(run, "y string, n long, sums binary").toLocalIterator():
+            if r.y is None:
+                second += np.frombuffer(r.sums).reshape(width, width)
+            else:
+                number[r.y] = number.get(r.y, 0) + r.n
+                first[r.y] = first.get(r.y, 0) + np.frombuffer(r.sums)
+        labels, total = sorted(number), sum(number.values())
+        means = np.array([first[y] / number[y] for y in labels])
+        within = (second - sum(number[y] * np.outer(m, m) for y, m in zip(labels, means))) / max(1, total - len(labels))
+        within += np.eye(width) * (shrink * np.trace(within) / width + 1e-12)
+        weights = np.linalg.solve(within, means.T).T
+        bias = np.array([np.log(number[y] / total) for y in labels]) - 0.5 * (weights * means).sum(axis=1)
+        return LinearScores(labels, weights, bias)
+
+    return train
+
 
 @dataclass
 class Classifier:
@@ -100,7 +290,7 @@ class Classifier:
 
 def registry(live: bool = True) -> list[Classifier]:
     """The classifiers in their order, which the vote depends on. Not live: the ones that are kept for trials."""
-    # C4: one hidden layer of 209 units. C5: no boosted linear model is at hand; multinomial regression is its kind.
+    # C4: one hidden layer of 209 units
     network = multiclass(lambda width, classes: MultilayerPerceptronClassifier(layers=[width, 209, classes], maxIter=25, seed=SEED))
     found = [
         Classifier("Jaro", lambda df, text, label, order: TextModel(df, text, label, order, "jaro"), True),
@@ -110,7 +300,8 @@ def registry(live: bool = True) -> list[Classifier]:
     ]
     if not live:
         found += [
-            Classifier("XGBoost", multiclass(lambda w, k: LogisticRegression(family="multinomial", regParam=0.01, elasticNetParam=0.1, maxIter=50))),
+            Classifier("BoostedLinear", boosted_linear()), Classifier("Multinomial", multiclass(lambda w, k: LogisticRegression(family="multinomial", regParam=0.01, elasticNetParam=0.1, maxIter=50))),
+            Classifier("Discriminant", discriminant()),
             Classifier("LinearSVC", one_vs_rest(LinearSVC(maxIter=30, regParam=0.01))), Classifier("NaiveBayes", multiclass(lambda w, k: NaiveBayes())),
             Classifier("RandomForest", multiclass(lambda w, k: RandomForestClassifier(numTrees=50, seed=SEED))),
             Classifier("BoostedTrees", one_vs_rest(GBTClassifier(maxIter=10, seed=SEED))),
@@ -196,6 +387,24 @@ def units_tree(df: DataFrame, features: str, label: str, depth: int = 4):
     return DecisionTreeClassifier(featuresCol=features, labelCol="_y", maxDepth=depth, seed=SEED).fit(index.transform(df))
 
 
+def important_features(model: ProbabilityModel, names: list[str], number: int | None = None) -> list[tuple[str, float]]:
+    """(feature, importance) of a fitted forest or tree, the most important first, by name among equals; features of
+    no importance are left out."""
+    weights = model.model.featureImportances
+    found = sorted(((names[i], float(w)) for i, w in zip(weights.indices, weights.values) if w > 0), key=lambda x: (-x[1], x[0]))
+    return found[:number]
+
+
+def network_weights(model: ProbabilityModel) -> list[np.ndarray]:
+    """C11: the weight matrix of each layer of a network, inputs and a bias (last row) by outputs."""
+    layers, flat, out, at = model.model.getLayers(), model.model.weights.toArray(), [], 0
+    for a, z in zip(layers, layers[1:]):
+        inner, bias = flat[at : at + a * z].reshape(z, a, order="F").T, flat[at + a * z : at + (a + 1) * z]
+        out.append(np.vstack([inner, bias]))
+        at += (a + 1) * z
+    return out
+
+
 def coefficients(model: OneVsRestModel, names: list[str]) -> list[tuple[str, str, float]]:
     """C11: (class, feature, weight) of one-vs-rest linear models."""
     return [(label, name, float(w)) for label, m in zip(model.labels, model.models) for name, w in zip(names, m.coefficients.toArray())]

@@ -9,21 +9,25 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, OneHotEncoder, RegexTokenizer, StringIndexer, VarianceThresholdSelector, VectorAssembler, VectorSlicer, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Correlation
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.functions.text import corpus_tokens
 
 
+#: A word of two signs or more, in any alphabet.
+WORD = r"[\p{L}\p{M}\p{N}_]{2,}"
+
+
 def _words(text: str, out: str) -> RegexTokenizer:
-    return RegexTokenizer(inputCol=text, outputCol=out, pattern=r"\b\w\w+\b", gaps=False, toLowercase=True)
+    return RegexTokenizer(inputCol=text, outputCol=out, pattern=WORD, gaps=False, toLowercase=True)
 
 
 def word_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     """M1 as rows: (key, word, n) for all words of bag_of_words(), by aggregates alone; key is unique."""
-    words = _words(text, "words").transform(df.select(key, text))
-    return words.select(key, F.explode("words").alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
+    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    return df.select(key, F.explode(words).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
 
 
 def bag_of_words(text: str, out: str = "bow", vocabulary: Sequence[str] | None = None, largest: int = 2**31 - 1) -> Pipeline:
@@ -38,15 +42,39 @@ def bag_of_words(text: str, out: str = "bow", vocabulary: Sequence[str] | None =
     return Pipeline(stages=[words, count])
 
 
-def word_vectors(df: DataFrame, text: str, size: int = 300, window: int = 10, least: int = 2, seed: int = 786) -> DataFrame:
-    """M3: (word, vector) learned by skip-gram, each vector scaled to length 1."""
-    words = df.select(corpus_tokens(text).alias("words")).where("size(words) > 1")
-    model = Word2Vec(inputCol="words", outputCol="v", vectorSize=size, windowSize=window, minCount=least, seed=seed, numPartitions=4).fit(words)
+def word_vectors(df: DataFrame, text: str, size: int = 300, window: int = 10, least: int = 2, seed: int = 786, phrases: DataFrame | None = None, parts: int = 4) -> DataFrame:
+    """M3: (word, vector) learned by skip-gram, each vector scaled to length 1. With `phrases` (a, b) these pairs are
+    one word each, with an underscore. The vocabulary goes to the driver."""
+    words = df.select(corpus_tokens(text).alias("words"))
+    words = (words if phrases is None else phrased(words, "words", phrases)).where("size(words) > 1")
+    model = Word2Vec(inputCol="words", outputCol="v", vectorSize=size, windowSize=window, minCount=least, seed=seed, numPartitions=parts).fit(words)
     v = model.getVectors().select("word", vector_to_array("vector").alias("vector"))
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     return v.withColumn("_l", length).where("_l > 0").select("word", F.transform("vector", lambda x: x / F.col("_l")).alias("vector"))
 
 
+def phrased(df: DataFrame, words: str, phrases: DataFrame) -> DataFrame:
+    """df with the word pairs of phrases (a, b) in its array of words as one word a_b, the first of overlapping pairs
+    first. The phrases, a bounded part of a vocabulary that Word2Vec holds whole as well, go to the workers."""
+    known = df.sparkSession.sparkContext.broadcast({(r.a, r.b) for r in phrases.select("a", "b").collect()})
+
+    def run(col: pd.Series) -> pd.Series:
+        pairs, out = known.value, []
+        for row in col:
+            joined: list[str] = []
+            free = False  # whether the last word is a plain one
+            for w in row if row is not None else ():
+                if free and (joined[-1], w) in pairs:
+                    joined[-1], free = f"{joined[-1]}_{w}", False
+                else:
+                    joined.append(w)
+                    free = True
+            out.append(joined)
+        return pd.Series(out)
+
+    return df.withColumn(words, F.pandas_udf(run, "array<string>")(F.col(words)))
+
+
 def bigram_phrases(df: DataFrame, text: str, least: int = 10, score: float = 10.0) -> DataFrame:
     """M3: word pairs that stand together more often than chance (collocations): a, b, n, score."""
     words = df.select(corpus_tokens(text).alias("w"))
@@ -61,14 +89,18 @@ def bigram_phrases(df: DataFrame, text: str, least: int = 10, score: float = 10.
 def concept_similarity(df: DataFrame, words: str, vectors: dict[str, np.ndarray], concepts: dict[str, Sequence[str]], out: str = "concepts") -> DataFrame:
     """M2: for each concept the cosine of the mean vector of the text's words to that of the concept's key words (a
     blank in a key word is an underscore in the vocabulary; unknown ones are left out), 0 without known words; then
-    min-max by row, unless all are equal. The word table goes to the workers as a whole: it is a model of fixed size."""
+    min-max by row, unless all are equal. The word table goes to the workers as a broadcast variable; a vocabulary of a
+    million words of 300 numbers, the most that is taken, is 2.4 GB."""
+    if len(vectors) > 1_000_000:
+        raise ValueError("a word table for the workers holds a million words at most")
     key = {c: [vectors[w.strip().replace(" ", "_")] for w in ws if w.strip().replace(" ", "_") in vectors] for c, ws in concepts.items()}
     size = len(next(iter(vectors.values())))
     means = np.array([np.mean(v, axis=0) if v else np.zeros(size) for v in key.values()])
     length = np.linalg.norm(means, axis=1)
+    table = df.sparkSession.sparkContext.broadcast(vectors)
 
     def run(col: pd.Series) -> pd.Series:
-        rows = []
+        vectors, rows = table.value, []
         for found in col:
             known = [vectors[w] for w in (found if found is not None else []) if w in vectors]
             mean = np.mean(known, axis=0) if known else np.zeros(size)
@@ -94,11 +126,35 @@ def varying(df: DataFrame, features: str, out: str = "selected", deviation: floa
     return model if len(model.selectedFeatures) else None
 
 
-def uncorrelated(df: DataFrame, features: str, out: str = "selected", most: float = 1 - 1e-12) -> VectorSlicer:
-    """M6: a slicer without the first of each pair of features whose correlation reaches `most`; undefined ones stay."""
-    r = np.abs(Correlation.corr(df, features, "pearson").first()[0].toArray())
-    drop = {i for i in range(len(r)) for j in range(i + 1, len(r)) if r[i, j] >= most}
-    return VectorSlicer(inputCol=features, outputCol=out, indices=[i for i in range(len(r)) if i not in drop])
+def uncorrelated(df: DataFrame, features: str, out: str = "selected", most: float = 1 - 1e-12, seed: int = 1) -> VectorSlicer:
+    """M6: a slicer without the first of each pair of features whose correlation reaches `most`, which is near 1;
+    undefined ones stay.
+
+    Features that are so alike have alike means under any weights of the rows, once they are shifted and scaled, but
+    for the sign. So weighted sums by feature, one pass, sort them into small groups, and only within a group are
+    correlations worked out. The driver gets a few numbers for each feature, and no matrix of all of them."""
+    draws = [f"_w{i}" for i in range(3)]
+    rows = df.select(features, *(F.rand(seed + i).alias(w) for i, w in enumerate(draws)))
+    own = Summarizer.metrics("mean", "std", "count").summary(F.col(features)).alias("s")
+    sums = rows.agg(own, *(F.sum(w).alias(f"t{w}") for w in draws), *(Summarizer.metrics("mean").summary(F.col(features), F.col(w)).alias(f"m{w}") for w in draws)).first()
+    mean, deviation = sums.s["mean"].toArray(), sums.s["std"].toArray()
+    scaled = np.array([(sums[f"m{w}"]["mean"].toArray() - mean) / np.where(deviation > 0, deviation, np.nan) for w in draws]) * np.sqrt(sums.s["count"])
+    sure, near = np.nonzero(deviation > 0)[0], max(1e-6, 20 * np.sqrt(2 * (1 - most)))
+    order = sure[np.argsort(np.abs(scaled[0, sure]), kind="stable")]
+    first = np.abs(scaled[0, order])
+    drop: set[int] = set()
+    cut = np.nonzero(np.concatenate([[True], np.diff(first) > near]))[0] if len(order) else np.zeros(0, int)
+    for a, z in zip(cut, [*cut[1:], len(order)]):
+        members = np.sort(order[a:z])
+        if len(members) > 1:  # those with a partner alike under the other weights as well
+            size = np.abs(scaled[1:, members])
+            alike = (np.abs(size[:, :, None] - size[:, None, :]) <= near).all(axis=0).sum(axis=1) > 1
+            members = members[alike]
+        if len(members) > 1:
+            some = VectorSlicer(inputCol=features, outputCol="_g", indices=members.tolist()).transform(df.select(features))
+            r = np.abs(Correlation.corr(some, "_g", "pearson").first()[0].toArray())
+            drop.update(members[np.triu(r >= most, 1).any(axis=1)].tolist())
+    return VectorSlicer(inputCol=features, outputCol=out, indices=[i for i in range(len(mean)) if i not in drop])
 
 
 def label_index(label: str, out: str = "label_idx") -> StringIndexer:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import os
+import json
+from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.functions import text as tx
-from lexispark.operators import classify, features, fuzzy, sampling, structured, voting
+from lexispark.operators import classify, features, fuzzy, lifecycle, sampling, structured, voting
+from lexispark.sources import io
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -31,31 +34,68 @@ def something_new(models_there: bool, reviews: DataFrame, requests: DataFrame) -
 
 
 class Trained:
-    """Fitted features and classifiers."""
+    """Fitted features and classifiers: a bag of words, concepts if any, a selection, and the models by name."""
 
-    def __init__(self, bag: PipelineModel, selector, models: dict[str, object]):
-        self.bag, self.selector, self.models = bag, selector, models
+    def __init__(self, bag: PipelineModel, selector, models: dict[str, object], text: str, vectors: dict | None = None, concepts: dict | None = None):
+        self.bag, self.selector, self.models, self.text, self.vectors, self.concepts = bag, selector, models, text, vectors, concepts
 
     def featured(self, df: DataFrame) -> DataFrame:
         out = self.bag.transform(df)
+        if self.concepts:
+            out = features.concept_similarity(out.withColumn("_tokens", tx.corpus_tokens(self.text)), "_tokens", self.vectors, self.concepts, "_concepts")
+            out = features.joined_features(out.withColumnRenamed("features", "_bag"), "_bag", "_concepts").drop("_bag", "_tokens", "_concepts")
         return self.selector.transform(out) if self.selector is not None else out.withColumn("selected", F.col("features"))
 
     def classified(self, df: DataFrame, row: str) -> DataFrame:
         """Votes, boosted, put to the vote, with a confidence: row_id, vote, algorithms, n_agree, confidence."""
-        long = classify.votes(self.models, self.featured(df), "selected", row)
+        data = self.featured(df) if any(not isinstance(m, classify.TextModel) for m in self.models.values()) else df
+        long = classify.votes(self.models, data, "selected", row)
         long = long.withColumn("prob", voting.band_boosted(F.col("clf"), F.col("prob")))
         out = voting.majority(long)
         return out.withColumn("confidence", voting.confidence(F.col("n_agree"), F.col("sum_prob"))).drop("mean_prob", "sum_prob")
 
-
-def train(df: DataFrame, text: str, label: str, key: str, which: list[classify.Classifier] | None = None, largest: int = 2000) -> Trained:
-    """Features, selection and all classifiers, fitted on these rows alone."""
+    def save(self, spark: SparkSession, root: str, stamp: str) -> str:
+        """To a folder of its own below root; returns the folder."""
+        to = io.ModelFolders(spark, root).save(self.models, stamp)
+        PipelineModel([self.bag] + [self.selector] * (self.selector is not None)).write().overwrite().save(f"{to}/features")
+        if self.vectors:
+            spark.createDataFrame([(w, [float(x) for x in v]) for w, v in self.vectors.items()], "word string, vector array<double>").write.mode("overwrite").parquet(f"{to}/vectors")
+        facts = [(self.text, json.dumps(self.concepts), bool(self.vectors))]
+        spark.createDataFrame(facts, "text string, concepts string, vectors boolean").coalesce(1).write.mode("overwrite").json(f"{to}/facts")
+        return to
+
+    @classmethod
+    def load(cls, spark: SparkSession, root: str, names: Sequence[str]) -> Trained | None:
+        """The newest set below root that has all these models; None if there is none."""
+        folders = io.ModelFolders(spark, root)
+        folder = folders.newest(names)
+        if folder is None:
+            return None
+        stages = PipelineModel.load(f"{folder}/features").stages
+        facts = spark.read.schema("text string, concepts string, vectors boolean").json(f"{folder}/facts").first()
+        vectors = {r.word: np.array(r.vector) for r in spark.read.parquet(f"{folder}/vectors").collect()} if facts.vectors else None
+        return cls(stages[0], stages[1] if len(stages) > 1 else None, folders.load(folder, classify.MODELS), facts.text, vectors, json.loads(facts.concepts))
+
+
+def train(df: DataFrame, text: str, label: str, key: str, which: list[classify.Classifier] | None = None, concepts: dict[str, list[str]] | None = None, size: int = 100, window: int = 10) -> Trained:
+    """Features, selection and all classifiers, fitted on these rows alone. All words are features; with `concepts`
+    (name: key words) so are the similarities to them, by word vectors learned from the same texts with their frequent
+    phrases joined."""
+    which = which or classify.registry()
     up = sampling.upsampled(df, label, key).drop("copy")
-    bag = features.bag_of_words(text, "features", largest=largest).fit(up)
-    data = bag.transform(up)
-    selector = features.varying(data, "features")
-    data = selector.transform(data) if selector is not None else data.withColumn("selected", F.col("features"))
-    return Trained(bag, selector, classify.trained(data, text, "selected", label, key, which))
+    bag = features.bag_of_words(text, "features").fit(up)
+    vectors = None
+    if concepts:
+        phrases = features.bigram_phrases(df, text)
+        learned = features.word_vectors(df, text, size=size, window=window, phrases=phrases)
+        vectors = {r.word: np.array(r.vector) for r in learned.collect()}
+    model = Trained(bag, None, {}, text, vectors, concepts if vectors else None)
+    data = model.featured(up).drop("selected")
+    if not all(c.on_text for c in which):
+        model.selector = features.varying(data, "features")
+    data = model.selector.transform(data) if model.selector is not None else data.withColumn("selected", F.col("features"))
+    model.models = classify.trained(data, text, "selected", label, key, which)
+    return model
 
 
 def train_and_classify(df: DataFrame, text: str, label: str, key: str, share: float = 0.2, which: list[classify.Classifier] | None = None) -> DataFrame:
@@ -67,19 +107,31 @@ def train_and_classify(df: DataFrame, text: str, label: str, key: str, share: fl
 
 
 def classify_lines(lines: DataFrame, training: DataFrame, trained: Trained | None, text: str, label: str, key: str, least: float = 0.85) -> DataFrame:
-    """Exact matches first (confidence 1), then fuzzy ones, then the models' vote: (key, label, confidence, origin)."""
-    work = lines.withColumn("_clean", tx.line_clean(text))
-    known = training.groupBy(F.col(text).alias("_clean")).agg(F.min(F.struct(key, label)).alias("_t"))
-    exact = work.join(known, "_clean").select(key, F.col(f"_t.{label}").alias(label), F.lit(1.0).alias("confidence"), F.lit("exact").alias("origin"))
+    """Exact matches first (confidence 1), then fuzzy ones, then the models' vote: (key, label, confidence, origin,
+    algorithms)."""
+    work = lines.withColumn("_clean", tx.text_key(tx.line_clean(text)))
+    known = training.groupBy(tx.text_key(tx.line_clean(text)).alias("_clean")).agg(F.min(F.struct(key, label)).alias("_t"))
+    none = F.lit("")
+    exact = work.join(known, "_clean").select(key, F.col(f"_t.{label}").alias(label), F.lit(1.0).alias("confidence"), F.lit("exact").alias("origin"), none.alias("algorithms"))
     rest = work.join(known, "_clean", "left_anti")
     near = fuzzy.nearest(rest, training, text, label, key, "jaro", least)
-    fuzzy_rows = near.where("similarity is not null").select(key, F.col("prediction").alias(label), fuzzy.boosted(F.col("similarity")).alias("confidence"), F.lit("fuzzy").alias("origin"))
+    fuzzy_rows = near.where("similarity is not null").select(key, F.col("prediction").alias(label), fuzzy.boosted(F.col("similarity")).alias("confidence"), F.lit("fuzzy").alias("origin"), none.alias("algorithms"))
     out = exact.unionByName(fuzzy_rows)
     left = near.where("similarity is null").select(*lines.columns)
     if trained is None:
-        return out.unionByName(left.select(key, F.lit(None).cast("string").alias(label), F.lit(0.0).alias("confidence"), F.lit("none").alias("origin")))
+        return out.unionByName(left.select(key, F.lit(None).cast("string").alias(label), F.lit(0.0).alias("confidence"), F.lit("none").alias("origin"), none.alias("algorithms")))
     voted = trained.classified(left, key)
-    return out.unionByName(voted.select(F.col("row_id").alias(key), F.col("vote").alias(label), "confidence", F.lit("vote").alias("origin")))
+    return out.unionByName(voted.select(F.col("row_id").alias(key), F.col("vote").alias(label), "confidence", F.lit("vote").alias("origin"), "algorithms"))
+
+
+def classification_report(lines: DataFrame, found: DataFrame, label: str, key: str, threshold: float = 0.9) -> DataFrame:
+    """The lines with what classify_lines() found for them, and whether a reviewer must look: every line is there,
+    one without a class has '' and waits."""
+    own = found.select(F.col(key).alias("_key"), F.col(label).alias("_label"), F.col("confidence").alias("_confidence"), "origin", "algorithms")
+    out = lines.join(own, lines[key] == F.col("_key"), "left")
+    out = out.withColumn("chrg_cls", F.coalesce("_label", F.lit(""))).withColumn("conf_score", F.round(F.coalesce("_confidence", F.lit(0.0)), 4))
+    status = lifecycle.auto_approved(F.col("conf_score"), threshold, F.lit("Pending"))
+    return out.withColumn("rev_stat", status).drop("_key", "_label", "_confidence")
 
 
 def analyse(lines: DataFrame, descrip: str, code: str, units: str, billed: str, label: str) -> dict[str, DataFrame]:
@@ -93,8 +145,3 @@ def analyse(lines: DataFrame, descrip: str, code: str, units: str, billed: str,
         "by_code": structured.dominance(d, code, label),
         "by_amount": structured.dominance(d, "amount_bin", label),
     }
-
-
-def versioned(root: str, stamp: str) -> str:
-    """The folder of a trained set of models."""
-    return os.path.join(root, stamp)

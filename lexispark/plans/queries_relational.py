@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from lexispark.functions import text
-from lexispark.operators import fuzzy, sampling
+from lexispark.operators import classify, fuzzy, sampling
 from lexispark.operators import lifecycle as life
+from lexispark.plans import pipeline
 from lexispark.plans.queries_text import T1
 from lexispark.plans.registry import Tables, query
 from lexispark.session import shared_dir
@@ -43,13 +44,55 @@ def _(t: Tables):
     return life.run_metrics(hit.withColumn("conf", F.when(F.col("known"), 1.0).otherwise(0.0)), "k", "conf", "known")
 
 
-@query("pipeline_classify", _KEYED + """, m AS (SELECT n.doc_id, min(t.toxic) AS low, max(t.toxic) AS high, count(t.k) AS n_known FROM n LEFT JOIN t USING (k) GROUP BY 1)
-SELECT doc_id, CASE WHEN n_known > 0 THEN CAST(low AS VARCHAR) ELSE '' END AS chrg_cls, CASE WHEN n_known > 0 AND low = high THEN 'No Review Necessary' ELSE 'Pending' END AS rev_stat, n_known FROM m""")
-def _(t: Tables):
-    new, known = known_texts(t)
-    classes = known.groupBy("k").agg(F.min("toxic").alias("low"), F.max("toxic").alias("high"), F.count("*").alias("n"))
-    out = new.join(classes, "k", "left")
-    return out.select("doc_id", F.coalesce(F.col("low").cast("string"), F.lit("")).alias("chrg_cls"), F.when(F.col("low") == F.col("high"), "No Review Necessary").otherwise("Pending").alias("rev_stat"), F.coalesce("n", F.lit(0)).cast("long").alias("n_known"))
+_CLEAN = "trim(translate({0}, '\",' || chr(13) || chr(10), '    '))"
+_MATCH = "regexp_replace({0}, '[^A-Za-z0-9+%.>/&]', '', 'g')"
+
+
+def part_lines(t: Tables):
+    """Lines to classify (p_partkey, descr), some as known, some with other signs, some unlike all, and known lines with
+    their class: the part's second word."""
+    p = t.part.withColumn("known", F.concat_ws(" ", "p_name", "p_brand"))
+    other = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.col("known"), F.lit(","))).when(F.col("p_partkey") % 3 == 1, F.regexp_replace("known", "i", "y")).otherwise(F.concat_ws(" ", F.reverse("p_name"), F.lower("p_brand"), F.lower("p_type")))
+    lines = p.where("p_partkey % 5 = 0").select("p_partkey", other.alias("descr"))
+    return lines, p.where("p_partkey % 5 <> 0").select("p_partkey", F.col("known").alias("descr"), F.element_at(F.split("p_name", " "), 2).alias("cls"))
+
+
+# Exact matches, else the most similar known line from 0.85 on, else the vote of two text classifiers.
+@query("pipeline_classify", f"""
+WITH p AS (SELECT *, p_name || ' ' || p_brand AS known FROM part),
+n AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN known || ',' WHEN 1 THEN replace(known, 'i', 'y') ELSE reverse(p_name) || ' ' || lower(p_brand) || ' ' || lower(p_type) END AS descr FROM p WHERE p_partkey % 5 = 0),
+k AS (SELECT known AS descr, min(p_partkey) AS idx, split_part(arg_min(p_name, p_partkey), ' ', 2) AS cls FROM p WHERE p_partkey % 5 <> 0 GROUP BY 1),
+e AS (SELECT n.p_partkey, arg_min(k.cls, k.idx) AS cls FROM n JOIN k ON {_CLEAN.format('n.descr')} = {_CLEAN.format('k.descr')} GROUP BY 1),
+r AS (SELECT DISTINCT {_MATCH.format('descr')} AS c FROM n ANTI JOIN e USING (p_partkey)),
+m AS (SELECT {_MATCH.format('descr')} AS kc, min(idx) AS idx, arg_min(cls, idx) AS cls, min(descr) AS d FROM k GROUP BY 1),
+s AS (SELECT r.c, m.cls, m.idx, m.d, round(jaro_similarity(r.c, m.kc), 2) AS jaro, round(1 - damerau_levenshtein(r.c, m.kc) / greatest(length(r.c), length(m.kc)), 2) AS dl FROM r, m),
+j AS (SELECT c, max(jaro) AS prob, arg_min(cls, struct_pack(x := -jaro, y := idx)) AS cls FROM s GROUP BY 1),
+l AS (SELECT c, max(dl) AS prob, arg_min(cls, struct_pack(x := -dl, y := d, z := idx)) AS cls FROM s GROUP BY 1),
+v AS (SELECT j.c, j.prob AS jaro, j.cls AS jcls, l.cls AS lcls, CASE WHEN j.prob >= 0.8 AND j.prob < 0.85 THEN 0.85 ELSE j.prob END AS jp,
+  CASE WHEN l.prob >= 0.8 AND l.prob < 0.9 THEN 0.96 WHEN l.prob >= 0.7 AND l.prob < 0.8 THEN 0.93 WHEN l.prob >= 0.6 AND l.prob < 0.7 THEN 0.88 WHEN l.prob >= 0.5 AND l.prob < 0.6 THEN 0.81 ELSE l.prob END AS lp FROM j JOIN l USING (c)),
+w AS (SELECT *, CASE WHEN jcls = lcls THEN jcls WHEN round(jp, 9) > round(lp, 9) THEN jcls WHEN round(jp, 9) < round(lp, 9) THEN lcls ELSE least(jcls, lcls) END AS cls FROM v),
+o AS (SELECT n.p_partkey, n.descr, e.cls AS ecls, CASE WHEN e.cls IS NOT NULL THEN 'exact' WHEN w.jaro >= 0.85 THEN 'fuzzy' ELSE 'vote' END AS origin, w.* FROM n LEFT JOIN e USING (p_partkey) LEFT JOIN w ON e.cls IS NULL AND w.c = {_MATCH.format('n.descr')}),
+f AS (SELECT p_partkey, descr, origin, CASE origin WHEN 'exact' THEN ecls WHEN 'fuzzy' THEN jcls ELSE cls END AS chrg_cls,
+  round(CASE origin WHEN 'exact' THEN 1.0 WHEN 'fuzzy' THEN CASE WHEN jaro < 0.9 THEN 0.91 ELSE jaro END ELSE (CASE WHEN jcls = cls THEN jp ELSE 0 END + CASE WHEN lcls = cls THEN lp ELSE 0 END) / 4 END, 4) AS conf_score,
+  CASE origin WHEN 'vote' THEN CASE WHEN jcls = lcls THEN 'Jaro, DLevenshtein' WHEN jcls = cls THEN 'Jaro' ELSE 'DLevenshtein' END ELSE '' END AS algorithms FROM o)
+SELECT *, CASE WHEN conf_score >= 0.9 THEN 'No Review Necessary' ELSE 'Pending' END AS rev_stat FROM f""")
+def _(t: Tables):
+    lines, known = part_lines(t)
+    trained = pipeline.train(known, "descr", "cls", "p_partkey", [c for c in classify.registry() if c.on_text])
+    found = pipeline.classify_lines(lines, known, trained, "descr", "cls", "p_partkey")
+    return pipeline.classification_report(lines, found, "cls", "p_partkey")
+
+
+@query("pipeline_saved_models")
+def _(t: Tables):
+    """The whole live set of classifiers, trained, saved, loaded again, and put to the vote on lines that match nothing."""
+    lines, known = part_lines(t)
+    root = f"{shared_dir(t.spark)}/models-{uuid.uuid4().hex}"
+    concepts = {"colour": ["red", "blue"], "part": ["bolt", "gear"]}
+    pipeline.train(known, "descr", "cls", "p_partkey", concepts=concepts, size=16).save(t.spark, root, "20200101000000")
+    trained = pipeline.Trained.load(t.spark, root, [c.name for c in classify.registry()])
+    found = pipeline.classify_lines(lines, known, trained, "descr", "cls", "p_partkey", least=2.0)
+    return pipeline.classification_report(lines, found, "cls", "p_partkey")
 
 
 @query("F2_unprocessed", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O'")

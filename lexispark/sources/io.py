@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
 import re
-import shutil
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,16 +53,33 @@ def load_workbook(spark: SparkSession, path: str, schema: str, batch: str, batch
     append(rows.where(F.col(batch_column) == batch), to)
 
 
+def _fs(spark: SparkSession, path: str):
+    """The path as Hadoop's, and the file system that it is on."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def replace(df: DataFrame, path: str) -> None:
-    """A truncate-and-load that leaves the old table until the new one is whole: written beside it, then swapped."""
-    spark, beside = df.sparkSession, f"{path.rstrip('/')}._new"
-    df.write.mode("overwrite").parquet(beside)
-    jvm = spark.sparkContext._jvm
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(beside)
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
+    """A truncate-and-load that leaves the old table until the new one is whole: written beside it, then swapped
+    by two renames, the old table's first. After a crash between them the old table is `<path>._old`, which the next
+    call, and recovered(), put back."""
+    spark, root = df.sparkSession, path.rstrip("/")
+    recovered(spark, path)
+    df.write.mode("overwrite").parquet(f"{root}._new")
+    (old, fs), (new, _), (spare, _) = (_fs(spark, p) for p in (root, f"{root}._new", f"{root}._old"))
+    fs.delete(spare, True)
+    if fs.exists(old) and not fs.rename(old, spare):
+        raise OSError(f"can't move {root}")
     if not fs.rename(new, old):
-        raise OSError(f"can't move {beside} to {path}")
+        fs.rename(spare, old)
+        raise OSError(f"can't move {root}._new to {root}")
+    fs.delete(spare, True)
+
+
+def recovered(spark: SparkSession, path: str) -> bool:
+    """Put back the table that a replace() which broke off between its renames has left beside its place."""
+    (old, fs), (spare, _) = (_fs(spark, p) for p in (path.rstrip("/"), f"{path.rstrip('/')}._old"))
+    return not fs.exists(old) and fs.exists(spare) and bool(fs.rename(spare, old))
 
 
 def read_sentences(spark: SparkSession, path: str, least: int = 3) -> DataFrame:
@@ -86,35 +101,42 @@ def reverse_mapping(df: DataFrame, expansion: str = "full_form", short: str = "a
 
 
 class ModelFolders:
-    """One folder for each trained set of models, named by time; the newest ones stay."""
+    """One folder for each trained set of models, named by time; the newest ones stay. Any file system that
+    Spark reaches."""
 
-    def __init__(self, root: str, keep: int = 10):
-        self.root, self.keep = root, keep
+    def __init__(self, spark: SparkSession, root: str, keep: int = 10):
+        self.spark, self.root, self.keep = spark, root.rstrip("/"), keep
 
     def folders(self) -> list[str]:
-        found = sorted(os.listdir(self.root)) if os.path.isdir(self.root) else []
-        return [os.path.join(self.root, f) for f in found if re.fullmatch(r"\d{14}", f)]
+        where, fs = _fs(self.spark, self.root)
+        found = sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+        return [f"{self.root}/{f}" for f in found if re.fullmatch(r"\d{14}", f)]
 
     def save(self, models: dict[str, object], stamp: str) -> str:
-        """Models with a writer are saved under their names, then a list of the names, which makes the set complete."""
-        to = os.path.join(self.root, stamp)
+        """Each model under its name, by its own save(path); then the list of names and kinds, which makes the set
+        complete; then the oldest folders go."""
+        to = f"{self.root}/{stamp}"
         for name, model in models.items():
-            model.write().overwrite().save(os.path.join(to, name))
-        os.makedirs(to, exist_ok=True)
-        with open(os.path.join(to, "names"), "w") as f:
-            f.write("\n".join(models))
+            model.save(f"{to}/{name}")
+        names = self.spark.createDataFrame([(n, type(m).__name__) for n, m in models.items()], "name string, kind string")
+        names.coalesce(1).write.mode("overwrite").json(f"{to}/names")
         for old in self.folders()[: -self.keep]:
-            shutil.rmtree(old)
+            where, fs = _fs(self.spark, old)
+            fs.delete(where, True)
         return to
 
+    def _names(self, folder: str) -> dict[str, str]:
+        where, fs = _fs(self.spark, f"{folder}/names/_SUCCESS")
+        return {r.name: r.kind for r in self.spark.read.schema("name string, kind string").json(f"{folder}/names").collect()} if fs.exists(where) else {}
+
     def complete(self, folder: str, names: Sequence[str]) -> bool:
         """Whether the folder has all of these models."""
-        try:
-            with open(os.path.join(folder, "names")) as f:
-                said = f.read().split("\n")
-        except FileNotFoundError:
-            return False
-        return set(names) <= set(said) and all(os.path.isdir(os.path.join(folder, n)) for n in names)
+        said = self._names(folder)
+        return bool(said) and set(names) <= set(said)
 
     def newest(self, names: Sequence[str]) -> str | None:
         return next((f for f in reversed(self.folders()) if self.complete(f, names)), None)
+
+    def load(self, folder: str, kinds: dict[str, type]) -> dict[str, object]:
+        """The models of a complete folder in the order of their saving, by the load(spark, path) of their kinds."""
+        return {name: kinds[kind].load(self.spark, f"{folder}/{name}") for name, kind in self._names(folder).items()}

@@ -43,6 +43,6 @@ def test_same_rows(spark, duck, name):
     assert table(got.columns, map(tuple, got.collect())) == table(want.columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["C3_logistic_one_vs_rest", "C10_train_and_classify", "M2_concept_similarity", "T7_T8_mined_corrections", "C6_nearest_neighbours"])
+@pytest.mark.parametrize("name", ["C6_discriminant", "C7_stacking", "C8_cross_validation", "C10_train_and_classify", "M2_concept_similarity", "C6_nearest_neighbours", "O4_important_features", "pipeline_saved_models"])
 def test_rows_alone(spark, name):
     assert catalog.queries()[name](spark, FOLDER).count() > 0

@@ -29,24 +29,43 @@ def test_training_load(spark, tmp_path):
     assert row.desc == "a, b" and row.create_dt is not None
 
 
-def test_folders_rotate(tmp_path):
+def test_folders_rotate(spark, tmp_path):
     class Model:
-        def write(self):
-            return self
-
-        overwrite = write
-
         def save(self, path):
-            import os
-
-            os.makedirs(path)
+            spark.range(1).write.parquet(path)
 
-    f = io.ModelFolders(str(tmp_path), keep=2)
+    f = io.ModelFolders(spark, str(tmp_path / "models"), keep=2)
+    assert f.folders() == [] and f.newest(["a"]) is None
     for stamp in ("20200101000000", "20200102000000", "20200103000000"):
         f.save({"a": Model()}, stamp)
     assert len(f.folders()) == 2 and f.newest(["a"]).endswith("20200103000000") and f.newest(["a", "b"]) is None
 
 
+def test_models_are_the_same_when_loaded(spark, tmp_path):
+    from lexispark.operators import classify
+
+    words = {"p": "red bolt hot", "q": "blue gear old", "r": "small ring kit"}
+    rows = [(i, f"{words['pqr'[i % 3]]} x{i % 7} {words['pqr'[(i + i // 9) % 3]].split()[0]}", "pqr"[i % 3]) for i in range(90)]
+    d = spark.createDataFrame(rows, "k long, d string, c string")
+    which = [c for c in classify.registry(False) if c.name in ("Jaro", "Logistic_OvR", "DeepNN", "BoostedLinear", "NaiveBayes")]
+    model = pipeline.train(d, "d", "c", "k", which, {"colour": ["red", "blue"], "size": ["small"]}, size=8)
+    model.save(spark, str(tmp_path), "20200101000000")
+    again = pipeline.Trained.load(spark, str(tmp_path), [c.name for c in which])
+    said = lambda m: sorted(tuple(r) for r in m.classified(d, "k").select("row_id", "vote", "n_agree", "algorithms").collect())
+    assert said(model) == said(again) and [*again.models] == [c.name for c in which]
+    assert sum(v == "pqr"[i % 3] for i, v, *_ in said(again)) > 80
+    assert pipeline.Trained.load(spark, str(tmp_path), ["Stacking"]) is None
+
+
+def test_replace_after_a_crash(spark, tmp_path):
+    path = str(tmp_path / "t")
+    io.append(spark.range(3), path)
+    (tmp_path / "t").rename(tmp_path / "t._old")  # broke off between the renames
+    assert io.recovered(spark, path) and spark.read.parquet(path).count() == 3 and not io.recovered(spark, path)
+    io.replace(spark.range(2), path)
+    assert spark.read.parquet(path).count() == 2 and sorted(p.name for p in tmp_path.iterdir()) == ["t"]
+
+
 def test_incremental(spark, tmp_path):
     src, to, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
     for part in (range(3), range(3, 5)):
