@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import string
 import struct
 import zlib
@@ -61,9 +62,17 @@ class WordIds:
 
     def __init__(self, tokenizer_file: str):
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer, self.parts = Tokenizer.from_file(tokenizer_file), Recent(CACHED_PARTS)
+        # the same model for parts, which need no normalising and no other split than at blanks; its last tokens end so
+        self.plain = Tokenizer.from_file(tokenizer_file)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix, vocabulary = self.tokenizer.model.end_of_word_suffix, self.tokenizer.get_vocab()
+        self.last = np.zeros(1 + max(vocabulary.values()), dtype=bool)
+        self.last[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         added = self.tokenizer.get_added_tokens_decoder()
         if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
             raise ValueError("added tokens must stand for their own characters alone")
@@ -136,13 +145,13 @@ class WordIds:
         self.parts.update((p, self.added.get(p, b"")) for p in lack if not p or p in self.added)
         lack = [p for p in lack if p and p not in self.added]
         if lack:
-            found = self.tokenizer.encode(" ".join(lack), add_special_tokens=False)
-            owner = np.array(found.word_ids, dtype=np.int64)
-            starts = np.concatenate([[0], np.flatnonzero(owner[1:] != owner[:-1]) + 1, [len(owner)]])
-            if len(starts) - 1 == len(lack):  # no part is without a token, so that is one run of tokens for each
-                ids, edges = np.array(found.ids, dtype="<u4").tobytes(), (4 * starts).tolist()
+            found = np.array(self.plain.encode_batch_fast([" ".join(lack)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.last[found]) + 1
+            # no part is without a token, so as many last tokens as parts are one for each
+            if len(ends) == len(lack) and ends[-1] == len(found):
+                ids, edges = found.tobytes(), [0, *(4 * ends).tolist()]
                 self.parts.update(zip(lack, [ids[a:z] for a, z in zip(edges, edges[1:])]))
-            else:  # a sign that these parts are not the tokenizer's own
+            else:  # a sign that the model has no such tokens, or that these parts are not its own
                 self.parts.update((p, _bytes(self.tokenizer.encode(p, add_special_tokens=False).ids)) for p in lack)
         return list(map(self.parts.__getitem__, parts))
 
@@ -235,7 +244,8 @@ def packed(pieces: DataFrame, capacity: int = 4096, rows_a_bucket: int = 50_000)
     hist = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     if hist and max(hist) > capacity:
         raise ValueError("a piece is longer than a sequence")
-    buckets = 1 + sum(hist.values()) // rows_a_bucket
+    rows, tasks = sum(hist.values()), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 1 + max(rows // rows_a_bucket, min(rows // 500, 4 * tasks))
     schema = "p_length long, p_rank long, p_number long, p_first long, p_each long, p_offset long"
     slots = spark.createDataFrame(plan(hist, capacity), schema)
     own = pieces.withColumn("p_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
