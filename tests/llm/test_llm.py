@@ -57,15 +57,50 @@ def removed(rows, least=50):
     return sorted(out, key=str)
 
 
-def test_repeats_match_brute_force(spark, monkeypatch):
+# one chunk and bucket; several of both, with texts longer than a chunk; every key hot
+REPEATS = [{}, {"chunk": 700, "a_bucket": 1500}, {"chunk": 2000, "a_bucket": 3000, "hot": 1}, {"hot": 3}]
+
+
+@pytest.mark.parametrize("sizes", REPEATS)
+def test_repeats_match_brute_force(spark, sizes):
     from lexispark.llm import repeats
 
     rows = corpus() + [(None, "z" * 10 + corpus()[3][1], "s1"), (9, corpus()[3][1], "s1")]
-    got = sorted((tuple(r) for r in repeats.repeat_report(docs(spark, rows)).collect()), key=str)
+    rng, passage = random.Random(3), words(random.Random(4), 9)
+    rows += [(2000 + i, f"{words(rng, 6)} {passage} {words(rng, 6)}", "s") for i in range(30)]  # one passage in many surroundings
+    got = sorted((tuple(r) for r in repeats.repeat_report(docs(spark, rows), **sizes).collect()), key=str)
     assert got == removed(rows)
-    kept = {r.doc_id: bytes(r.kept) for r in repeats.without_repeats(docs(spark, rows)).collect() if r.doc_id not in (9, None)}
+    if sizes.get("chunk") == 700:
+        return
+    kept = {r.doc_id: bytes(r.kept) for r in repeats.without_repeats(docs(spark, rows), **sizes).collect() if r.doc_id not in (9, None)}
     assert all(hashlib.sha256(kept[i]).hexdigest() == h for i, _, _, _, h in got if i in kept)
-    assert repeats.repeat_report(docs(spark, rows).limit(0)).count() == 0
+    assert repeats.repeat_report(docs(spark, rows).limit(0), **sizes).count() == 0
+
+
+@pytest.mark.parametrize("sizes", [{}, {"chunk": 1500, "a_bucket": 3000, "hot": 2}])
+def test_repeat_groups_have_all_occurrences(spark, sizes):
+    from lexispark.llm import repeats
+
+    rows = corpus(2, 25)
+    raw = {i: (t or "").encode() for i, t, _ in rows}
+    groups = {}
+    for r in repeats.repeat_groups(docs(spark, rows), **sizes).collect():
+        groups.setdefault(r.group, set()).add((r.doc_id, r.start, r.length))
+    want = {}
+    for i, text in raw.items():
+        for a in range(len(text) - 49):
+            want.setdefault(text[a : a + 50], set()).add((i, a))
+    covered = {}
+    for where in groups.values():
+        strings = {raw[i][a : a + n] for i, a, n in where}
+        assert len(strings) == 1 and len(where) > 1 and len({n for *_, n in where}) == 1 and min(n for *_, n in where) >= 50
+        for i, a, n in where:
+            for k in range(n - 49):
+                covered.setdefault(raw[i][a + k : a + k + 50], set()).add((i, a + k))
+    for string, where in want.items():
+        if len({i for i, _ in where}) > 1:
+            assert where <= covered.get(string, set())
+    assert repeats.repeat_groups(docs(spark, rows).limit(0), **sizes).count() == 0
 
 
 def test_maximal_repeats_match_brute_force():
