@@ -137,17 +137,40 @@ def test_maximal_repeats_match_brute_force():
 # 2 ---------------------------------------------------------------------------------------------------------------------
 
 
-def test_perspectives(spark):
+def slow_perspectives(rows):
+    """All dialogues from all sides, by plain loops over (conv_id, turn, speaker, text)."""
+    rows = [(c, t, "unknown" if s is None else s, x or "") for c, t, s, x in rows]
+    out = Counter()
+    for conv in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, hashlib.md5(f"{r[2]}\x00{r[3]}".encode()).hexdigest()))
+        for viewer in {r[2] for r in own}:
+            at = 0
+            for place, (_, turn, speaker, text) in enumerate(own):
+                mine = speaker == viewer
+                head = "<|assistant|>\n" if mine else f"<|user {speaker}|>\n"
+                rendered = f"{head}{text}<|end|>\n"
+                masks = (at + len(head), at + len(rendered) - 1) if mine else (at, at)
+                out[conv, viewer, turn, place, "assistant" if mine else "user", None if mine else speaker, rendered, int(mine), at, at + len(rendered), *masks] += 1
+                at += len(rendered)
+    return out
+
+
+@pytest.mark.parametrize("bucket", [1000, 3, 1])
+def test_perspectives(spark, bucket):
     from lexispark.llm.dialogues import dialogues, perspectives
 
-    turns = spark.createDataFrame([(1, 0, "user", "hi", 5), (1, 1, "bot", "yo", 5), (1, 1, "bot", "yo", 5), (2, None, None, None, 5), (None, 3, "a", "b", 5)], "conv_id long, turn long, role string, text string, place int")
-    assert perspectives(turns, turns_a_bucket=1).count() == 6 + 1 + 1
-    got = {(r.conv_id, r.viewer): r for r in dialogues(turns, turns_a_bucket=1).collect()}
+    rng = random.Random(12)
+    rows = [(1, 0, "user", "hi"), (1, 1, "bot", "yo"), (1, 1, "bot", "yo"), (2, None, None, None), (None, 3, "a", "b"), (None, 3, "c", ""), (None, None, "a", "b")]
+    rows += [(3, i % 9, rng.choice(["a", "é🙂", None, "unknown"]), words(rng, rng.randint(0, 5))) for i in range(40)]
+    rows += [(4, 7, rng.choice("ab"), f"all at once {i % 30}") for i in range(50)] + [(4, 2, "a", "x" * 50_000), (4, 9, "b", "last"), (4, -5, "b", "first")]
+    d = spark.createDataFrame([(*r, 5, "own", "own") for r in rows], "conv_id long, turn long, role string, text string, place int, digest string, bucket string")
+    assert Counter(tuple(r) for r in perspectives(d, turns_a_bucket=bucket).collect()) == slow_perspectives(rows)
+    got = {(r.conv_id, r.viewer): r for r in dialogues(d.where("conv_id in (1, 2)"), turns_a_bucket=bucket).collect()}
     bot = got[1, "bot"]
     assert bot.text == "<|user user|>\nhi<|end|>\n" + "<|assistant|>\nyo<|end|>\n" * 2
     assert [bot.text[m.mask_start : m.mask_end] for m in bot.masks] == ["yo<|end|>"] * 2
     assert got[2, "unknown"].text == "<|assistant|>\n<|end|>\n"
-    assert perspectives(turns.limit(0)).count() == 0
+    assert perspectives(d.limit(0)).count() == 0
 
 
 # 3 ---------------------------------------------------------------------------------------------------------------------
