@@ -393,6 +393,68 @@ def test_urls(spark):
     assert judged(empty).count() == 0
 
 
+def test_odd_urls(spark):
+    from lexispark.llm.urls import judged
+
+    rows = [(1, "http://a.com/x", 0), (1, "http://a.com/x", 0), (None, "http://a.net/es/y", 0), (2, "http://a.net/es/y", 0), (3, "http://b.org/" + "é" * 20_000, 0), (4, None, 0), (5, "", 0)] + [(9, "http://c.org/", 0)] * 50
+    got = judged(spark.createDataFrame(rows, "page_id long, url string, score int").repartition(3)).collect()
+    assert Counter(r.page_id for r in got) == Counter(i for i, *_ in rows)
+    assert len({(r.score, r.verdict) for r in got if r.page_id in (4, 5)}) == 1 and len({r.score for r in got if r.page_id == 9}) == 1
+    only = judged(spark.createDataFrame(rows[:2] + rows[-1:], "page_id long, url string, score int")).collect()
+    assert {r.verdict for r in only} == {"allow"}  # no rule blocks any
+
+
+def test_url_scores_by_slow_counting(spark):
+    from lexispark.llm import urls
+
+    rng = random.Random(21)
+    texts = [f"http://{rng.choice('abc')}.{rng.choice(['com', 'org'])}/{rng.choice(['news', 'casino', 'é'])}/{rng.randint(1, 60)}" for _ in range(200)]
+    rows = [(t, None if i % 3 == 0 else int("casino" in t)) for i, t in enumerate(dict.fromkeys(texts))] + [("", None)]
+    d = spark.createDataFrame(rows + rows[:40], "url string, side int")
+    distinct = urls.distinct_urls(d, a_part=20).cache()
+    learned = [(r.url, r.side, r.n) for r in distinct.where(~urls.held_out()).collect() if r.side is not None]
+    got = {r.s_url: r.score for r in urls.scores(distinct, urls.counted(distinct.where(~urls.held_out()))).collect()}
+    raw = lambda u: b"\x00" * 5 + u.encode() + b"\x03"
+
+    def chance(side, before, byte):
+        p = 1 / 256
+        for k in range(6):
+            context = before[len(before) - k :]
+            seen = hits = 0
+            for u, s, n in learned:
+                text = raw(u)
+                for i in range(5, len(text)):
+                    if s == side and text[i - k : i] == context:
+                        seen += n
+                        hits += n * (text[i] == byte)
+            p = (hits + 2.0 * p) / (seen + 2.0)
+        return p
+
+    assert set(got) == {u for u, _ in rows}
+    for url in [rows[0][0], rows[7][0], ""]:
+        text = raw(url)
+        logs = [math.log(chance(0, text[i - 5 : i], text[i]) / chance(1, text[i - 5 : i], text[i])) for i in range(5, len(text))]
+        assert abs(got[url] - sum(logs) / len(logs)) < 1e-9
+
+
+def test_held_out_urls_are_judged_well(spark):
+    from lexispark.llm import urls
+
+    rng = random.Random(22)
+    good, bad = ["news", "blog", "wiki", "science"], ["casino", "win", "bonus", "poker"]
+    rows = []
+    for i in range(1500):
+        side = int(rng.random() < 0.4)
+        w = bad if side else good
+        rows.append((f"https://{rng.choice('abcdef')}{rng.randint(1, 40)}.org/{rng.choice(w)}/{rng.choice(w)}-{rng.randint(1, 999)}", side))
+    d = spark.createDataFrame(rows, "url string, side int")
+    distinct = urls.distinct_urls(d, a_part=200)
+    test = distinct.where(urls.held_out()).join(urls.scores(distinct, urls.counted(distinct.where(~urls.held_out()))), F.col("url") == F.col("s_url"))
+    cut = urls.threshold(test.select("side", "n", "score"))
+    found = test.select("side", "score").collect()
+    assert len(found) > 200 and np.mean([(r.score < cut) == bool(r.side) for r in found]) > 0.98
+
+
 # 7 ---------------------------------------------------------------------------------------------------------------------
 
 
