@@ -74,6 +74,14 @@ def wide(votes: DataFrame, names: Sequence[str], row: str = "row_id") -> DataFra
     return votes.groupBy(row).agg(*(of(n, c).alias(f"{p}_{n}") for n in names for c, p in (("prediction", "Predicted_Class"), ("prob", "Prob"))))
 
 
+def correct_votes(votes: DataFrame, actual: DataFrame, label: str, names: Sequence[str], row: str = "row_id") -> DataFrame:
+    """V1: wide() with a column Correct_<clf> for each classifier named: 1 where its prediction is the actual label, else
+    0. `actual` has the row and its label."""
+    out = wide(votes, names, row).join(actual.select(F.col(row).alias("_row"), F.col(label).alias("_label")), F.col(row) == F.col("_row"))
+    hits = {f"Correct_{n}": F.coalesce((F.col(f"Predicted_Class_{n}") == F.col("_label")).cast("int"), F.lit(0)) for n in names}
+    return out.withColumns(hits).drop("_row", "_label")
+
+
 def compared(predicted: DataFrame, actual: DataFrame, key: str, label: str, vote: str) -> DataFrame:
     """Predictions beside the actual labels, and whether they match."""
     return predicted.join(actual, key, "inner").withColumn("match", (F.col(vote) == F.col(label)).cast("int"))

@@ -23,9 +23,13 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "6g
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset, a local one of our own."""
+    """The folder named by spark.checkpoint.dir. Where that is unset a local one of our own, in local mode alone: on a
+    cluster each executor would write to a disk of its own."""
     here = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not here:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         here = "file://" + os.path.join(tempfile.gettempdir(), f"lexispark-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", here)
     return here.rstrip("/")

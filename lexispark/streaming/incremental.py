@@ -5,15 +5,39 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lexispark.plans.pipeline import table_exists
 
-def classify_new(spark: SparkSession, source: str, schema: str, classify: Callable[[DataFrame], DataFrame], to: str, checkpoint: str, key: list[str]) -> StreamingQuery:
-    """Read the files that are new in `source`, classify them and append the results, then stop. Each batch is written
-    under its number, so a batch that is run again replaces what it wrote before; rows of equal key count once."""
+
+def classify_new(spark: SparkSession, source: str, schema: str, classify: Callable[[DataFrame], DataFrame], to: str, checkpoint: str, key: list[str], status: str | None = None) -> StreamingQuery:
+    """Read the files that are new in `source`, classify them and add the results to the table `to`, then stop.
+
+    Each batch is written under its number, so a batch that is run again replaces what it wrote before. Rows of equal
+    key count once in a batch, and rows whose key an earlier batch has classified are left out. With `status`, a column
+    of the results, rows that stand at Pending there are classified again by the first batch that has them anew; their
+    earlier result is left to latest()."""
 
     def one(batch: DataFrame, number: int) -> None:
-        classify(batch.dropDuplicates(key)).write.mode("overwrite").parquet(f"{to}/batch={number}")
+        fresh = batch.dropDuplicates(key)
+        if table_exists(spark, to):
+            done = spark.read.parquet(to).where(F.col("batch") < number)
+            done = done if status is None else done.where(F.col(status) != "Pending")
+            fresh = fresh.join(done.select(*key).distinct(), key, "left_anti")
+        classify(fresh).write.mode("overwrite").parquet(f"{to}/batch={number}")
 
     rows = spark.readStream.schema(schema).parquet(source)
     return rows.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, to: str, key: list[str]) -> DataFrame:
+    """The results in the table, the last one of each key."""
+    rows = spark.read.parquet(to)
+    last = rows.groupBy(*key).agg(F.max("batch").alias("batch"))
+    return rows.join(last, [*key, "batch"], "left_semi").drop("batch")
+
+
+def requeued(rows: DataFrame, results: DataFrame, key: list[str], status: str = "rev_stat") -> DataFrame:
+    """The rows whose result still stands at Pending, to be put into the source again, say once models are trained anew."""
+    return rows.join(results.where(F.col(status) == "Pending").select(*key).distinct(), key, "left_semi")

@@ -126,3 +126,76 @@ def test_bag_holds_every_word(spark):
     d = spark.range(30).select("id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(10_000)), lambda i: F.concat(F.lit("w"), i + 10_000 * F.col("id"))), " ").alias("text"))
     assert len(features.vocabulary_of(features.bag_of_words("text").fit(d))) == 300_000
     assert {r.n for r in features.word_counts(d, "id", "text").groupBy("id").agg(F.sum("n").alias("n")).collect()} == {10_000}
+
+
+def test_correct_votes(spark):
+    v = spark.createDataFrame([(1, 0, "a", "x", 0.9), (1, 1, "b", None, 0.1), (2, 0, "a", "y", 0.9), (2, 1, "b", "x", 0.2)], VOTES)
+    actual = spark.createDataFrame([(1, "x"), (2, "x")], "row_id long, cls string")
+    got = voting.correct_votes(v, actual, "cls", ["a", "b"])
+    assert rows(got.select("row_id", "Correct_a", "Correct_b"), "row_id") == [(1, 1, 0), (2, 0, 1)]
+
+
+def test_uncorrelated_is_pairwise(spark):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    from lexispark.operators import features
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 3, (200, 6)).astype(float)
+    x = np.column_stack([x, 2 * x[:, 0] + 1, 1 - x[:, 2], x[:, 1] + 1e-3 * rng.standard_normal(200), np.ones(200), x[:, 0] + x[:, 1], -x[:, 0]])
+    d = spark.createDataFrame([(Vectors.dense(r),) for r in x], ["v"])
+    with np.errstate(invalid="ignore", divide="ignore"):
+        r = np.abs(np.corrcoef(x.T))
+    want = [i for i in range(x.shape[1]) if not any(r[i, j] >= 1 - 1e-12 for j in range(i + 1, x.shape[1]))]
+    assert list(features.uncorrelated(d, "v").getIndices()) == want
+
+
+def test_linear_models(spark):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    from lexispark.operators import classify
+
+    rng = np.random.default_rng(1)
+    data = []
+    for i in range(300):
+        x = rng.standard_normal(5) + 4 * np.eye(5)[i % 3]
+        data.append((Vectors.dense(x) if i % 2 else Vectors.sparse(5, range(5), x.tolist()), "abc"[i % 3], i))
+    d = spark.createDataFrame(data, ["v", "y", "i"])
+    for train in (classify.boosted_linear(rounds=8), classify.discriminant()):
+        model = train(d.where("i >= 100"), "v", "y")
+        assert d.where("i < 100").count() - model.predict(d.where("i < 100"), "v").where("prediction = y").count() <= 3
+    # the discriminant's scores against the textbook's
+    x, y = np.array([v.toArray() for v, _, _ in data]), np.array([c for _, c, _ in data])
+    model = classify.discriminant(shrink=0.0)(d, "v", "y")
+    means = np.array([x[y == c].mean(axis=0) for c in "abc"])
+    within = sum((x[y == c] - m).T @ (x[y == c] - m) for c, m in zip("abc", means)) / (len(x) - 3)
+    inverse = np.linalg.inv(within)
+    assert np.allclose(model.weights, means @ inverse, atol=1e-6)
+    assert np.allclose(model.bias, [np.log(1 / 3) - m @ inverse @ m / 2 for m in means], atol=1e-6)
+
+
+def test_network_weights_give_its_predictions(spark):
+    import numpy as np
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.linalg import Vectors
+
+    from lexispark.operators import classify
+
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((60, 3))
+    d = spark.createDataFrame([(Vectors.dense(r), "ab"[int(r[0] > 0)], i) for i, r in enumerate(x)], ["v", "y", "i"])
+    model = classify.multiclass(lambda w, k: MultilayerPerceptronClassifier(layers=[w, 4, k], maxIter=20, seed=1))(d, "v", "y")
+    one, two = classify.network_weights(model)
+    out = np.vstack([1 / (1 + np.exp(-(x @ one[:-1] + one[-1]))).T, np.ones(60)]).T @ two
+    share = np.exp(out) / np.exp(out).sum(axis=1, keepdims=True)
+    assert np.allclose(share.max(axis=1), [r.prob for r in model.predict(d, "v").orderBy("i").collect()])
+
+
+def test_phrases_are_one_word(spark):
+    from lexispark.operators import features
+
+    d = spark.createDataFrame([(["a", "b", "c", "a", "b"],), (["b", "c", "d"],), ([],), (None,)], "w array<string>")
+    pairs = spark.createDataFrame([("a", "b"), ("b", "c")], "a string, b string")
+    assert [r.w for r in features.phrased(d, "w", pairs).collect()] == [["a_b", "c", "a_b"], ["b_c", "d"], [], []]

@@ -1,9 +1,11 @@
 """Files, folders of models and incremental batches."""
 
+from pyspark.sql import functions as F
+
 from lexispark.functions.similarity import register
 from lexispark.plans import pipeline
 from lexispark.sources import io
-from lexispark.streaming.incremental import classify_new
+from lexispark.streaming.incremental import classify_new, latest, requeued
 
 
 def test_sentences(spark, tmp_path):
@@ -74,6 +76,22 @@ def test_incremental(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(to).collect()) == list(range(5))
 
 
+def test_pending_rows_come_again(spark, tmp_path):
+    src, to, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    known = {0}
+    classify = lambda d: d.select("id", "name", F.when(F.col("id").isin(sorted(known)), "No Review Necessary").otherwise("Pending").alias("rev_stat"))
+    rows = lambda *ids: spark.createDataFrame([(i, f"n{i}") for i in ids], "id long, name string")
+    rows(0, 1, 1).write.parquet(src)
+    classify_new(spark, src, "id long, name string", classify, to, ck, ["id"], "rev_stat").awaitTermination()
+    known.add(1)
+    again = requeued(rows(0, 1), latest(spark, to, ["id"]), ["id"])
+    assert [r.id for r in again.collect()] == [1]
+    again.unionByName(rows(0, 2)).write.mode("append").parquet(src)  # 0 has been settled, 2 is new
+    classify_new(spark, src, "id long, name string", classify, to, ck, ["id"], "rev_stat").awaitTermination()
+    assert sorted(tuple(r) for r in latest(spark, to, ["id"]).collect()) == [(0, "n0", "No Review Necessary"), (1, "n1", "No Review Necessary"), (2, "n2", "Pending")]
+    assert spark.read.parquet(to).count() == 4
+
+
 def test_sql_functions(spark):
     register(spark)
     assert tuple(spark.sql("SELECT round(jaro_sim('dear', 'bear'), 2), dl_sim('ca', 'abc'), clean_text('a-b')").first()) == (0.83, 0.33, "a b")
