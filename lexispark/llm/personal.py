@@ -36,8 +36,6 @@ BLOCK = 100
 def _located(text: Column, pattern: str, around: bool = False) -> Column:
     """All matches as structs start, end (code points), value, and with `around` the last pieces of the line before
     and the first ones of the line after it, as far as the next matches."""
-    gaps = F.split(text, pattern, -1)
-    both = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("next"))
     none = F.lit(None).cast("string")
 
     def step(acc: Column, x: Column) -> Column:
@@ -59,7 +57,14 @@ def _located(text: Column, pattern: str, around: bool = False) -> Column:
         zero = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast(f"array<{_SPAN}>").alias("parts"))
         return F.aggregate(parts, zero, block, lambda acc: F.flatten(acc["parts"]))
 
-    return F.when(text.rlike(pattern), F.get(F.transform(F.array(both), located), F.lit(0))).otherwise(F.array().cast(_SPAN))
+    def zipped(found: Column) -> Column:
+        columns = [found["gaps"].alias("gap"), found["hits"].alias("hit")]
+        return F.arrays_zip(*columns, *([F.slice(found["gaps"], F.lit(2), F.size(found["gaps"])).alias("next")] if around else []))
+
+    # lambdas over arrays of one, so that what is found is worked out once
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    found = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
+    return F.when(text.rlike(pattern), once(once(found, zipped), located)).otherwise(F.array().cast(_SPAN))
 
 
 def _digits(value: Column) -> Column:
