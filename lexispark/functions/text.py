@@ -119,13 +119,24 @@ def latin1_recoded(c: Column | str) -> Column:
     return F.translate(F.decode(_c(c).cast("binary"), "ISO-8859-1"), '"\t', "")
 
 
-def document_clean(c: Column | str) -> Column:
-    """Addresses, numbers, currency signs, all but ASCII and punctuation go; blanks are joined."""
+# Phrases of case notes, and what they become.
+PHRASES = (
+    ("weather related yes", ". This claim is related to weather."), ("weather related y", ". This claim is related to weather."), ("weather related no", ""), ("weather related n", ""),
+    ("weather related", ""), ("additional involved parties none", ""), ("additional involved parties", "."),
+)
+
+
+def document_clean(c: Column | str, phrases: Sequence[tuple[str, str]] = ()) -> Column:
+    """Addresses, numbers, currency signs, all but ASCII and punctuation go; blanks are joined. With `phrases`, say
+    PHRASES, the text is then put in lower case and they are replaced one after the other."""
     steps = ((r"[^\x00-\x7F]+", ""), (r"https?://[^ \t\n\r]+", " "), (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", " "), (r"[+]?[0-9][0-9() .-]{6,}[0-9]", " "), (r"[0-9]+", " "), (r"[^A-Za-z ]", " "), (r" {2,}", " "))
     out = _c(c)
     for pattern, new in steps:
         out = F.regexp_replace(out, pattern, new)
-    return F.trim(out)
+    out = F.trim(F.lower(out) if phrases else out)
+    for phrase, new in phrases:
+        out = F.replace(out, F.lit(phrase), F.lit(new))
+    return out
 
 
 def corpus_tokens(c: Column | str) -> Column:

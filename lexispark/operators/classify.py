@@ -295,7 +295,7 @@ def registry(live: bool = True) -> list[Classifier]:
     found = [
         Classifier("Jaro", lambda df, text, label, order: TextModel(df, text, label, order, "jaro"), True),
         Classifier("DLevenshtein", lambda df, text, label, order: TextModel(df, text, label, order, "dl"), True),
-        Classifier("Logistic_OvR", one_vs_rest(LogisticRegression(regParam=0.001, maxIter=50))),
+        Classifier("Logistic_OvR", one_vs_rest(LogisticRegression(regParam=0.001, maxIter=50, standardization=False))),
         Classifier("DeepNN", network),
     ]
     if not live:

@@ -14,6 +14,7 @@ from lexispark.plans.queries_text import T1
 from lexispark.plans.registry import Tables, query
 from lexispark.session import shared_dir
 from lexispark.sources import io
+from lexispark.streaming import incremental
 
 _KEYED = f"WITH d AS (SELECT doc_id, {T1.format('text')} AS k FROM documents), n AS (SELECT d.* FROM d ANTI JOIN labels USING (doc_id)), t AS (SELECT d.doc_id AS train_id, k, toxic FROM d JOIN labels USING (doc_id)) "
 
@@ -364,3 +365,78 @@ def _(t: Tables):
 @query("P5_P6_folds", f"SELECT o_orderkey, CAST((row_number() OVER (PARTITION BY o_orderstatus ORDER BY {_DRAW.format('o_orderkey')}, o_orderkey) - 1) % 5 AS INTEGER) AS fold FROM orders")
 def _(t: Tables):
     return sampling.folds(t.orders.select("o_orderkey", "o_orderstatus"), "o_orderstatus", "o_orderkey").select("o_orderkey", "fold")
+
+
+def _fresh(t: Tables, name: str) -> str:
+    return f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("S6_training_load", "SELECT p_name AS descr, p_type AS cls, true AS dated FROM part UNION ALL SELECT p_name, p_type, true FROM part")
+def _(t: Tables):
+    csv, table = _fresh(t, "training"), _fresh(t, "table")
+    io.write_csv(t.part.select(F.col("p_name").alias("descr"), F.col("p_type").alias("cls")), csv)
+    for _ in range(2):
+        io.load_training(t.spark, csv, "descr string, cls string", table)
+    return t.spark.read.parquet(table).select("descr", "cls", F.col("create_dt").isNotNull().alias("dated"))
+
+
+@query("S7_landing_batch", "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING'")
+def _(t: Tables):
+    csv, table = _fresh(t, "landing"), _fresh(t, "table")
+    io.write_csv(t.customer.select("c_custkey", "c_name", "c_mktsegment"), csv)
+    io.load_workbook(t.spark, csv, "c_custkey long, c_name string, c_mktsegment string", "BUILDING", "c_mktsegment", table)
+    return t.spark.read.parquet(table)
+
+
+@query("S11_sentences", """
+SELECT array_to_string(w, ' ') AS tokens, count(*) AS n FROM (SELECT list_filter(regexp_split_to_array(lower(regexp_replace(s, '[^a-zA-Z]', ' ', 'g')), '\\s+'), lambda x: x <> '') AS w
+  FROM (SELECT unnest(regexp_split_to_array(text, '[.!?\\n]+')) AS s FROM benchmark)) WHERE len(w) >= 3 GROUP BY 1""")
+def _(t: Tables):
+    folder = _fresh(t, "sentences")
+    t.benchmark.select(F.pmod("item_id", F.lit(5)).alias("part"), "text").write.partitionBy("part").text(folder)
+    tokens = io.read_sentences(t.spark, folder)
+    return tokens.groupBy(F.array_join("tokens", " ").alias("tokens")).agg(F.count("*").alias("n"))
+
+
+@query("S14_newest_models", "SELECT '20200103000000' AS newest, 2 AS folders, true AS complete, false AS with_more, count(*) AS n_known FROM part")
+def _(t: Tables):
+    """Of three sets of models two stay; the newest is loaded and has all training texts."""
+    folders = io.ModelFolders(t.spark, _fresh(t, "models"), keep=2)
+    model = classify.TextModel(t.part, "p_name", "p_type", "p_partkey", "jaro")
+    for day in (1, 2, 3):
+        folders.save({"Jaro": model}, f"2020010{day}000000")
+    newest = folders.newest(["Jaro"])
+    known = folders.load(newest, classify.MODELS)["Jaro"].args[0]
+    facts = [F.lit(newest.rsplit("/", 1)[1]).alias("newest"), F.lit(len(folders.folders())).alias("folders"), F.lit(folders.complete(newest, ["Jaro"])).alias("complete"), F.lit(folders.complete(newest, ["Jaro", "DeepNN"])).alias("with_more")]
+    return known.agg(F.count("*").alias("n_known")).select(*facts, "n_known")
+
+
+@query("G1_tables_there", "SELECT 'nation' AS name, true AS there UNION ALL SELECT 'nations', false")
+def _(t: Tables):
+    found = [(n, pipeline.table_exists(t.spark, f"{t.folder}/{n}.parquet")) for n in ("nation", "nations")]
+    return t.spark.createDataFrame(found, "name string, there boolean")
+
+
+@query("G3_something_new", """
+WITH c AS (SELECT unnest([true, true, false]) AS models, unnest(['A', 'X', 'X']) AS status)
+SELECT models, status, NOT models OR EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = status) AS something_new FROM c
+UNION ALL SELECT true, 'O', EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'O')""")
+def _(t: Tables):
+    cases = [(True, "A"), (True, "X"), (False, "X"), (True, "O")]
+    none = t.customer.where("c_custkey < 0")
+    found = [(m, s, pipeline.something_new(m, t.orders.where(F.col("o_orderstatus") == s), none)) for m, s in cases]
+    return t.spark.createDataFrame(found, "models boolean, status string, something_new boolean")
+
+
+@query("N13_incremental", """
+SELECT p_partkey, CASE WHEN p_size < 40 THEN 'No Review Necessary' ELSE 'Pending' END AS rev_stat, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS batch FROM part""")
+def _(t: Tables):
+    """Two arrivals of new lines; those that were settled in the first are not classified again."""
+    source, to, mark = (_fresh(t, n) for n in ("arrivals", "classified", "progress"))
+    lines = t.part.select("p_partkey", "p_size")
+    judge = lambda d: d.select("p_partkey", F.when(F.col("p_size") < 40, "No Review Necessary").otherwise("Pending").alias("rev_stat"))
+    for first in (True, False):
+        arrived = lines.where("p_partkey % 2 = 1") if first else lines.where("p_partkey % 2 = 0 or p_size < 40")
+        arrived.write.mode("append").parquet(source)
+        incremental.classify_new(t.spark, source, "p_partkey long, p_size int", judge, to, mark, ["p_partkey"], "rev_stat").awaitTermination()
+    return t.spark.read.parquet(to).select("p_partkey", "rev_stat", "batch")

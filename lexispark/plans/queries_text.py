@@ -117,6 +117,18 @@ def _(t: Tables):
     return t.documents.select("doc_id", text.document_clean("text").alias("cleaned"))
 
 
+# Case notes of 0 to 4 of the phrases, which stand in every order of length.
+_NOTES = ("Weather related: YES", "weather-related n", "weather related", "Additional involved parties: none", "additional involved parties")
+
+
+@query("T13_phrases", f"""
+WITH n AS (SELECT p_partkey, CASE p_size % 5 {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_NOTES))} END || ', of ' || p_name || ' 12' AS note FROM part)
+SELECT p_partkey, CASE split_part(note, ', ', 1) WHEN 'Weather related: YES' THEN '. This claim is related to weather.' WHEN 'additional involved parties' THEN '.' ELSE '' END || ' of ' || p_name AS cleaned FROM n JOIN part USING (p_partkey)""")
+def _(t: Tables):
+    note = F.element_at(F.array(*map(F.lit, _NOTES)), (F.col("p_size") % 5 + 1).cast("int"))
+    return t.part.select("p_partkey", text.document_clean(F.concat(note, F.lit(", of "), "p_name", F.lit(" 12")), text.PHRASES).alias("cleaned"))
+
+
 @query("T14_corpus_tokens", "SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace(text, '[^a-zA-Z]', ' ', 'g')), '\\s+'), lambda w: w <> ''), ' ') AS tokens FROM documents")
 def _(t: Tables):
     return t.documents.select("doc_id", F.array_join(text.corpus_tokens("text"), " ").alias("tokens"))
