@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 from functools import partial
 
@@ -30,7 +31,7 @@ from lexispark.llm.common import in_batches, spread, stored, text_of
 
 MIN, GRAM = 50, 16
 #: Bytes of a chunk of documents; of text to a bucket; segments of a key from which it is hot.
-CHUNK, A_BUCKET, HOT = 4 << 20, 16 << 20, 2048
+CHUNK, A_BUCKET, HOT = 4 << 20, 4 << 20, 2048
 #: Strings of a segment, at most.
 LONGEST = 64
 _NONE = np.iinfo(np.int64).max  # stands for a null doc_id, which is after all others
@@ -241,6 +242,14 @@ _SENT = "bucket long, chunk long, keys binary, twice binary, number binary"
 _BITS = "chunk long, kind int, bucket long, bits binary, hot binary, none binary"
 
 
+def _ordered(value: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of a chunk by bucket, then low bits, as _sets() has them; the buckets."""
+    found = np.unique(value)
+    bucket = _bucket(found, buckets)
+    order = np.lexsort((found, _low(found), bucket))
+    return found[order], bucket[order]
+
+
 def _sets(value: np.ndarray, doc: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct values of a chunk by bucket, then low bits; whether two of its documents have each; how often it comes,
     up to 255; the buckets."""
@@ -309,7 +318,7 @@ def _rows(bits: pa.Table, kind: int, column: str) -> list[tuple[int, bytes]]:
 def _known(texts: list[bytes], bits: pa.Table, buckets: int, hashed: bool = True) -> tuple[Segments, np.ndarray, np.ndarray]:
     """The segments of a chunk; the keys that another document has; the hot ones among them."""
     seg = Segments(texts, hashed)
-    key, _, _, bucket = _sets(seg.key, seg.doc, buckets)
+    key, bucket = _ordered(seg.key, buckets)
     return seg, np.sort(key[_said(key, bucket, buckets, _rows(bits, 0, "bits"))]), key[_said(key, bucket, buckets, _rows(bits, 0, "hot"))]
 
 
@@ -328,7 +337,7 @@ def _final(texts: list[bytes], bits: pa.Table, buckets: int) -> tuple[Segments,
     """The segments of a chunk, those of hot keys cut, and the keys that another document has."""
     seg, shared, hot = _known(texts, bits, buckets)
     if len(hot):
-        mark, _, _, bucket = _sets(*seg.strings(hot), buckets)
+        mark, bucket = _ordered(seg.strings(hot)[0], buckets)
         seg.cut(hot, mark[_said(mark, bucket, buckets, _rows(bits, 1, "bits"))])
     return seg, shared
 
@@ -362,7 +371,7 @@ def _send_segments(chunk: pa.Table, bits: pa.Table, buckets: int) -> pa.Table:
     bucket = _bucket(seg.key[use], buckets)
     order = np.argsort(bucket, kind="stable")
     use, bucket = use[order], bucket[order]
-    press, number = zstandard.ZstdCompressor(level=1), chunk.column("chunk")[0].as_py()
+    press, number = zstandard.ZstdCompressor(level=3), chunk.column("chunk")[0].as_py()
     edges = np.concatenate([[0], np.nonzero(np.diff(bucket))[0] + 1, [len(bucket)]])
     rows = []
     for a, z in zip(edges[:-1], edges[1:]):
@@ -630,9 +639,12 @@ def _grouped(chunk: pa.Table, said: pa.Table, buckets: int) -> pa.Table:
 
 
 def _release(spark) -> None:
-    """Lets Spark drop the files of shuffles that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark drop the files of shuffles that nothing refers to any more, which it does soon after a collection of
+    the driver's garbage."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def _answers(docs: DataFrame, find, chunk: int, a_bucket: int, hot: int) -> tuple[DataFrame, DataFrame, int]:

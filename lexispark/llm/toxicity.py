@@ -35,6 +35,16 @@ def folded(text: str) -> str:
     return text.lower().translate(_FOLD)
 
 
+def _word_before(text: str, end: int) -> str:
+    """The last run of letters and digits before a place."""
+    while end and not (text[end - 1].isalnum()):
+        end -= 1
+    start = end
+    while start and text[start - 1].isalnum():
+        start -= 1
+    return text[start:end]
+
+
 @dataclass
 class Lexicon:
     weights: dict[str, float]
@@ -65,9 +75,8 @@ class Lexicon:
             if (start and text[start - 1].isalnum()) or (after < len(text) and text[after].isalnum()):
                 continue
             if self.exceptions:
-                before = _RUN.findall(text[max(0, start - 64) : start])
-                behind = _RUN.search(text[after : after + 64])
-                if (before and f"{before[-1]} {word}" in self.exceptions) or (behind and f"{word} {behind[0]}" in self.exceptions):
+                behind = _RUN.search(text, after)
+                if f"{_word_before(text, start)} {word}" in self.exceptions or (behind and f"{word} {behind[0]}" in self.exceptions):
                     continue
             total += self.weights[word] ** 2
             n += 1

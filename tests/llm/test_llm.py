@@ -722,6 +722,76 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == packed.count()
 
 
+def test_pipeline_against_plain_loops(spark, tmp_path):
+    import re
+
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    import corpus_pipeline
+    from lexispark.llm.mixing import mix_report
+    from lexispark.llm.toxicity import fit, train_labels
+
+    rng = random.Random(31)
+    rows, marks = toxic_rows(400, seed=8)
+    rows = [(i, t, f"s{i % 3}") for i, t, _ in rows]
+    for k in range(20):  # copies, near copies, personal data, further rows
+        i, t, s = rows[rng.randrange(300)]
+        rows += [(5000 + 3 * k, t, s), (5001 + 3 * k, t + " end", s), (5002 + 3 * k, f"{words(rng, 30)} mail u{k}@here.org from 10.0.0.{k}", "s9")]
+    rows += [(9000, None, None), (9001, "", "s1"), rows[0]]
+    d = docs(spark, rows).withColumn("row", F.lit("mine")).withColumn("m_key", F.lit(1)).withColumn("r_text", F.lit("x"))
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    lexicon = fit(d, train_labels(labels))
+    auto = lexicon.matcher()
+    clean = [r for r in rows if lexicon.score(lexicon.strength(auto, r[1] or "")[0]) < 0.3]
+    clean = list(dict.fromkeys(clean))
+    single = {i for i, _, _, kept in linked_groups(clean, 80) if kept}
+    forms = {"EMAIL": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "IP": r"\b[0-9]+(?:\.[0-9]+){3}\b"}
+    private = [(i, None if t is None else re.sub(forms["IP"], "[IP]", re.sub(forms["EMAIL"], "[EMAIL]", t)), s) for i, t, s in clean if i in single]
+    n_chars = [(i, t, "en", s, None if t is None else len(t), 1, 2, "k", "mine", 1, "x") for i, t, s in private]
+    plain, want = tokenizers.Tokenizer.from_file(public.path("word_bpe_49k.json")), Counter()
+    texts = {i: t for i, t, _ in private}
+    for r in mix_report(spark.createDataFrame(n_chars, d.schema)).collect():
+        if r.times:
+            want[r.doc_id, len(plain.encode(texts[r.doc_id], add_special_tokens=False).ids) + 1] += r.times
+    got = Counter((r.doc_id, r.length) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == want and len(single) > 200
+    empty = tmp_path / "empty"
+    d.limit(0).write.parquet(f"{empty}/documents.parquet")
+    labels.limit(0).write.parquet(f"{empty}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
+    seen = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        seen = stage(spark, seen, str(tmp_path))
+        assert seen.columns == d.columns and seen.where("row <> 'mine' or m_key <> 1 or r_text <> 'x'").count() == 0
+
+
+def test_toxic_scores_by_plain_search(spark):
+    """Scores of the automaton against a search word by word."""
+    from lexispark.llm import toxicity as tox
+
+    lexicon = tox.Lexicon({"idiot": 2.0, "scum": 3.0, "um": 1.5}, {"village idiot", "scum bag"}, offset=-3.0, slope=2.0)
+    texts = ["You 1D10T!", "the village idiot, an idiot", "scum bag scum", "ѕсum um scumbag", "a" * 30_000 + " idiot", "village" + " " * 500 + "idiot", "", None, "um" * 50]
+    rows = [(i, t, "s") for i, t in enumerate(texts)] + [(None, "idiot", "s"), (1, texts[1], "s")]
+    weights, spared = {tox.folded(w): x for w, x in lexicon.weights.items()}, {tox.folded(p) for p in lexicon.exceptions}
+    lexicon = tox.Lexicon(weights, spared, lexicon.offset, lexicon.slope)
+
+    def slow(text):
+        folded = tox.folded(text or "")
+        run, total = tox._RUN.findall(folded), 0.0
+        for i, w in enumerate(run):
+            around = {f"{run[i - 1]} {w}"} if i else set()
+            around |= {f"{w} {run[i + 1]}"} if i + 1 < len(run) else set()
+            total += weights.get(w, 0.0) ** 2 * (not around & spared)
+        strength = total / (4.0 + math.log2(1 + len(folded) / 64))
+        return 1 / (1 + math.exp(-(lexicon.offset + lexicon.slope * math.sqrt(strength))))
+
+    got = tox.scored(docs(spark, rows), lexicon).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert abs(r.score - slow("idiot" if r.doc_id is None else texts[r.doc_id])) < 1e-9
+
+
 def test_queries_are_complete():
     import corpus_pipeline
     from lexispark.llm import queries
