@@ -34,9 +34,10 @@ def something_new(models_there: bool, reviews: DataFrame, requests: DataFrame) -
 
 
 class Trained:
-    """Fitted features and classifiers: a bag of words, concepts if any, a selection, and the models by name."""
+    """Fitted features and classifiers: a bag of words, concepts if any, a selection, and the models by name. Where all
+    models look at texts alone there are no features."""
 
-    def __init__(self, bag: PipelineModel, selector, models: dict[str, object], text: str, vectors: dict | None = None, concepts: dict | None = None):
+    def __init__(self, bag: PipelineModel | None, selector, models: dict[str, object], text: str, vectors: dict | None = None, concepts: dict | None = None):
         self.bag, self.selector, self.models, self.text, self.vectors, self.concepts = bag, selector, models, text, vectors, concepts
 
     def featured(self, df: DataFrame) -> DataFrame:
@@ -48,7 +49,7 @@ class Trained:
 
     def classified(self, df: DataFrame, row: str) -> DataFrame:
         """Votes, boosted, put to the vote, with a confidence: row_id, vote, algorithms, n_agree, confidence."""
-        data = self.featured(df) if any(not isinstance(m, classify.TextModel) for m in self.models.values()) else df
+        data = df if self.bag is None else self.featured(df)
         long = classify.votes(self.models, data, "selected", row)
         long = long.withColumn("prob", voting.band_boosted(F.col("clf"), F.col("prob")))
         out = voting.majority(long)
@@ -57,11 +58,13 @@ class Trained:
     def save(self, spark: SparkSession, root: str, stamp: str) -> str:
         """To a folder of its own below root; returns the folder."""
         to = io.ModelFolders(spark, root).save(self.models, stamp)
-        PipelineModel([self.bag] + [self.selector] * (self.selector is not None)).write().overwrite().save(f"{to}/features")
+        stages = [m for m in (self.bag, self.selector) if m is not None]
+        if stages:
+            PipelineModel(stages).write().overwrite().save(f"{to}/features")
         if self.vectors:
             spark.createDataFrame([(w, [float(x) for x in v]) for w, v in self.vectors.items()], "word string, vector array<double>").write.mode("overwrite").parquet(f"{to}/vectors")
-        facts = [(self.text, json.dumps(self.concepts), bool(self.vectors))]
-        spark.createDataFrame(facts, "text string, concepts string, vectors boolean").coalesce(1).write.mode("overwrite").json(f"{to}/facts")
+        facts = [(self.text, json.dumps(self.concepts), bool(self.vectors), len(stages))]
+        spark.createDataFrame(facts, "text string, concepts string, vectors boolean, stages int").coalesce(1).write.mode("overwrite").json(f"{to}/facts")
         return to
 
     @classmethod
@@ -71,10 +74,10 @@ class Trained:
         folder = folders.newest(names)
         if folder is None:
             return None
-        stages = PipelineModel.load(f"{folder}/features").stages
-        facts = spark.read.schema("text string, concepts string, vectors boolean").json(f"{folder}/facts").first()
+        facts = spark.read.schema("text string, concepts string, vectors boolean, stages int").json(f"{folder}/facts").first()
+        stages = [*(PipelineModel.load(f"{folder}/features").stages if facts.stages else []), None, None]
         vectors = {r.word: np.array(r.vector) for r in spark.read.parquet(f"{folder}/vectors").collect()} if facts.vectors else None
-        return cls(stages[0], stages[1] if len(stages) > 1 else None, folders.load(folder, classify.MODELS), facts.text, vectors, json.loads(facts.concepts))
+        return cls(stages[0], stages[1], folders.load(folder, classify.MODELS), facts.text, vectors, json.loads(facts.concepts))
 
 
 def train(df: DataFrame, text: str, label: str, key: str, which: list[classify.Classifier] | None = None, concepts: dict[str, list[str]] | None = None, size: int = 100, window: int = 10) -> Trained:
@@ -83,6 +86,8 @@ def train(df: DataFrame, text: str, label: str, key: str, which: list[classify.C
     phrases joined."""
     which = which or classify.registry()
     up = sampling.upsampled(df, label, key).drop("copy")
+    if all(c.on_text for c in which):
+        return Trained(None, None, classify.trained(up, text, "", label, key, which), text)
     bag = features.bag_of_words(text, "features").fit(up)
     vectors = None
     if concepts:
@@ -91,8 +96,7 @@ def train(df: DataFrame, text: str, label: str, key: str, which: list[classify.C
         vectors = {r.word: np.array(r.vector) for r in learned.collect()}
     model = Trained(bag, None, {}, text, vectors, concepts if vectors else None)
     data = model.featured(up).drop("selected")
-    if not all(c.on_text for c in which):
-        model.selector = features.varying(data, "features")
+    model.selector = features.varying(data, "features")
     data = model.selector.transform(data) if model.selector is not None else data.withColumn("selected", F.col("features"))
     model.models = classify.trained(data, text, "selected", label, key, which)
     return model

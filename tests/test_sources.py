@@ -57,6 +57,9 @@ def test_models_are_the_same_when_loaded(spark, tmp_path):
     assert said(model) == said(again) and [*again.models] == [c.name for c in which]
     assert sum(v == "pqr"[i % 3] for i, v, *_ in said(again)) > 80
     assert pipeline.Trained.load(spark, str(tmp_path), ["Stacking"]) is None
+    alone = pipeline.train(d, "d", "c", "k", which[:1])
+    alone.save(spark, str(tmp_path / "texts"), "20200101000000")
+    assert said(alone) == said(pipeline.Trained.load(spark, str(tmp_path / "texts"), ["Jaro"]))
 
 
 def test_replace_after_a_crash(spark, tmp_path):
