@@ -244,21 +244,30 @@ _BITS = "chunk long, kind int, bucket long, bits binary, hot binary, none binary
 
 def _ordered(value: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values of a chunk by bucket, then low bits, as _sets() has them; the buckets."""
-    found = np.unique(value)
+    found = np.sort(value)
+    found = found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found
     bucket = _bucket(found, buckets)
-    order = np.lexsort((found, _low(found), bucket))
+    order = _by_bucket(found, bucket)
     return found[order], bucket[order]
 
 
+def _by_bucket(found: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """The order by bucket and low bits. Values that are alike in both get the same answers, so theirs is free."""
+    if len(bucket) and bucket.max() >= 1 << 23:
+        return np.lexsort((_low(found), bucket))
+    return np.argsort((bucket.astype(np.uint64) << _u(40)) | _low(found))
+
+
 def _sets(value: np.ndarray, doc: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct values of a chunk by bucket, then low bits; whether two of its documents have each; how often it comes,
     up to 255; the buckets."""
-    found, inverse, number = np.unique(value, return_inverse=True, return_counts=True)
-    low, high = np.full(len(found), _NONE), np.full(len(found), -1)
-    np.minimum.at(low, inverse, doc)
-    np.maximum.at(high, inverse, doc)
+    order = np.argsort(value)
+    ranked, doc = value[order], doc[order]
+    head = np.nonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))[0] if len(ranked) else np.zeros(0, np.int64)
+    found, number = ranked[head], np.diff(np.append(head, len(ranked)))
+    low, high = (f.reduceat(doc, head) if len(head) else doc for f in (np.minimum, np.maximum))
     bucket = _bucket(found, buckets)
-    order = np.lexsort((found, _low(found), bucket))
+    order = _by_bucket(found, bucket)
     return found[order], (low != high)[order], np.minimum(number, 255).astype(np.uint8)[order], bucket[order]
 
 
@@ -347,11 +356,15 @@ def _final(texts: list[bytes], bits: pa.Table, buckets: int) -> tuple[Segments,
 
 def _leads(seg: Segments, rank: np.ndarray) -> np.ndarray:
     """For each segment the one of the least rank with its text, compared byte by byte."""
-    order = np.lexsort((rank, seg.hash))
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = seg.hash[order][1:] != seg.hash[order][:-1]
-    lead = np.empty(len(order), dtype=np.int64)
-    lead[order] = order[new][np.cumsum(new) - 1]
+    order = np.argsort(seg.hash)
+    ranked = seg.hash[order]
+    head = np.nonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))[0] if len(ranked) else np.zeros(0, np.int64)
+    number = np.diff(np.append(head, len(ranked)))
+    lead = np.arange(len(order))
+    several = np.repeat(number > 1, number)
+    order, number = order[several], number[number > 1]
+    order = order[np.lexsort((order, rank[order], seg.hash[order]))]
+    lead[order] = np.repeat(order[np.cumsum(number) - number], number)
     _confirm(seg.flat, seg.start, seg.length, lead)
     return lead
 
@@ -572,8 +585,9 @@ def _answered(seg: Segments, said: pa.Table) -> tuple[np.ndarray, np.ndarray, np
     group = np.concatenate([np.frombuffer(r["none"], np.uint64) for r in said]) if said[0]["none"] is not None else np.zeros(len(of), np.uint64)
     by = np.argsort(of, kind="stable")
     of, begin, size, group = of[by], begin[by], size[by], group[by]
-    a, z = np.searchsorted(of, seg.hash, side="left"), np.searchsorted(of, seg.hash, side="right")
-    which = np.repeat(np.arange(len(seg.hash)), z - a)
+    named = np.nonzero(np.isin(seg.hash, of, kind="sort"))[0]
+    a, z = np.searchsorted(of, seg.hash[named], side="left"), np.searchsorted(of, seg.hash[named], side="right")
+    which = np.repeat(named, z - a)
     at = np.arange((z - a).sum()) - np.repeat(np.cumsum(z - a) - (z - a), z - a) + np.repeat(a, z - a)
     return which, seg.start[which] + begin[at], size[at], group[at]
 
