@@ -7,8 +7,6 @@ length, and a task holds one block of either; nothing is broadcast."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
