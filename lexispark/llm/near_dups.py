@@ -219,6 +219,7 @@ def linked(docs: DataFrame, rows: DataFrame, percent: int = 80) -> DataFrame:
     sized = stored(lists.join(lengths, "value"), "lists")
     drop_stored(lists)
     texts = _texts(docs, marks, sized.select("mark").distinct())
+    scratch = [marks, sized, texts]
     pairs = _all_pairs(sized.where(F.col("m") <= LONG), percent, False)
     long = None
     crowd = sized.where(F.col("m") > LONG).select("mark").distinct()
@@ -226,8 +227,10 @@ def linked(docs: DataFrame, rows: DataFrame, percent: int = 80) -> DataFrame:
         sets = stored(in_batches(texts.join(crowd, "mark", "left_semi"), _sets, "mark binary, n long, found array<long>"), "sets")
         own = _listed(sets.select("mark", "n", F.explode("found").alias("value")), F.col("n").cast("int"), F.ceil(F.col("n") * percent / 100).cast("int"))
         own = stored(own, "lists")
+        scratch += [sets, own]
         sizes = own.groupBy("value").agg(F.count("*").alias("m")).where("m > 1")
         own = stored(own.join(sizes, "value"), "lists")
+        scratch.append(own)
         long = own.where(F.col("m") > LONG)
         pairs = pairs.unionByName(_all_pairs(own.where(F.col("m") <= LONG), percent, True)).unionByName(_lead_pairs(long, percent))
     pairs = stored(_estimated(pairs.distinct(), marks, percent), "pairs")
@@ -236,6 +239,7 @@ def linked(docs: DataFrame, rows: DataFrame, percent: int = 80) -> DataFrame:
     best = best.groupBy("m").agg(F.max(F.struct("estimate", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
     links = stored(_confirmed(best, texts, percent), "links")
     label = stored(components(links), "labels")
+    scratch += [pairs, label]
     rest = _across(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), label)
     links = links.unionByName(stored(_confirmed(rest, texts, percent), "links"))
     if long is not None and not long.isEmpty():
@@ -243,11 +247,14 @@ def linked(docs: DataFrame, rows: DataFrame, percent: int = 80) -> DataFrame:
         named = stored(_labelled(long.select("value", "mark", "n", "pos"), "mark", label, "label"), "long")
         open_lists = named.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("value")
         x = stored(_signed(named.join(open_lists, "value", "left_semi"), marks, percent), "long")
+        scratch += [label, named, x]
         y = x.alias("y")
         x = x.alias("x")
         far = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.label") < F.col("y.label")) & _fits(F.col("x.n"), F.col("y.n"), percent) & _room("x", "y", percent) & _bits_allow("x", "y"))
         far = far.select(F.least("x.mark", "y.mark").alias("a"), F.greatest("x.mark", "y.mark").alias("b")).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
         links = links.unionByName(stored(_confirmed(_estimated(far, marks, percent), texts, percent), "links"))
+    for table in scratch:
+        drop_stored(table)
     return links
 
 
@@ -291,6 +298,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     linked_to = F.col("j_mark").isNotNull()
     named = named.select(F.col("mark").alias("m_mark"), F.when(linked_to, F.col("c_low")).otherwise(F.col("low")).alias("component_id"), F.when(linked_to, F.col("c_key")).otherwise(F.col("key")).alias("m_key"))
     named = stored(named, "named")
+    for table in (links, label, of_mark, least):
+        drop_stored(table)
     out = slim.join(named, F.col("mark") == F.col("m_mark"), "left")
     component = F.when(F.col("mark").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     nameless = F.col("doc_id").isNull() & F.col("component_id").isNull() & (F.col("mark").isNull() | (F.col("tkey") == F.col("m_key")))
