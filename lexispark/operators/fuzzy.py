@@ -12,10 +12,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.functions.similarity import dl_similarity, jaro, match_text
+from lexispark.functions.similarity import damerau_levenshtein_many, dl_similarity, jaro, match_text
 
 #: Known texts of a block, and new ones.
 BLOCK, NEW = 4000, 2000
+#: Texts that are measured at once, and the longest for which that is done; bounds the memory of a step to some 20 MB.
+AT_ONCE, WIDE = 512, 100
+#: Fewer texts are measured one by one.
+FEW = 64
 _FOLDS = 64
 #: Lengths are classed by powers of this.
 _STEP = float(np.log(1.3))
@@ -40,22 +44,39 @@ def _limits(measure: str, common: np.ndarray, size: int, sizes: np.ndarray) -> n
 
 
 def _best(known: pd.DataFrame, new: pd.DataFrame, measure: str) -> pd.DataFrame:
-    """For each new text all known ones of the block that reach its `n_least`; where that is null its best ones."""
-    exact = jaro if measure == "jaro" else dl_similarity
+    """For each new text all known ones of the block that reach its `n_least`; where that is null its best ones.
+
+    Distances to texts of up to WIDE signs are worked out for several texts at once."""
     texts, sizes = known["k_text"].tolist(), known["k_text"].str.len().to_numpy()
-    signs, rows = _signs(texts), []
+    signs, rows, widest = _signs(texts), [], int(sizes.max(initial=0))
+    codes = None
+    if measure != "jaro" and widest <= WIDE:
+        codes = np.zeros((len(texts), widest), dtype=np.uint32)
+        for i, t in enumerate(texts):
+            codes[i, : len(t)] = np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32)
+
+    def measured(text: str, some: np.ndarray) -> np.ndarray:
+        if codes is None or len(text) > WIDE or len(some) < FEW:
+            exact = jaro if measure == "jaro" else dl_similarity
+            return np.array([exact(text, texts[i]) for i in some])
+        longest = np.maximum(sizes[some], len(text))
+        return np.where(longest > 0, 1 - damerau_levenshtein_many(text, codes[some], sizes[some]) / np.maximum(longest, 1), 0.0)
+
     for text, least in zip(new["n_text"], new["n_least"]):
         own, best_only = _signs([text])[0], least is None or least != least
         limits = np.floor(_limits(measure, np.minimum(signs, own).sum(axis=1), len(text), sizes) * 100 + 0.5 + 1e-9) / 100
-        bar, found = -1.0 if best_only else least, []
-        for i in np.argsort(-limits, kind="stable") if best_only else np.nonzero(limits >= least)[0]:
-            if limits[i] < bar:
+        bar, found, order = -1.0 if best_only else least, [], np.argsort(-limits, kind="stable")
+        at, step = 0, 1  # the first ones alone, as they mostly raise the bar above all others
+        while at < len(order):
+            some, at = order[at : at + step], at + step
+            some = some[limits[some] >= bar]
+            if not len(some):
                 break
+            step = AT_ONCE if codes is not None and at >= 8 else 1
             # the same two decimals as round() in SQL gives
-            two = float(np.floor(exact(text, texts[i]) * 100 + 0.5 + 1e-9) / 100)
-            if two >= bar:
-                found.append((text, texts[i], two))
-                bar = max(bar, two) if best_only else bar
+            two = np.floor(measured(text, some) * 100 + 0.5 + 1e-9) / 100
+            found += [(text, texts[i], float(x)) for i, x in zip(some, two) if x >= bar]
+            bar = max(bar, float(two.max())) if best_only else bar
         rows += [r for r in found if r[2] >= bar]
     return pd.DataFrame(rows, columns=["n_text", "k_text", "similarity"]).astype({"n_text": "object", "k_text": "object", "similarity": "float64"})
 

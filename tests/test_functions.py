@@ -1,6 +1,7 @@
 """Text functions, similarity and corrections against fixed cases and, where there is one, another engine."""
 
 import duckdb
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -129,5 +130,14 @@ def test_kernels_match_another_engine(a, b):
     assert sim.damerau_levenshtein(a, b) == dl
 
 
+@settings(max_examples=80, deadline=None)
+@given(_words, st.lists(_words, min_size=1, max_size=6))
+def test_distances_of_several_at_once(a, others):
+    width = max(map(len, others))
+    codes = np.array([[ord(c) for c in o] + [0] * (width - len(o)) for o in others], dtype=np.uint32).reshape(len(others), width)
+    got = sim.damerau_levenshtein_many(a, codes, np.array([len(o) for o in others]))
+    assert got.tolist() == [sim.damerau_levenshtein(a, o) for o in others]
+
+
 def test_rounding():
     assert sim.rounded(0.845) == 0.84 and sim.rounded(2.675) == 2.67 and sim.rounded(0.125) == 0.13
