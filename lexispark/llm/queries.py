@@ -74,6 +74,12 @@ def op10_embedding_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm.whitening import whitened
+
+    return whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
