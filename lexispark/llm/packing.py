@@ -53,11 +53,13 @@ class WordIds:
     The tokenizer never joins what white space parts, so its ids of a text are those of its words in a row, and a
     word's ids those of its parts: runs of letters, single digits, runs of other signs. Arrow splits a batch of texts
     into words, the distinct ones into parts, and numbers both; Python handles each distinct part of a batch once, and
-    the tokenizer each part that the worker has not seen of late. Added tokens that a text spells out are parts of
-    their own, as to the tokenizer."""
+    the tokenizer each part that the worker has not seen of late. What is a letter, a digit or white space beyond ASCII
+    is the tokenizer's to say, whose tables are of another version of Unicode than Arrow's and Python's. Added tokens
+    that a text spells out are parts of their own, as to the tokenizer."""
 
-    PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+"
-    of_file: dict[str, WordIds] = {}
+    #: Parts of words of ASCII signs alone.
+    PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+"
+    of_file: dict[tuple[type, str], WordIds] = {}
 
     def __init__(self, tokenizer_file: str):
         import regex
@@ -78,15 +80,16 @@ class WordIds:
         self.added = {t.content: _bytes([i]) for i, t in added.items()}
         self.pieces = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")").split if self.added else lambda text: [text]
         self.apart, self.split = regex.compile(r"\p{White_Space}+").split, regex.compile(self.PARTS).findall
+        self.foreign_split = self.tokenizer.pre_tokenizer[0]  # without the bytes' signs, which come next
 
     @classmethod
     def at(cls, tokenizer_file: str) -> WordIds:
-        if tokenizer_file not in cls.of_file:
-            cls.of_file[tokenizer_file] = cls(tokenizer_file)
-        return cls.of_file[tokenizer_file]
+        if (cls, tokenizer_file) not in cls.of_file:
+            cls.of_file[cls, tokenizer_file] = cls(tokenizer_file)
+        return cls.of_file[cls, tokenizer_file]
 
-    def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in a row, each closed by end_id, and where each text's ids end."""
+    def words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """The words of all texts in a row as numbers, how many each text has, and the parts of the word of each number."""
         split = pc.utf8_split_whitespace(texts)
         words, count = split.flatten(), split.value_lengths().to_numpy()
         odd = np.zeros(len(texts), dtype=bool)
@@ -96,7 +99,11 @@ class WordIds:
             every = [self._odd(t.as_py()) if x else w.as_py() for t, w, x in zip(texts, split, odd)]
             words, count = pa.array([w for each in every for w in each], pa.string()), np.array([len(each) for each in every])
         numbered = words.dictionary_encode()
-        distinct = self._parts(numbered.dictionary, odd.any())
+        return numbered.indices.to_numpy(), count, self._parts(numbered.dictionary, odd.any())
+
+    def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each closed by end_id, and where each text's ids end."""
+        codes, count, distinct = self.words(texts)
         parts = distinct.flatten().dictionary_encode()
         ids = [*self.of_parts(parts.dictionary.to_pylist()), end_id.to_bytes(4, "little")]
         size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
@@ -105,13 +112,13 @@ class WordIds:
         a_word = np.append(distinct.value_lengths().to_numpy(), 1)
         begin, part = np.cumsum(a_word) - a_word, np.append(parts.indices.to_numpy(), len(ids) - 1)
         ids_a_word = np.add.reduceat(np.append(size[part], 0), begin) * (a_word > 0)
-        word = np.insert(numbered.indices.to_numpy(), np.cumsum(count), len(a_word) - 1)
+        word = np.insert(codes, np.cumsum(count), len(a_word) - 1)
         at = np.concatenate([[0], np.cumsum(ids_a_word[word])])
         out = np.empty(at[-1], dtype="<u4")
         for a in range(0, len(word), PARTS_AT_ONCE):
             some = word[a : a + PARTS_AT_ONCE]
-            codes = part[_spans(begin[some], a_word[some])]
-            out[at[a] : at[a + len(some)]] = every[_spans(first[codes], size[codes])]
+            own = part[_spans(begin[some], a_word[some])]
+            out[at[a] : at[a + len(some)]] = every[_spans(first[own], size[own])]
         return out, at[np.cumsum(count + 1)]
 
     def _odd(self, text: str) -> list[str]:
@@ -131,13 +138,24 @@ class WordIds:
         core, tail = pc.ascii_rtrim(plain, string.punctuation), pc.ascii_ltrim(plain, string.ascii_lowercase)
         simple = pc.and_(pc.ascii_is_alpha(core), pc.string_is_ascii(plain))
         marked = pc.if_else(simple, pc.binary_join_element_wise(core, tail, " "), plain)
-        rest = pc.invert(simple)
+        rest = pc.and_(pc.invert(simple), pc.string_is_ascii(plain))
         marked = pc.replace_with_mask(marked, rest, pa.array([" ".join(self.split(w)) for w in plain.filter(rest).to_pylist()], pa.string()))
+        rest = pc.invert(pc.string_is_ascii(plain))
+        marked = pc.replace_with_mask(marked, rest, pa.array(self._foreign(plain.filter(rest).to_pylist()), pa.string()))
         parts = pc.split_pattern(marked, " ")
         if odd and any(w in self.added for w in words.to_pylist()):
             parts = pa.array([[w] if w in self.added else p for w, p in zip(words.to_pylist(), parts.to_pylist())], pa.list_(pa.string()))
         return parts
 
+    def _foreign(self, words: list[str]) -> list[str]:
+        """The parts of words, set apart by blanks, by the tokenizer's own split of all words at once."""
+        ends, found, at = np.cumsum([len(w) + 1 for w in words]).tolist(), [[] for _ in words], 0
+        for part, (start, _) in self.foreign_split.pre_tokenize_str(" ".join(words)) if words else ():
+            while start >= ends[at]:
+                at += 1
+            found[at].append(part)
+        return [" ".join(parts) for parts in found]
+
     def of_parts(self, parts: list[str]) -> list[bytes]:
         """The ids of distinct parts, little-endian; an empty one has none."""
         lack = self.parts.lacking(parts)
