@@ -74,6 +74,12 @@ def op10_embedding_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm.bpe import encoding_report
+
+    return encoding_report(documents(spark, sf_dir), tokenizer_file())
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexispark.llm.whitening import whitened
 
