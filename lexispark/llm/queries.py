@@ -74,6 +74,12 @@ def op10_embedding_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm.prefix_trie import rebuilt_trie
+
+    return rebuilt_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexispark.llm.bpe import encoding_report
 
@@ -91,6 +97,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from lexispark.llm import dialogues, near_dups, repeats, vectors
+    from lexispark.llm import dialogues, near_dups, prefix_trie, repeats, vectors
 
-    return {"op1_suffix_array_dedup": repeats.SQL, "op2_perspective_rotation": dialogues.SQL, "op5_bottom_k_near_dups": near_dups.SQL, "op10_embedding_range_join": vectors.SQL}
+    return {"op1_suffix_array_dedup": repeats.SQL, "op2_perspective_rotation": dialogues.SQL, "op5_bottom_k_near_dups": near_dups.SQL, "op10_embedding_range_join": vectors.SQL, "op11_prefix_trie": prefix_trie.SQL}
