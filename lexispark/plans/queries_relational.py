@@ -350,6 +350,21 @@ def _(t: Tables):
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
 
 
+# The same on keys that are texts.
+_TEXT_DRAW = "CAST('0x' || left(md5('786:' || coalesce({0}, '')), 8) AS BIGINT) % 10007"
+
+
+@query("P2_hold_out_text_keys", f"SELECT c_name, CASE WHEN {_TEXT_DRAW.format('c_name')} < 1001 THEN 'test' ELSE 'train' END AS part FROM customer")
+def _(t: Tables):
+    train, test = sampling.hold_out(t.customer.select("c_name"), "c_name")
+    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+
+
+@query("P5_folds_text_keys", f"SELECT c_name, CAST((row_number() OVER (PARTITION BY c_mktsegment ORDER BY {_TEXT_DRAW.format('c_name')}, c_name) - 1) % 5 AS INTEGER) AS fold FROM customer")
+def _(t: Tables):
+    return sampling.folds(t.customer.select("c_name", "c_mktsegment"), "c_mktsegment", "c_name").select("c_name", "fold")
+
+
 @query("P3_resplit", f"SELECT o_orderkey, o_orderstatus FROM orders WHERE {_DRAW.format('o_orderkey')} < 1001")
 def _(t: Tables):
     return sampling.hold_out_with_classes(t.orders.select("o_orderkey", "o_orderstatus"), "o_orderkey", "o_orderstatus")[1]

@@ -109,6 +109,41 @@ def test_upsampling(spark):
     assert sampling.upsampled(d.limit(0), "c", "k").count() == 0
 
 
+_KEYS = {
+    "long": ("long", [*range(40), 2**60, 2**60 + 1, 2**63 - 1, -(2**63), -5, None, None]),
+    "string": ("string", [*(f"clm-{i}" for i in range(42)), "", None, None, "é", "x" * 5000]),
+    "decimal": ("decimal(38,0)", [__import__("decimal").Decimal(10**30 + i) for i in range(45)] + [None, None]),
+    "date": ("date", [__import__("datetime").date(2020, 1, 1 + i % 28) for i in range(47)]),
+}
+
+
+@pytest.mark.parametrize("kind", _KEYS)
+def test_splits_and_samples_take_keys_of_any_type(spark, kind):
+    schema, keys = _KEYS[kind]
+    d = spark.createDataFrame([(k, "x" if i < 4 else "yz"[i % 2], i) for i, k in enumerate(keys)], f"k {schema}, c string, n int")
+    whole = sorted(r.n for r in d.collect())
+    for share in (0.0, 0.3, 1.0):
+        train, test = sampling.hold_out(d, "k", share)
+        assert sorted(r.n for r in train.unionByName(test).collect()) == whole
+    train, test, _ = sampling.hold_out_with_classes(d, "k", "c", 0.3)
+    assert sorted(r.n for r in train.unionByName(test).collect()) == whole
+    assert {r.c: r["count"] for r in sampling.upsampled(d, "c", "k").groupBy("c").count().collect()}["x"] == 10
+    fold = sampling.folds(d, "c", "k", 5)
+    assert sorted(r.n for r in fold.collect()) == whole
+    sizes = fold.groupBy("c", "fold").count().collect()
+    assert all(max(r["count"] for r in sizes if r.c == c) - min(r["count"] for r in sizes if r.c == c) <= 1 for c in "yz")
+    few = sampling.stratified(d, "c", "k", 20, slack=0)
+    assert {r.c: r["count"] for r in few.groupBy("c").count().collect()} == {c: round(sum(r.c == c for r in d.collect()) * 20 / len(keys)) for c in "xyz"}
+
+
+def test_training_takes_text_keys(spark):
+    from lexispark.plans import pipeline
+
+    d = spark.createDataFrame([(f"id-{i}", ["red bolt", "blue gear", "old ring"][i % 3] + f" {i % 5}", "abc"[i % 3]) for i in range(45)], "k string, t string, c string")
+    out = pipeline.train_and_classify(d, "t", "c", "k", 0.3, [c for c in __import__("lexispark.operators.classify", fromlist=["registry"]).registry() if c.name in ("Jaro", "Logistic_OvR")]).collect()
+    assert out and all(r.match == 1 for r in out)
+
+
 def test_folds_are_even(spark):
     d = spark.createDataFrame([(i, "x" if i % 3 else "y") for i in range(60)], "k long, c string")
     got = sampling.folds(d, "c", "k", 5).groupBy("c", "fold").count().collect()
