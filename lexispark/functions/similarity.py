@@ -45,6 +45,41 @@ def jaro(a: str, b: str) -> float:
     return (m / len(a) + m / len(b) + (m - moved) / m) / 3
 
 
+def jaro_many(a: str, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """jaro() of one text to several at once: `codes` has the code points of each in a row, 0 behind its end, and `sizes`
+    their lengths. One step for each sign of the text: the first free place within reach that has it, in all texts."""
+    own, (number, width) = np.frombuffer(a.encode("utf-32-le"), dtype=np.uint32), codes.shape
+    if not len(own) or not width:
+        return np.zeros(number)
+    reach = np.maximum(np.maximum(sizes, len(own)) // 2 - 1, 0)
+    places, every = np.arange(width), np.arange(number)
+    free = places < sizes[:, None]
+    taken = np.zeros((number, len(own)), dtype=bool)
+    most = int(reach.max(initial=0))
+    for i, sign in enumerate(own):
+        low, high = max(0, i - most), min(width, i + most + 1)
+        if low >= high:
+            break
+        found = (codes[:, low:high] == sign) & free[:, low:high] & (np.abs(places[low:high] - i) <= reach[:, None])
+        first = found.argmax(axis=1)
+        hit = found[every, first]
+        free[every[hit], first[hit] + low] = False
+        taken[hit, i] = True
+    used = (places < sizes[:, None]) & ~free
+    m = taken.sum(axis=1)
+    # the signs that match, in the order of either text, a row for each pair
+    mine, theirs = np.zeros((number, len(own)), dtype=np.uint32), np.zeros((number, len(own)), dtype=np.uint32)
+    k, i = np.nonzero(taken)
+    rank = np.arange(len(k)) - np.repeat(np.cumsum(m) - m, m)
+    mine[k, rank] = own[i]
+    k, j = np.nonzero(used)
+    theirs[k, rank] = codes[k, j]
+    moved = (mine != theirs).sum(axis=1) // 2
+    some = np.maximum(m, 1)
+    out = (m / len(own) + m / np.maximum(sizes, 1) + (m - moved) / some) / 3
+    return np.where(m > 0, out, 0.0)
+
+
 def damerau_levenshtein(a: str, b: str) -> int:
     """Unrestricted distance: insert, delete, replace, and transpose with edits between. Row by row over the prefixes
     of a; all rows are kept, as a transposition may reach back to any of them."""

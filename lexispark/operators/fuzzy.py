@@ -1,18 +1,23 @@
 """Nearest known texts by Jaro or Damerau-Levenshtein similarity (survey J12 to J14, C1, C2).
 
-Both measures are bounded by the lengths of two texts and by the signs they have in common, whatever their order. The
-first bound is applied before texts are dealt out, the second for a whole block at once; only pairs that could still
-win are measured. Each distinct text is compared once. Known and new texts are both dealt to blocks of bounded size by
-length, and a task holds one block of either; nothing is broadcast."""
+Both measures are bounded by the lengths of two texts and by the signs they have in common, whatever their order. From a
+similarity on that leaves few texts with enough signs in common a text meets only known ones that share enough of their
+rarest signs, found by an inverted index. Else, and where the known texts fit into one block, texts are dealt to blocks of bounded size by length, and a
+task holds one block of either. In both ways only pairs that could still win are measured, and each distinct text is
+compared once; nothing is broadcast."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.functions.similarity import damerau_levenshtein_many, dl_similarity, jaro, match_text
+from lexispark.functions.similarity import damerau_levenshtein_many, dl_similarity, jaro, jaro_many, match_text
 
 #: Known texts of a block, and new ones.
 BLOCK, NEW = 4000, 2000
@@ -23,6 +28,13 @@ FEW = 64
 _FOLDS = 64
 #: Lengths are classed by powers of this.
 _STEP = float(np.log(1.3))
+#: The least similarity for which an index pays: under it, a third of all pairs have the signs in common that it takes.
+#: For Jaro, which allows any order of signs, that is so early.
+INDEXED = {"jaro": 0.92, "dl": 0.75}
+#: The number of known texts from which on there is an index; partitions over which the candidates of one text are dealt.
+INDEX_FROM, SALT = 1000, 8
+#: Signs are taken together by threes where so few rare ones matter, by twos where so few.
+_THREES, _TWOS = 10, 30
 
 
 def _signs(texts: list[str]) -> np.ndarray:
@@ -46,11 +58,11 @@ def _limits(measure: str, common: np.ndarray, size: int, sizes: np.ndarray) -> n
 def _best(known: pd.DataFrame, new: pd.DataFrame, measure: str) -> pd.DataFrame:
     """For each new text all known ones of the block that reach its `n_least`; where that is null its best ones.
 
-    Distances to texts of up to WIDE signs are worked out for several texts at once."""
+    Similarities to texts of up to WIDE signs are worked out for several texts at once."""
     texts, sizes = known["k_text"].tolist(), known["k_text"].str.len().to_numpy()
     signs, rows, widest = _signs(texts), [], int(sizes.max(initial=0))
     codes = None
-    if measure != "jaro" and widest <= WIDE:
+    if widest <= WIDE:
         codes = np.zeros((len(texts), widest), dtype=np.uint32)
         for i, t in enumerate(texts):
             codes[i, : len(t)] = np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32)
@@ -59,6 +71,8 @@ def _best(known: pd.DataFrame, new: pd.DataFrame, measure: str) -> pd.DataFrame:
         if codes is None or len(text) > WIDE or len(some) < FEW:
             exact = jaro if measure == "jaro" else dl_similarity
             return np.array([exact(text, texts[i]) for i in some])
+        if measure == "jaro":
+            return jaro_many(text, codes[some], sizes[some])
         longest = np.maximum(sizes[some], len(text))
         return np.where(longest > 0, 1 - damerau_levenshtein_many(text, codes[some], sizes[some]) / np.maximum(longest, 1), 0.0)
 
@@ -87,9 +101,9 @@ def _class(c: str) -> Column:
 
 def _reach(measure: str, least: Column) -> Column:
     """How many classes of length away a text can be that reaches `least`: jaro >= x needs min / max >= 3 x - 2, the
-    distance's similarity >= x needs min / max >= x; rounding gives half a point."""
-    ratio = F.greatest(F.lit(0.02), 3 * (least - 0.005) - 2 if measure == "jaro" else least - 0.005)
-    return (F.ceil(-F.log(ratio) / _STEP) + 1).cast("int")
+    distance's similarity >= x needs min / max >= x; rounding gives half a point. All classes where that is no bound."""
+    ratio = 3 * (least - 0.005) - 2 if measure == "jaro" else least - 0.005
+    return F.when(ratio < 0.02, 10_000).otherwise((F.ceil(-F.log(F.greatest(F.lit(0.02), ratio)) / _STEP) + 1).cast("int"))
 
 
 def _joined(new: DataFrame, known: DataFrame, sizes: dict[int, int], turns: int, measure: str) -> DataFrame:
@@ -104,29 +118,162 @@ def _joined(new: DataFrame, known: DataFrame, sizes: dict[int, int], turns: int,
     return pairs.applyInPandas(lambda a, b: _best(a, b, measure), "n_text string, k_text string, similarity double")
 
 
-def matches(new: DataFrame, known: DataFrame, measure: str = "jaro", least: float | None = None) -> DataFrame:
+class SignIndex:
+    """Keys by which texts of up to WIDE signs meet if their similarity may reach `least`.
+
+    A text's signs, each with the number of its occurrence so far, are a set, whose members are ordered by how few known
+    texts have them. Two texts of n and m signs that reach `least` share some c of them at least. So the first j that
+    they share are among the first n - c + j of the one and the first m - c + j of the other: each text is listed under
+    all subsets of j of those, for each class of lengths that the other may have. j is 3 where that makes few keys, else 2
+    or 1. Signs are folded to 64, which can only add candidates. (Pairs of neighbouring signs in their place make more
+    candidates, not fewer: an edit undoes three of them, so few need be shared.)"""
+
+    def __init__(self, measure: str, least: float, counts: np.ndarray):
+        """counts[sign, k]: how many known texts have the sign more than k times."""
+        self.measure, self.least = measure, least - 0.005 - 1e-9  # two decimals
+        self.rank = np.empty(counts.size, dtype=np.int64)
+        self.rank[np.argsort(counts.ravel(), kind="stable")] = np.arange(counts.size)
+        self.class_of = [0, *(int(math.floor(math.log(n) / _STEP + 1e-12)) for n in range(1, WIDE + 1))]
+        self.spans: dict[int, tuple[int, int]] = {}
+        for n, c in enumerate(self.class_of[1:], 1):
+            self.spans[c] = (self.spans.get(c, (n, n))[0], n)
+        # of a text of n signs the least share that the other's length can be
+        self.ratio = 3 * self.least - 2 if measure == "jaro" else self.least
+        self.subsets = {(a, b): self.subset(a, b) for a in self.spans for b in self.spans}
+
+    def shared(self, n: int, m: int) -> int:
+        """How many signs texts of these lengths must share."""
+        least = (3 * self.least - 1) * n * m / (n + m) if self.measure == "jaro" else self.least * max(n, m)
+        return max(1, math.ceil(least - 1e-9))
+
+    def subset(self, a: int, b: int) -> int:
+        """How many signs make a key for texts of these two classes."""
+        least = self.shared(self.spans[a][0], self.spans[b][0])
+        rare = max(self.spans[a][1], self.spans[b][1]) - least
+        return min(3 if rare + 3 <= _THREES else 2 if rare + 2 <= _TWOS else 1, least)
+
+    def keys(self, text: str, known: bool) -> list[int]:
+        n, seen, signs = len(text), {}, []
+        for c in text:
+            sign = ord(c) % _FOLDS
+            k = seen[sign] = seen.get(sign, -1) + 1
+            signs.append(sign * WIDE + k)
+        signs, own, out = sorted(self.rank[signs].tolist()), self.class_of[n], []
+        for other, (low, high) in self.spans.items():
+            low, high = max(low, math.ceil(self.ratio * n - 1e-9)), min(high, math.floor(n / self.ratio + 1e-9))
+            if low > high:
+                continue
+            j = self.subsets[(own, other) if known else (other, own)]
+            head = (own << 5 | other if known else other << 5 | own) << 2 | j
+            for some in combinations(signs[: n - max(j, self.shared(n, low)) + j], j):
+                key = head
+                for x in some:
+                    key = key << 13 | x
+                out.append(key)
+        return out
+
+
+def _sign_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    counts = np.zeros((_FOLDS, WIDE), dtype=np.int64)
+    for b in batches:
+        held = _signs(b["k_text"].tolist())
+        for k in range(int(held.max(initial=0))):
+            counts[:, k] += (held > k).sum(axis=0)
+    at = np.flatnonzero(counts)
+    yield pd.DataFrame({"at": at, "n": counts.ravel()[at]})
+
+
+def _listed(texts: DataFrame, text: str, index, known: bool) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 500):  # a text has up to some thousand keys
+                some = b[text].iloc[at : at + 500]
+                keys = [index.value.keys(t, known) for t in some]
+                yield pd.DataFrame({"key": np.fromiter((k for own in keys for k in own), np.int64), text: np.repeat(some.to_numpy(dtype=object), [len(own) for own in keys])})
+
+    return texts.select(text).mapInPandas(run, f"key long, {text} string")
+
+
+def candidates(new: DataFrame, known: DataFrame, measure: str, least: float) -> DataFrame:
+    """Pairs (n_text, k_text), some of them several times, of distinct texts of 1 to WIDE signs: all that reach `least`.
+
+    The driver gets the counts of signs, 6400 numbers at most. Lists of a key are joined as they are, so a hot key is
+    split by adaptive execution."""
+    counts = np.zeros(_FOLDS * WIDE, dtype=np.int64)
+    for r in known.select("k_text").mapInPandas(_sign_counts, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        counts[r["at"]] = r["n"]
+    index = new.sparkSession.sparkContext.broadcast(SignIndex(measure, least, counts.reshape(_FOLDS, WIDE)))
+    return _listed(new, "n_text", index, False).join(_listed(known, "k_text", index, True), "key").select("n_text", "k_text")
+
+
+def _indexed(new: DataFrame, known: DataFrame, measure: str, least: float) -> DataFrame:
+    """All pairs of candidates() that reach `least`, each once; a text's candidates are measured AT_ONCE at a time."""
+    pairs = candidates(new, known, measure, least).withColumn("salt", F.pmod(F.xxhash64("k_text"), F.lit(SALT)))
+    pairs = pairs.repartition("n_text", "salt").sortWithinPartitions("n_text", "k_text").select("n_text", "k_text")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, text, held = (None, None), None, []
+
+        def measured() -> pd.DataFrame:
+            return _best(pd.DataFrame({"k_text": held}, dtype=object), pd.DataFrame({"n_text": [text], "n_least": [least]}), measure)
+
+        for b in batches:
+            for pair in zip(b["n_text"], b["k_text"]):
+                if pair == last:
+                    continue
+                if held and (pair[0] != text or len(held) == AT_ONCE):
+                    yield measured()
+                    held = []
+                last, text = pair, pair[0]
+                held.append(pair[1])
+        if held:
+            yield measured()
+
+    return pairs.mapInPandas(run, "n_text string, k_text string, similarity double")
+
+
+def matches(new: DataFrame, known: DataFrame, measure: str = "jaro", least: float | None = None, index_from: int = INDEX_FROM) -> DataFrame:
     """(n_text, k_text, similarity) between the distinct texts of new (n_text) and of known (k_text): all pairs of at
     least that similarity, or without `least` each new text's best ones, with all ties.
 
-    Without `least` a text is first compared with known ones of about its length; the best similarity there bounds
-    the lengths, and the pairs, that need be looked at among the others. The driver gets the number of known texts by
-    class of length, some tens of rows."""
+    More than `index_from` known texts are looked up in an index if `least` is INDEXED or more; texts of over WIDE signs
+    go by blocks. Without `least` the texts that have a known one of INDEXED are settled by the index. The others are compared with known texts of about their length; the best similarity there bounds the lengths, and the pairs,
+    that need be looked at among the others. The driver gets the number of known texts by class of length, some tens of
+    rows."""
     n, k = new.select("n_text").where("n_text is not null").distinct(), known.select("k_text").where("k_text is not null").distinct()
     k = k.withColumn("size", _class("k_text"))
     sizes = {r["size"]: r["n"] for r in k.groupBy("size").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return n.join(k.where("false"), F.lit(False)).select("n_text", "k_text", F.lit(0.0).alias("similarity"))
-    turns = 1 + n.count() // NEW
+    turns, by_index = 1 + n.count() // NEW, sum(sizes.values()) > index_from
     own = n.withColumn("own", _class("n_text"))
-    if least is not None:
+
+    def reaching(least: float) -> DataFrame:
         wide = _reach(measure, F.lit(float(least)))
-        return _joined(own.select("n_text", F.lit(float(least)).alias("n_least"), (F.col("own") - wide).alias("low"), (F.col("own") + wide).alias("high")), k, sizes, turns, measure)
+        blocks = lambda new, old: _joined(new.select("n_text", F.lit(float(least)).alias("n_least"), (F.col("own") - wide).alias("low"), (F.col("own") + wide).alias("high")), old, sizes, turns, measure)
+        if not by_index or least < INDEXED[measure]:
+            return blocks(own, k)
+        short = lambda c: F.length(c).between(1, WIDE)
+        found = _indexed(n.where(short("n_text")), k.where(short("k_text")), measure, least)
+        long = F.length("n_text") > WIDE  # an empty text is like none
+        if max(sizes) >= math.floor(math.log(WIDE) / _STEP):
+            found = found.unionByName(blocks(own, k.where(F.length("k_text") > WIDE))).unionByName(blocks(own.where(long), k.where(short("k_text"))))
+        return found
+
+    if least is not None:
+        return reaching(least)
+    sure = None
+    if by_index:
+        sure = reaching(INDEXED[measure])
+        settled = sure.select(F.col("n_text").alias("_s")).distinct()
+        own = own.join(settled, F.col("n_text") == F.col("_s"), "left_anti")
     near = F.array_min(F.transform(F.array(*map(F.lit, sorted(sizes))), lambda s: F.struct(F.abs(s - F.col("own")).alias("d"), s.alias("s"))))["s"]
     first = _joined(own.select("n_text", F.lit(None).cast("double").alias("n_least"), near.alias("low"), near.alias("high")), k, sizes, turns, measure)
     bar = first.groupBy("n_text").agg(F.max("similarity").alias("n_least"))
     wide = _reach(measure, F.col("n_least"))
     rest = bar.withColumn("own", _class("n_text")).select("n_text", "n_least", (F.col("own") - wide).alias("low"), (F.col("own") + wide).alias("high"))
     found = _joined(rest, k, sizes, turns, measure)
+    found = found if sure is None else found.unionByName(sure)
     top = found.groupBy("n_text").agg(F.max("similarity").alias("_top")).withColumnRenamed("n_text", "_n")
     return found.join(top, (F.col("n_text") == F.col("_n")) & (F.col("similarity") == F.col("_top"))).select("n_text", "k_text", "similarity")
 

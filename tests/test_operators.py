@@ -43,6 +43,62 @@ def test_pruned_join_is_brute_force(spark):
         assert got == {(a, b) for a in new for b in known if round(f(a, b) + 1e-9, 2) >= 0.7}
 
 
+def _garbled(rng, text):
+    """text with a few signs changed, gone, new or swapped."""
+    t = list(text)
+    for _ in range(rng.randint(0, 1 + len(t) // 8)):
+        at, how = rng.randrange(len(t) + 1), rng.randrange(4)
+        t[at : at + 1 + (how == 3)] = [[rng.choice("abcXYZ019.%")], [], t[at : at + 1] + [rng.choice("abc")], t[at : at + 2][::-1]][how]
+    return "".join(t)
+
+
+@pytest.mark.parametrize("measure, least", [("jaro", 0.75), ("jaro", 0.92), ("jaro", 0.97), ("dl", 0.75), ("dl", 0.9), ("dl", 1.0), ("jaro", None), ("dl", None)])
+def test_index_is_brute_force(spark, measure, least):
+    import random
+
+    from lexispark.functions.similarity import dl_similarity, jaro
+
+    rng = random.Random(7)
+    base = ["".join(rng.choice("abcdefghijklmnop  XYZ0123.") for _ in range(rng.choice([1, 2, 3, 5, 8, 13, 20, 30, 60, 99, 101, 120]))) for _ in range(45)]
+    known = sorted({_garbled(rng, b) for b in base for _ in range(3)} | {"", "aaaaaaaa", "aaaaaaaaaaaa", "é" * 9})
+    new = sorted({_garbled(rng, b) for b in base} | {"", "aaaaaaaaa", "zz", "éééééééé"})
+    k, n = spark.createDataFrame([(x,) for x in known] * 2 + [(None,)], "k_text string"), spark.createDataFrame([(x,) for x in new] * 2 + [(None,)], "n_text string")
+    f = jaro if measure == "jaro" else dl_similarity
+    two = {(a, b): int(f(a, b) * 100 + 0.5 + 1e-9) / 100 for a in new for b in known}
+    want = {(a, b, s) for (a, b), s in two.items() if s >= (max(two[a, x] for x in known) if least is None else least)}
+    got = [tuple(r) for r in fuzzy.matches(n, k, measure, least, index_from=0).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    if least is not None:
+        short = lambda c: F.length(c).between(1, fuzzy.WIDE)
+        met = {tuple(r) for r in fuzzy.candidates(n.where(short("n_text")).distinct(), k.where(short("k_text")).distinct(), measure, least).collect()}
+        assert {(a, b) for a, b, _ in want if a and b and max(len(a), len(b)) <= fuzzy.WIDE} <= met
+
+
+def test_candidates_are_few(spark):
+    """Texts of six words of 500, each with one near one: a tenth of all pairs share enough rare signs."""
+    words = F.array(*(F.lit(a + b + c) for a in ("bra", "con", "del", "fur", "gly", "hem", "inj", "kal", "lum", "mor") for b in ("o", "ti", "ne", "ma", "") for c in ("x", "n", "st", "l", "r", "Q1", "Z2", "/x", "7", "V")))
+    k = spark.range(600).select(F.concat(*(F.get(words, F.pmod(F.xxhash64("id", F.lit(i)), F.lit(500))) for i in range(6))).alias("k_text"))
+    new = k.select(F.concat(F.lit("x"), F.expr("substring(k_text, 1, length(k_text) - 2)")).alias("n_text"))
+    met = fuzzy.candidates(new, k, "dl", 0.9).distinct().count()
+    assert 600 <= met <= 0.12 * 600**2
+
+
+def test_jaro_of_many_is_jaro():
+    import random
+
+    import numpy as np
+
+    from lexispark.functions.similarity import jaro, jaro_many
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdé") for _ in range(rng.choice([0, 1, 2, 3, 7, 20, 40]))) for _ in range(150)]
+    codes, sizes = np.zeros((150, 40), dtype=np.uint32), np.array([len(t) for t in texts])
+    for row, t in zip(codes, texts):
+        row[: len(t)] = [ord(c) for c in t]
+    for a in [*texts[:40], "", "a", "zz"]:
+        assert jaro_many(a, codes, sizes).tolist() == [jaro(a, t) for t in texts]
+
+
 def test_boost(spark):
     d = spark.createDataFrame([(0.87,), (0.9,), (0.84,)], "s double").select(fuzzy.boosted(F.col("s")))
     assert [r[0] for r in d.collect()] == [0.91, 0.9, 0.84]
