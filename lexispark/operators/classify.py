@@ -9,13 +9,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.operators import fuzzy, sampling
+from lexispark.operators import fits, fuzzy, sampling
+from lexispark.operators.fits import Rows, rows_of, softmax, sparse
 
 SEED = 786
 
@@ -137,16 +138,27 @@ class LinearScores:
     def __init__(self, labels: list[str], weights: np.ndarray, bias: np.ndarray):
         self.labels, self.weights, self.bias = labels, weights, bias
 
+    @property
+    def sent(self):
+        """What each task needs of the model."""
+        return self.weights, self.bias
+
+    def shares(self, col: pd.DataFrame, model) -> np.ndarray:
+        return softmax(scores(rows_of(col), *model))
+
     def predict(self, df: DataFrame, features: str) -> DataFrame:
-        model = df.sparkSession.sparkContext.broadcast((self.weights, self.bias))
+        model = df.sparkSession.sparkContext.broadcast(self.sent)
+        shares = type(self).shares
+        bare = type(self).__new__(type(self))  # without weights, which are sent once
+        bare.labels = self.labels
 
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for col in batches:
-                share = softmax(scores(rows_of(col), *model.value))
+                share = shares(bare, col, model.value)
                 place = share.argmax(axis=1) if len(share) else np.zeros(0, int)
                 yield pd.DataFrame({"place": place.astype("int32"), "prob": share[np.arange(len(share)), place]})
 
-        said = F.pandas_udf(run, "place int, prob double")(_sparse(features))
+        said = F.pandas_udf(run, "place int, prob double")(sparse(features))
         out = df.withColumn("_said", said)
         return out.withColumn("prediction", F.get(F.array(*map(F.lit, self.labels)), F.col("_said.place"))).withColumn("prob", F.col("_said.prob")).drop("_said")
 
@@ -162,23 +174,59 @@ class LinearScores:
         return cls([r.label for r in rows], np.array([r.weights for r in rows]), np.array([r.bias for r in rows]))
 
 
-MODELS = {c.__name__: c for c in (OneVsRestModel, ProbabilityModel, TextModel, LinearScores)}
+class SigmoidScores(LinearScores):
+    """A logistic regression of each class against the rest; probabilities are the sigmoids, scaled to sum 1."""
+
+    def shares(self, col: pd.DataFrame, model) -> np.ndarray:
+        sure = 1 / (1 + np.exp(-np.clip(scores(rows_of(col), *model), -500, 500)))
+        return sure / sure.sum(axis=1, keepdims=True)
+
+
+def logistic_of_all(**options) -> Callable:
+    """C3, all classes fitted in the same passes."""
+
+    def train(df: DataFrame, features: str, label: str) -> SigmoidScores:
+        return SigmoidScores(*fits.logistic_of_all(df, features, label, **options))
+
+    return train
+
 
+class Network(LinearScores):
+    """C4: one layer of tanh units over sparse features, and a softmax."""
 
-def _sparse(features: str) -> Column:
-    """A vector as a struct of size, indices and values, which Arrow can carry."""
-    return F.from_json(F.to_json(F.struct(F.col(features).alias("v"))), "v struct<type:tinyint,size:int,indices:array<int>,values:array<double>>")["v"]
+    def __init__(self, labels: list[str], layers: list[np.ndarray]):
+        self.labels, self.layers = labels, layers
 
+    @property
+    def sent(self):
+        return self.layers
 
-def rows_of(col: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Row, place and value of each entry of a batch of vectors, and the number of rows."""
-    row, place, value = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
-    for i, (indices, values) in enumerate(zip(col["indices"], col["values"])):
-        values = np.asarray(values, dtype=float)
-        place.append(np.asarray(indices, dtype=int) if indices is not None else np.arange(len(values)))
-        row.append(np.full(len(values), i))
-        value.append(values)
-    return np.concatenate(row), np.concatenate(place), np.concatenate(value), len(col)
+    def shares(self, col: pd.DataFrame, model) -> np.ndarray:
+        row, place, value, n = rows_of(col)
+        every = fits.damped(Rows(row, place, value, np.zeros(n, dtype=int)))
+        return np.concatenate([np.zeros((0, len(self.labels))), *(fits.forward(part, *model)[1] for part in every.parts())])
+
+    def save(self, path: str) -> None:
+        spark = SparkSession.getActiveSession()
+        rows = [(i, k, r.astype(float).tolist()) for i, layer in enumerate(self.layers) for k, r in enumerate(np.atleast_2d(layer))]
+        spark.createDataFrame(rows, "layer int, row int, weights array<double>").write.mode("overwrite").parquet(f"{path}/layers")
+        _put(path, {"labels": self.labels})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Network:
+        rows = sorted(spark.read.parquet(f"{path}/layers").collect(), key=lambda r: (r.layer, r.row))
+        layers = [np.array([r.weights for r in rows if r.layer == i], dtype=np.float32) for i in range(4)]
+        return cls(_got(spark, path)["labels"], [x[0] if i % 2 else x for i, x in enumerate(layers)])
+
+
+def network_of_words(**options) -> Callable:
+    def train(df: DataFrame, features: str, label: str) -> Network:
+        return Network(*fits.network_of_words(df, features, label, **options))
+
+    return train
+
+
+MODELS = {c.__name__: c for c in (OneVsRestModel, ProbabilityModel, TextModel, LinearScores, SigmoidScores, Network)}
 
 
 def scores(rows, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -189,11 +237,6 @@ def scores(rows, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
     return out
 
 
-def softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(axis=1, keepdims=True)) if len(x) else x
-    return e / e.sum(axis=1, keepdims=True) if len(x) else x
-
-
 def boosted_linear(rounds: int = 20, rate: float = 0.5, ridge: float = 1.0) -> Callable:
     """A boosted linear model of the softmax loss. Each round is one pass over the rows, which gives the gradient
     and curvature of every weight; all weights take their Newton step at once, scaled by `rate` and by how many entries
@@ -201,37 +244,28 @@ def boosted_linear(rounds: int = 20, rate: float = 0.5, ridge: float = 1.0) -> C
     for each feature and class."""
 
     def train(df: DataFrame, features: str, label: str) -> LinearScores:
-        labels = sorted(r[0] for r in df.select(label).where(F.col(label).isNotNull()).distinct().collect())
-        width, spark = df.select(features).first()[0].size, df.sparkSession
-        data = df.where(F.col(label).isNotNull()).select(_sparse(features).alias("v"), (F.array_position(F.array(*map(F.lit, labels)), F.col(label)) - 1).cast("int").alias("y"))
-        data = data.select("v.indices", "v.values", "y").persist()
+        data, labels, width = fits.packed(df, features, label)
         weights, bias = np.zeros((len(labels), width)), np.zeros(len(labels))
         for _ in range(rounds):
-            model = spark.sparkContext.broadcast((weights, bias))
+            model = df.sparkSession.sparkContext.broadcast((weights, bias))
 
-            def run(batches, model=model):
+            def sums(batches: Iterator[Rows], model=model) -> np.ndarray:
                 w, b = model.value
                 grad, curve, ends = np.zeros_like(w), np.zeros_like(w), np.zeros((2, len(b)))
-                for pdf in batches:
-                    rows = rows_of(pdf)
-                    row, place, value, n = rows
-                    if not n:
-                        continue
-                    share = softmax(scores(rows, w, b))
-                    entries = np.maximum(1, np.bincount(row, minlength=n))
-                    off = share - np.eye(len(b))[pdf["y"].to_numpy()]
+                for x in batches:
+                    share = softmax(scores((x.row, x.place, x.value, len(x)), w, b))
+                    entries = np.maximum(1, np.bincount(x.row, minlength=len(x)))
+                    off = share - np.eye(len(b))[x.y]
                     bend = share * (1 - share)
                     ends += off.sum(axis=0), bend.sum(axis=0)
                     for k in range(len(b)):
-                        grad[k] += np.bincount(place, weights=value * off[row, k], minlength=w.shape[1])
-                        curve[k] += np.bincount(place, weights=value**2 * (bend[:, k] * entries)[row], minlength=w.shape[1])
-                yield pd.DataFrame({"grad": [grad.tobytes()], "curve": [curve.tobytes()], "ends": [ends.tobytes()]})
-
-            grad, curve, ends = np.zeros_like(weights), np.zeros_like(weights), np.zeros((2, len(labels)))
-            for r in data.mapInPandas(run, "grad binary, curve binary, ends binary").toLocalIterator():
-                grad += np.frombuffer(r.grad).reshape(grad.shape)
-                curve += np.frombuffer(r.curve).reshape(curve.shape)
-                ends += np.frombuffer(r.ends).reshape(ends.shape)
+                        grad[k] += np.bincount(x.place, weights=x.value * off[x.row, k], minlength=w.shape[1])
+                        curve[k] += np.bincount(x.place, weights=x.value**2 * (bend[:, k] * entries)[x.row], minlength=w.shape[1])
+                return np.concatenate([grad.ravel(), curve.ravel(), ends.ravel()])
+
+            found = fits.summed(data, sums, 16 * weights.size)
+            grad, curve = found[: 2 * weights.size].reshape(2, *weights.shape)
+            ends = found[2 * weights.size :].reshape(2, -1)
             weights = weights - rate * (grad + ridge * weights) / (curve + ridge)
             bias = bias - rate * ends[0] / (ends[1] + ridge)
             model.unpersist()
@@ -250,32 +284,28 @@ def discriminant(shrink: float = 1e-3, widest: int = 1000) -> Callable:
         width = df.select(features).first()[0].size
         if width > widest:
             raise ValueError(f"{width} features; {widest} are the most for a covariance matrix")
-        data = df.where(F.col(label).isNotNull()).select(vector_to_array(features).alias("x"), F.col(label).alias("y"))
-
-        def run(batches):
-            number, first, second = {}, {}, np.zeros((width, width))
-            for pdf in batches:
-                x = np.stack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, width))
+        data, labels, _ = fits.packed(df, features, label)
+        classes = len(labels)
+
+        def sums(batches: Iterator[Rows]) -> np.ndarray:
+            number, first, second = np.zeros(classes), np.zeros((classes, width)), np.zeros((width, width))
+            for rows in batches:
+                x = np.zeros((len(rows), width))
+                x[rows.row, rows.place] = rows.value
                 second += x.T @ x
-                for y in pdf["y"].unique():
-                    own = x[(pdf["y"] == y).to_numpy()]
-                    number[y] = number.get(y, 0) + len(own)
-                    first[y] = first.get(y, 0) + own.sum(axis=0)
-            yield pd.DataFrame({"y": [*number, None], "n": [*number.values(), 0], "sums": [*(v.tobytes() for v in first.values()), second.tobytes()]})
-
-        number, first, second = {}, {}, np.zeros((width, width))
-        for r in data.mapInPandas(run, "y string, n long, sums binary").toLocalIterator():
-            if r.y is None:
-                second += np.frombuffer(r.sums).reshape(width, width)
-            else:
-                number[r.y] = number.get(r.y, 0) + r.n
-                first[r.y] = first.get(r.y, 0) + np.frombuffer(r.sums)
-        labels, total = sorted(number), sum(number.values())
-        means = np.array([first[y] / number[y] for y in labels])
-        within = (second - sum(number[y] * np.outer(m, m) for y, m in zip(labels, means))) / max(1, total - len(labels))
+                number += np.bincount(rows.y, minlength=classes)
+                np.add.at(first, rows.y, x)
+            return np.concatenate([number, first.ravel(), second.ravel()])
+
+        found = fits.summed(data, sums, 8 * width * (width + classes))
+        data.unpersist()
+        number, first, second = found[:classes], found[classes : classes * (1 + width)].reshape(classes, width), found[classes * (1 + width) :].reshape(width, width)
+        total = number.sum()
+        means = first / number[:, None]
+        within = (second - (means.T * number) @ means) / max(1, total - classes)
         within += np.eye(width) * (shrink * np.trace(within) / width + 1e-12)
         weights = np.linalg.solve(within, means.T).T
-        bias = np.array([np.log(number[y] / total) for y in labels]) - 0.5 * (weights * means).sum(axis=1)
+        bias = np.log(number / total) - 0.5 * (weights * means).sum(axis=1)
         return LinearScores(labels, weights, bias)
 
     return train
@@ -290,13 +320,11 @@ class Classifier:
 
 def registry(live: bool = True) -> list[Classifier]:
     """The classifiers in their order, which the vote depends on. Not live: the ones that are kept for trials."""
-    # C4: one hidden layer of 209 units
-    network = multiclass(lambda width, classes: MultilayerPerceptronClassifier(layers=[width, 209, classes], maxIter=25, seed=SEED))
     found = [
         Classifier("Jaro", lambda df, text, label, order: TextModel(df, text, label, order, "jaro"), True),
         Classifier("DLevenshtein", lambda df, text, label, order: TextModel(df, text, label, order, "dl"), True),
-        Classifier("Logistic_OvR", one_vs_rest(LogisticRegression(regParam=0.001, maxIter=50, standardization=False))),
-        Classifier("DeepNN", network),
+        Classifier("Logistic_OvR", logistic_of_all(ridge=0.001, rounds=50)),
+        Classifier("DeepNN", network_of_words(units=209, seed=SEED)),
     ]
     if not live:
         found += [
@@ -395,8 +423,10 @@ def important_features(model: ProbabilityModel, names: list[str], number: int |
     return found[:number]
 
 
-def network_weights(model: ProbabilityModel) -> list[np.ndarray]:
+def network_weights(model: Network | ProbabilityModel) -> list[np.ndarray]:
     """C11: the weight matrix of each layer of a network, inputs and a bias (last row) by outputs."""
+    if isinstance(model, Network):
+        return [np.vstack([w, b]) for w, b in zip(model.layers[::2], model.layers[1::2])]
     layers, flat, out, at = model.model.getLayers(), model.model.weights.toArray(), [], 0
     for a, z in zip(layers, layers[1:]):
         inner, bias = flat[at : at + a * z].reshape(z, a, order="F").T, flat[at + a * z : at + (a + 1) * z]
@@ -405,6 +435,8 @@ def network_weights(model: ProbabilityModel) -> list[np.ndarray]:
     return out
 
 
-def coefficients(model: OneVsRestModel, names: list[str]) -> list[tuple[str, str, float]]:
-    """C11: (class, feature, weight) of one-vs-rest linear models."""
+def coefficients(model: OneVsRestModel | LinearScores, names: list[str]) -> list[tuple[str, str, float]]:
+    """C11: (class, feature, weight) of linear models."""
+    if isinstance(model, LinearScores):
+        return [(label, name, float(w)) for label, row in zip(model.labels, model.weights) for name, w in zip(names, row)]
     return [(label, name, float(w)) for label, m in zip(model.labels, model.models) for name, w in zip(names, m.coefficients.toArray())]

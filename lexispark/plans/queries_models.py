@@ -106,8 +106,8 @@ def _(t: Tables):
     return out.select("p_partkey", (F.array_position(vector_to_array("p_type_hot"), F.lit(1.0)) - 1).alias("at")).select("p_partkey", F.when(F.col("at") >= 0, F.col("at")).alias("place"))
 
 
-# The words that a network or a forest gets: all would be 209 weights each for the one, a histogram a node for the other.
-_INPUTS = {"DeepNN": 256, "RandomForest": 512}
+# The words that a forest gets: each takes a histogram in each node.
+_INPUTS = {"RandomForest": 512}
 
 
 def _held_out(t: Tables, name: str):
