@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NO_CHANGE = "NoChange"
@@ -132,3 +132,19 @@ def change_rows(df: DataFrame, column: str, *keep: str) -> DataFrame:
     part = lambda i: F.coalesce(F.get(F.split("c", ":"), F.lit(i)), F.lit(""))
     rows = one.select(part(0).alias("word"), part(1).alias("match"), part(2).alias("surrounding_word"), *keep)
     return rows.where(F.col("match") != NO_CHANGE)
+
+
+class MineCorrections:
+    """mine_corrections(original, norm, changes, corrected, expansions): one row (abbreviations, spellings) for each call,
+    as mined_changes() gives them; expansions, a map of arrays, may be null."""
+
+    def eval(self, original: str, norm: str, changes: str, corrected: str, expansions: dict = None):
+        if None in (original, norm, corrected):
+            yield "", ""
+        else:
+            yield tuple(surround(x, original) for x in mine(original, norm, changes, corrected, expansions))
+
+
+def register(spark: SparkSession) -> None:
+    """mine_corrections for lateral joins in SQL."""
+    spark.udtf.register("mine_corrections", F.udtf(MineCorrections, returnType="abbreviations string, spellings string"))

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from lexispark.functions import corrections
 from lexispark.functions.text import charset_clean
 
 _SIGNS, _BLANKS = re.compile("[^A-Za-z0-9+%.>/&]"), re.compile(" +")
@@ -166,7 +167,8 @@ def damerau_similarity(a: Column | str, b: Column | str) -> Column:
 
 
 def register(spark: SparkSession) -> None:
-    """jaro_sim, dl_sim and clean_text for SQL."""
+    """jaro_sim, dl_sim, clean_text and mine_corrections for SQL."""
+    corrections.register(spark)
     spark.udf.register("jaro_sim", _pairwise(lambda a, b: rounded(jaro(cleaned(a), cleaned(b)))))
     spark.udf.register("dl_sim", _pairwise(lambda a, b: rounded(dl_similarity(cleaned(a), cleaned(b)))))
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION clean_text(s STRING) RETURNS STRING RETURN regexp_replace(regexp_replace(s, '[^A-Za-z0-9+%.>/&]', ' '), ' {2,}', ' ')")

@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lexispark.functions.similarity import damerau_levenshtein_many, dl_similarity, jaro, jaro_many, match_text
 
@@ -237,7 +238,7 @@ def matches(new: DataFrame, known: DataFrame, measure: str = "jaro", least: floa
     least that similarity, or without `least` each new text's best ones, with all ties.
 
     More than `index_from` known texts are looked up in an index if `least` is INDEXED or more; texts of over WIDE signs
-    go by blocks. Without `least` the texts that have a known one of INDEXED are settled by the index. The others are compared with known texts of about their length; the best similarity there bounds the lengths, and the pairs,
+    go by blocks. Without `least`, and 20 times as many, the texts that have a known one of INDEXED are settled by it. The others are compared with known texts of about their length; the best similarity there bounds the lengths, and the pairs,
     that need be looked at among the others. The driver gets the number of known texts by class of length, some tens of
     rows."""
     n, k = new.select("n_text").where("n_text is not null").distinct(), known.select("k_text").where("k_text is not null").distinct()
@@ -245,7 +246,8 @@ def matches(new: DataFrame, known: DataFrame, measure: str = "jaro", least: floa
     sizes = {r["size"]: r["n"] for r in k.groupBy("size").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return n.join(k.where("false"), F.lit(False)).select("n_text", "k_text", F.lit(0.0).alias("similarity"))
-    turns, by_index = 1 + n.count() // NEW, sum(sizes.values()) > index_from
+    # a search for the best asks the index only for the few that have a very near one, so it pays later
+    turns, by_index = 1 + n.count() // NEW, sum(sizes.values()) > (index_from if least is not None else 20 * index_from)
     own = n.withColumn("own", _class("n_text"))
 
     def reaching(least: float) -> DataFrame:
@@ -274,8 +276,8 @@ def matches(new: DataFrame, known: DataFrame, measure: str = "jaro", least: floa
     rest = bar.withColumn("own", _class("n_text")).select("n_text", "n_least", (F.col("own") - wide).alias("low"), (F.col("own") + wide).alias("high"))
     found = _joined(rest, k, sizes, turns, measure)
     found = found if sure is None else found.unionByName(sure)
-    top = found.groupBy("n_text").agg(F.max("similarity").alias("_top")).withColumnRenamed("n_text", "_n")
-    return found.join(top, (F.col("n_text") == F.col("_n")) & (F.col("similarity") == F.col("_top"))).select("n_text", "k_text", "similarity")
+    top = F.max("similarity").over(W.partitionBy("n_text"))
+    return found.withColumn("_top", top).where(F.col("similarity") == F.col("_top")).select("n_text", "k_text", "similarity")
 
 
 def _known(train: DataFrame, text: str, label: str, order: str) -> DataFrame:

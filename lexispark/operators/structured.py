@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,16 +73,70 @@ def rare_as_others(df: DataFrame, group: str, least: int, name: str = "Others")
     return out.select(*(F.when(F.col("_n") < least, F.lit(name)).otherwise(F.col(group)).alias(group) if c == group else F.col(c) for c in df.columns))
 
 
-def grouped_medians(df: DataFrame, keys: Sequence[str], medians: Sequence[str], firsts: Sequence[str] = (), order: Sequence[str] = ()) -> DataFrame:
-    """Medians of the named columns by key, and the first row's values by `order`."""
+#: Rows of a group from which on its medians are selected in rounds; bins of a round.
+LARGE, BINS = 1_000_000, 1024
+
+
+def grouped_medians(df: DataFrame, keys: Sequence[str], medians: Sequence[str], firsts: Sequence[str] = (), order: Sequence[str] = (), large: int = LARGE) -> DataFrame:
+    """Exact medians of the named columns by key, and the first row's values by `order`; null values are left out.
+
+    A group of over `large` rows is never held in one task: its middle values are found by selected_medians()."""
     first = [F.min_by(c, F.struct(*order)).alias(c) for c in firsts]
-    return df.groupBy(*keys).agg(*first, *(F.round(F.median(c), 6).alias(c) for c in medians))
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    hot = sizes.where(F.col("_n") > large).drop("_n").collect()  # no more than a row for each `large` rows
+    median = lambda d: d.groupBy(*keys).agg(*first, *(F.round(F.median(c), 6).alias(c) for c in medians))
+    if not hot:
+        return median(df)
+    of_hot = df.sparkSession.createDataFrame(hot, sizes.drop("_n").schema)
+    some = _same_keys(df, of_hot, keys)
+    out = some.groupBy(*keys).agg(F.count("*").alias("_n"), *first)
+    for c in medians:
+        out = _same_keys(out, selected_medians(some, keys, c, large), keys, "left")
+    return median(_same_keys(df, of_hot, keys, "left_anti")).unionByName(out.select(*keys, *firsts, *(F.round(c, 6).alias(c) for c in medians)))
+
+
+def _same_keys(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join by all keys, nulls being equal; keys are a's."""
+    b = b.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *(c for c in b.columns if c not in keys))
+    found = a.join(b, reduce(and_, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys))), how)
+    return found.drop(*(f"_k{i}" for i in range(len(keys))))
+
+
+def selected_medians(df: DataFrame, keys: Sequence[str], column: str, enough: int = LARGE, bins: int = BINS) -> DataFrame:
+    """The exact median of a column by key, by rounds that narrow on the two middle ranks of each group.
+
+    A round counts the values between the bounds of a rank in `bins` equal bins, a row for each bin and task, and goes on
+    with the bin that has the rank, whose least and largest values are the next bounds; until they are one, or no more
+    than `enough` values are left, which are sorted. The driver holds two rows a group, so this is for few large ones.
+    Groups without a value have none."""
+    x = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("_x"))
+    ends = x.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+    ranks = F.array(F.floor((F.col("_n") + 1) / 2).cast("long"), (F.floor(F.col("_n") / 2) + 1).cast("long"))
+    state = ends.select(*keys, F.posexplode(ranks).alias("_side", "_rank"), "_n", "_low", "_high")
+    schema, spark = state.schema, df.sparkSession
+    rows = state.collect()
+    while wide := [r for r in rows if r["_n"] > enough and r["_low"] < r["_high"]]:
+        y = _same_keys(x, spark.createDataFrame(wide, schema), keys).where(F.col("_x").between(F.col("_low"), F.col("_high")))
+        share = (F.col("_x") / 2 - F.col("_low") / 2) / (F.col("_high") / 2 - F.col("_low") / 2)
+        binned = y.withColumn("_bin", F.least(F.floor(share * bins), F.lit(bins - 1)))
+        counts = binned.groupBy(*keys, "_side", "_rank", "_bin").agg(F.count("*").alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+        upto = F.sum("_n").over(W.partitionBy(*keys, "_side").orderBy("_bin"))
+        found = counts.withColumn("_upto", upto).where((F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_n")))
+        found = found.withColumn("_rank", F.col("_rank") - F.col("_upto") + F.col("_n"))
+        rows = [r for r in rows if r not in wide] + found.select(*schema.names).collect()
+    if not rows:
+        return ends.select(*keys, F.col("_low").alias(column))
+    left = _same_keys(x, spark.createDataFrame(rows, schema), keys).where(F.col("_x").between(F.col("_low"), F.col("_high")))
+    one = F.when(F.max("_low") == F.max("_high"), F.max("_low")).otherwise(F.get(F.array_sort(F.collect_list(F.when(F.col("_low") < F.col("_high"), F.col("_x")))), F.max("_rank") - 1))
+    each = left.groupBy(*keys, "_side").agg(one.alias("_x"))
+    return each.groupBy(*keys).agg(F.avg("_x").alias(column))
 
 
 def distinct_pivot(df: DataFrame, index: str, column: str, value: str, names: Sequence[str]) -> DataFrame:
-    """Distinct values by index and column, 0 where there are none. Names are given, so nothing is collected."""
-    per = df.groupBy(index).agg(*(F.count_distinct(F.when(F.col(column) == n, F.col(value))).cast("long").alias(n) for n in names))
-    return per
+    """Distinct values by index and column, 0 where there are none. Names are given, so nothing is collected. Rows
+    that are equal in the three go first, so that a cell is a plain count."""
+    once = df.select(F.col(index), F.col(column).alias("_c"), F.col(value).alias("_v")).distinct()
+    return once.groupBy(index).agg(*(F.count_if((F.col("_c") == n) & F.col("_v").isNotNull()).cast("long").alias(n) for n in names))
 
 
 def dominance(df: DataFrame, bucket: str, label: str) -> DataFrame:

@@ -71,6 +71,20 @@ def _(t: Tables):
     return corrections.mined_changes(d, {"intra_venous": ["iv"]}).select("p_partkey", "abbreviations", "spellings")
 
 
+# The same, called from SQL, with a part whose corrected text is missing.
+@query("N14_mined_in_sql", """
+WITH p AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS a, lower(replace(p_brand, '#', '')) AS brand, p_partkey % 10 = 0 AS lacks FROM part)
+SELECT p_partkey, CASE WHEN lacks THEN '' ELSE 'iv:inner_valve:' || brand END AS abbreviations, CASE WHEN lacks THEN '' ELSE 'sol:' || a || ':' || split_part(p_name, ' ', 2) || ';' || brand || ':NoChange:iv' END AS spellings
+FROM p JOIN part USING (p_partkey)""")
+def _(t: Tables):
+    similarity.register(t.spark)
+    return t.spark.sql("""
+        SELECT p_partkey, m.abbreviations, m.spellings FROM (
+          SELECT *, split(p_name, ' ')[0] AS a, split(p_name, ' ')[1] AS b, lower(replace(p_brand, '#', '')) AS brand FROM {part}) p,
+        LATERAL mine_corrections(concat_ws(' ', 'sol', b, brand, 'iv'), concat_ws(' ', 'solid', b, brand, 'intra_venous'), 'sol:solid||iv:intra_venous',
+          CASE WHEN p_partkey % 10 <> 0 THEN concat_ws(' ', a, b, 'inner valve') END, map('intra_venous', array('iv'))) m""", part=t.part)
+
+
 # Of the words of norm: none that are numbers; the important ones where there are more than four; split on slashes
 # unless there is a digit; `economy` as `eco` where the original has that.
 @query("T9_feature_tokens", """

@@ -200,6 +200,24 @@ def test_training_takes_text_keys(spark):
     assert out and all(r.match == 1 for r in out)
 
 
+@pytest.mark.parametrize("large", [10**6, 40, 3])
+def test_medians_by_selection(spark, large):
+    import random
+    import statistics
+
+    rng, by = random.Random(4), {}
+    for k, n, draw in [("a", 301, rng.random), ("b", 200, lambda: 2.0 ** rng.randint(-300, 300)), ("c", 90, lambda: float(rng.randint(0, 2))), (None, 77, lambda: -(rng.random() ** 9)), ("d", 50, lambda: 5.0), ("e", 1, lambda: 1.0), ("f", 60, lambda: rng.choice([-1e308, 1e308]))]:
+        by[k] = [draw() for _ in range(n)]
+    data = [(k, i, v) for k, vs in by.items() for i, v in enumerate(vs)] + [("g", 0, None), ("a", -1, None)] + [("h", i, None) for i in range(50)]
+    d = spark.createDataFrame(data, "k string, i int, v double").repartition(4)
+    got = {r.k: (r.v, r.i) for r in structured.grouped_medians(d, ["k"], ["v"], ["i"], ["i"], large=large).collect()}
+    assert got.keys() == {*by, "g", "h"} and got["g"][0] is None and got["h"][0] is None
+    for k, vs in by.items():
+        if k != "f":  # half of 1e308 and -1e308 is 0, or either
+            assert got[k][0] == pytest.approx(round(statistics.median(vs), 6), rel=1e-12, abs=1e-6), k
+        assert got[k][1] == (-1 if k == "a" else 0)
+
+
 def test_folds_are_even(spark):
     d = spark.createDataFrame([(i, "x" if i % 3 else "y") for i in range(60)], "k long, c string")
     got = sampling.folds(d, "c", "k", 5).groupBy("c", "fold").count().collect()
