@@ -244,7 +244,8 @@ def boosted_linear(rounds: int = 20, rate: float = 0.5, ridge: float = 1.0) -> C
     for each feature and class."""
 
     def train(df: DataFrame, features: str, label: str) -> LinearScores:
-        data, labels, width = fits.packed(df, features, label)
+        data = fits.packed(df, features, label)
+        labels, width = data.labels, data.width
         weights, bias = np.zeros((len(labels), width)), np.zeros(len(labels))
         for _ in range(rounds):
             model = df.sparkSession.sparkContext.broadcast((weights, bias))
@@ -269,7 +270,7 @@ def boosted_linear(rounds: int = 20, rate: float = 0.5, ridge: float = 1.0) -> C
             weights = weights - rate * (grad + ridge * weights) / (curve + ridge)
             bias = bias - rate * ends[0] / (ends[1] + ridge)
             model.unpersist()
-        data.unpersist()
+        data.close()
         return LinearScores(labels, weights, bias)
 
     return train
@@ -284,8 +285,8 @@ def discriminant(shrink: float = 1e-3, widest: int = 1000) -> Callable:
         width = df.select(features).first()[0].size
         if width > widest:
             raise ValueError(f"{width} features; {widest} are the most for a covariance matrix")
-        data, labels, _ = fits.packed(df, features, label)
-        classes = len(labels)
+        data = fits.packed(df, features, label)
+        labels, classes = data.labels, len(data.labels)
 
         def sums(batches: Iterator[Rows]) -> np.ndarray:
             number, first, second = np.zeros(classes), np.zeros((classes, width)), np.zeros((width, width))
@@ -298,7 +299,7 @@ def discriminant(shrink: float = 1e-3, widest: int = 1000) -> Callable:
             return np.concatenate([number, first.ravel(), second.ravel()])
 
         found = fits.summed(data, sums, 8 * width * (width + classes))
-        data.unpersist()
+        data.close()
         number, first, second = found[:classes], found[classes : classes * (1 + width)].reshape(classes, width), found[classes * (1 + width) :].reshape(width, width)
         total = number.sum()
         means = first / number[:, None]

@@ -82,10 +82,24 @@ class Rows:
 _PACKED = {"row": np.int32, "place": np.int32, "value": np.float32, "y": np.int32, "order": np.int32}
 
 
-def packed(df: DataFrame, features: str, label: str) -> tuple[DataFrame, list[str], int]:
-    """df with a class, packed into few rows of binaries that are kept in memory or on disk, its sorted classes, and the
-    number of features. Rows without a class are left out; values are kept in single precision; call unpersist() on the
-    result."""
+@dataclass
+class Packed:
+    """Rows with a class, packed into few rows of binaries that are kept in memory or on disk: their number, the sorted
+    classes, and the number of features. `frame` has as many partitions as are worth a task; close() lets the rows go."""
+
+    frame: DataFrame
+    kept: DataFrame
+    tasks: int
+    labels: list[str]
+    width: int
+    rows: int
+
+    def close(self) -> None:
+        self.kept.unpersist()
+
+
+def packed(df: DataFrame, features: str, label: str) -> Packed:
+    """df packed for passes over it. Rows without a class are left out; values are kept in single precision."""
     df = df.where(F.col(label).isNotNull())
     labels = sorted(r[0] for r in df.select(label).distinct().collect())
     first = df.select(features).first()
@@ -101,13 +115,19 @@ def packed(df: DataFrame, features: str, label: str) -> tuple[DataFrame, list[st
                 yield pd.DataFrame({k: [getattr(x, k).astype(kind).tobytes()] for k, kind in _PACKED.items()})
 
     made = data.mapInPandas(run, ", ".join(f"{k} binary" for k in _PACKED))
-    return made.coalesce(df.sparkSession.sparkContext.defaultParallelism).persist(), labels, first[0].size
+    most = df.sparkSession.sparkContext.defaultParallelism
+    kept = made.coalesce(most).persist()
+    entries = F.sum(F.octet_length("row") / 4).cast("long")
+    n = kept.agg((F.sum(F.octet_length("y")) / 4).cast("long").alias("rows"), entries.alias("entries")).first()
+    tasks = max(1, min(most, (n.entries or 0) // (6 * ENTRIES)))
+    return Packed(kept.coalesce(tasks), kept, tasks, labels, first[0].size, n.rows)
 
 
-def summed(data: DataFrame, sums: Callable[[Iterator[Rows]], np.ndarray], size: int = 1) -> np.ndarray:
-    """sums(rows) of each partition of packed() rows, arrays of about `size` bytes, added up: one job, whatever the number
-    of partitions. A task sends what is not zero. More than GATHERED bytes are added up by a tree in the executors."""
-    columns = [k for k in _PACKED if k in data.columns]
+def summed(data: Packed, sums: Callable[[Iterator[Rows]], np.ndarray], size: int, order: bool = False) -> np.ndarray:
+    """sums(rows) of each partition, arrays of about `size` bytes, added up: one job, whatever the number of partitions. A
+    task sends what is not zero. More than GATHERED bytes are added up by a tree in the executors. With `order` the rows
+    have their entries' order by place."""
+    columns = [k for k in _PACKED if order or k != "order"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = (Rows(*(np.frombuffer(r, _PACKED[k]) for k, r in zip(columns, x))) for b in batches for x in zip(*(b[k] for k in columns)))
@@ -125,8 +145,8 @@ def summed(data: DataFrame, sums: Callable[[Iterator[Rows]], np.ndarray], size:
             total[np.frombuffer(r["at"], np.int32)] += own
         return total
 
-    found, total = data.mapInPandas(run, "kind string, size long, at binary, sums binary"), None
-    if size * data.rdd.getNumPartitions() > GATHERED:
+    found, total = data.frame.select(*columns).mapInPandas(run, "kind string, size long, at binary, sums binary"), None
+    if size * data.tasks > GATHERED:
         return found.rdd.map(lambda r: added(None, r)).treeReduce(np.add, depth=2)
     for r in found.collect():
         total = added(total, r)
@@ -180,10 +200,9 @@ def logistic_of_all(df: DataFrame, features: str, label: str, ridge: float = 0.0
     Each class has a descent of its own, but all try their points in the same pass, so the number of jobs does not grow
     with the classes. Each minimises the mean of log(1 + exp(-margin)) plus ridge / 2 times the squared weights, the bias
     aside. The driver holds some 15 times the weights of all classes; a task sends them once."""
-    data, labels, width = packed(df, features, label)
+    data = packed(df, features, label)
+    labels, width, total = data.labels, data.width, data.rows
     spark, number = df.sparkSession, len(labels)
-    plain = data.drop("order")
-    total = summed(plain, lambda rows: np.array([sum(len(r) for r in rows)], dtype=np.float64))[0]
     own = [Descent(np.zeros(width + 1), tolerance) for _ in labels]
     for _ in range(2 * rounds):
         at = [k for k in range(number) if not own[k].done and own[k].steps <= rounds]
@@ -205,13 +224,13 @@ def logistic_of_all(df: DataFrame, features: str, label: str, ridge: float = 0.0
                 part.back(off, slope)
             return np.concatenate([loss, slope.ravel(), ends])
 
-        found = summed(plain, sums, 8 * (width + 2) * len(at))
+        found = summed(data, sums, 8 * (width + 2) * len(at))
         loss, slope, ends = found[: len(at)] / total, found[len(at) : -len(at)].reshape(width, len(at)) / total, found[-len(at) :] / total
         for i, k in enumerate(at):
             w = own[k].trial[:-1]
             own[k].told(float(loss[i] + ridge / 2 * (w @ w)), np.append(slope[:, i] + ridge * w, ends[i]))
         sent.destroy()
-    data.unpersist()
+    data.close()
     points = np.array([d.trial if d.x is None else d.x for d in own]).reshape(number, width + 1)
     return labels, points[:, :-1], points[:, -1]
 
@@ -235,9 +254,9 @@ def network_of_words(df: DataFrame, features: str, label: str, units: int = 209,
     of the mean loss, and one step of moments (Adam) of all weights on the driver, until the loss is under `enough`. Weights
     are in single precision: 54,000 words of 209 units are 45 MB, which each task gets and sends once a round, and the
     driver holds four times; 11,000 words take 9 MB. Counts of words enter as log(1 + count)."""
-    data, labels, width = packed(df, features, label)
+    data = packed(df, features, label)
+    labels, width, total = data.labels, data.width, data.rows
     spark, number = df.sparkSession, len(labels)
-    total = summed(data, lambda rows: np.array([sum(len(r) for r in rows)], dtype=np.float64))[0]
     rng = np.random.default_rng(seed)
     spread = lambda a, b, fan: rng.uniform(-1, 1, (a, b)).astype(np.float32) * np.float32(np.sqrt(6 / fan))
     # the few words that a row has are what a unit of the first layer adds up
@@ -266,7 +285,7 @@ def network_of_words(df: DataFrame, features: str, label: str, units: int = 209,
                 part.back(back.astype(np.float32), down[0])
             return slope
 
-        found = summed(data, sums, flat.nbytes) / np.float32(total)
+        found = summed(data, sums, flat.nbytes, order=True) / np.float32(total)
         sent.destroy()
         if found[-1] < enough:
             break
@@ -274,7 +293,7 @@ def network_of_words(df: DataFrame, features: str, label: str, units: int = 209,
         mean += np.float32(0.1) * (slope - mean)
         square += np.float32(0.001) * (slope * slope - square)
         flat = flat - np.float32(rate) * (mean / np.float32(1 - 0.9**turn)) / (np.sqrt(square / np.float32(1 - 0.999**turn)) + np.float32(1e-8))
-    data.unpersist()
+    data.close()
     return labels, parts(flat)
 
 
