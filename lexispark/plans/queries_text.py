@@ -232,10 +232,10 @@ def _(t: Tables):
     return fuzzy.unanimous(new, known, "descr", "cls", "descr", 0.95).withColumn("mean_similarity", F.round("mean_similarity", 6))
 
 
-@query("J14_match_counts", _NEAR + "SELECT descr, count(*) AS n_matches, count(DISTINCT cls) AS n_classes, round(avg(jaro), 6) AS mean_similarity FROM j WHERE jaro >= 0.90 GROUP BY 1")
+@query("J14_match_counts", _NEAR + "SELECT descr, count(*) AS n_matches, count(DISTINCT cls) AS n_classes, round(avg(jaro), 6) AS mean_similarity FROM j WHERE jaro >= 0.80 GROUP BY 1")
 def _(t: Tables):
     new, known = near_lines(t)
-    return fuzzy.unanimous(new, known, "descr", "cls", "descr", 0.90).select("descr", "n_matches", "n_classes", F.round("mean_similarity", 6).alias("mean_similarity"))
+    return fuzzy.unanimous(new, known, "descr", "cls", "descr", 0.80).select("descr", "n_matches", "n_classes", F.round("mean_similarity", 6).alias("mean_similarity"))
 
 
 @query("C1_jaro_nearest", _LINES + "SELECT descr, arg_min(cls, idx) AS prediction, max(jaro) AS similarity FROM (SELECT *, max(jaro) OVER (PARTITION BY descr) AS top FROM j) WHERE jaro = top GROUP BY 1")
