@@ -65,6 +65,34 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out.select("a", "b", F.round("r", 4).alias("r"))
 
 
+def sparse_correlations(df: DataFrame, features: str, least: float) -> DataFrame:
+    """A19 for sparse wide features: the pairs a < b of places of a vector column whose Pearson correlation is `least`
+    (over 0) or more, or -`least` or less: a, b, r.
+
+    Sums of products are made from the entries that stand in one row, summed before they are dealt out, so that a row
+    costs the square of its own entries and no matrix of all features is made or held. Two features that never meet in a
+    row have r = -(m_a / s_a) * (m_b / s_b) of means and deviations: only those whose share m / s can reach `least` with
+    the largest share of all are paired. Features without variance have no r; rows without a vector are left out. Shares
+    of features are nowhere collected but for the largest one."""
+    rows = df.where(F.col(features).isNotNull()).select(F.unwrap_udt(features).alias("v"))
+    places = F.coalesce("v.indices", F.transform("v.values", lambda x, i: i))
+    entries = F.filter(F.arrays_zip(places.alias("i"), F.col("v.values").alias("x")), lambda e: e["x"] != 0)
+    rows = rows.select(entries.alias("e"))
+    n = rows.count()
+    one = rows.select(F.explode("e").alias("e")).select("e.i", "e.x").groupBy("i").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    one = one.select("i", (F.col("s") / n).alias("m"), F.sqrt(F.greatest(F.lit(0.0), F.col("q") / n - (F.col("s") / n) ** 2)).alias("d")).where("d > 0")
+    pairs = rows.select(F.explode("e").alias("a"), "e").select("a", F.explode(F.filter("e", lambda e: e["i"] > F.col("a.i"))).alias("b"))
+    met = pairs.groupBy(F.col("a.i").alias("a"), F.col("b.i").alias("b")).agg(F.sum(F.col("a.x") * F.col("b.x")).alias("xy"))
+    side = lambda k: one.select(F.col("i").alias(k), F.col("m").alias(f"m{k}"), F.col("d").alias(f"d{k}"))
+    met = met.join(side("a"), "a").join(side("b"), "b").select("a", "b", ((F.col("xy") / n - F.col("ma") * F.col("mb")) / (F.col("da") * F.col("db"))).alias("r"))
+    share = F.abs(F.col("m") / F.col("d"))
+    most = one.agg(F.max(share)).first()[0] or 0.0
+    high = one.where(share * most >= least)
+    side = lambda k: high.select(F.col("i").alias(k), (F.col("m") / F.col("d")).alias(f"h{k}"))
+    never = side("a").join(side("b"), F.col("a") < F.col("b")).where(F.abs(F.col("ha") * F.col("hb")) >= least).join(met.select("a", "b"), ["a", "b"], "left_anti")
+    return met.unionByName(never.select("a", "b", (-F.col("ha") * F.col("hb")).alias("r"))).where(F.abs("r") >= least)
+
+
 def degenerate(votes: DataFrame) -> DataFrame:
     """classifiers to keep: those that predict more than one class and give no null probability."""
     per = votes.groupBy("clf").agg(F.count_distinct("prediction").cast("long").alias("n_classes"), F.count_if(F.col("prob").isNull()).cast("long").alias("n_null"))

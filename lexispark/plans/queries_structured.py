@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import functions as F
 
 from lexispark.operators import metrics, voting
@@ -231,3 +232,21 @@ def _(t: Tables):
 @query("A19_correlations", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 4) AS r FROM lineitem" for i, a in enumerate(_NUM) for b in _NUM[i + 1 :]))
 def _(t: Tables):
     return metrics.correlations(t.lineitem, _NUM)
+
+
+@query("A19_sparse_correlations", """
+WITH w AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: length(x) >= 3)) AS word FROM benchmark),
+n AS (SELECT count(*) AS n FROM benchmark), c AS (SELECT word, count(*)::DOUBLE AS k FROM w GROUP BY 1),
+m AS (SELECT a.word AS a, b.word AS b, count(*)::DOUBLE AS k FROM w a JOIN w b ON a.item_id = b.item_id AND a.word < b.word GROUP BY 1, 2)
+SELECT a, b, round((m.k / n - x.k / n * y.k / n) / sqrt((x.k / n - (x.k / n) ** 2) * (y.k / n - (y.k / n) ** 2)), 4) AS r FROM m JOIN c x ON x.word = a JOIN c y ON y.word = b, n
+WHERE x.k < n AND y.k < n AND (m.k / n - x.k / n * y.k / n) / sqrt((x.k / n - (x.k / n) ** 2) * (y.k / n - (y.k / n) ** 2)) >= 0.9""")
+def _(t: Tables):
+    """Words of the benchmark's items that go together, over all of them as features."""
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 3))
+    items = t.benchmark.select(words.alias("words"))
+    names = [r.word for r in items.select(F.explode("words").alias("word")).distinct().orderBy("word").collect()]
+    bag = CountVectorizerModel.from_vocabulary(names, inputCol="words", outputCol="v", binary=True)
+    found = metrics.sparse_correlations(bag.transform(items), "v", 0.9).where("r > 0")
+    table = t.spark.createDataFrame([(i, w) for i, w in enumerate(names)], "i int, w string")
+    found = found.join(table.select(F.col("i").alias("a"), F.col("w").alias("wa")), "a").join(table.select(F.col("i").alias("b"), F.col("w").alias("wb")), "b")
+    return found.select(F.col("wa").alias("a"), F.col("wb").alias("b"), F.round("r", 4).alias("r"))

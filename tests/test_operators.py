@@ -200,6 +200,27 @@ def test_training_takes_text_keys(spark):
     assert out and all(r.match == 1 for r in out)
 
 
+def test_sparse_correlations(spark):
+    import numpy as np
+    from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
+    from pyspark.sql import types as T
+
+    rng = np.random.default_rng(6)
+    x = (rng.random((80, 14)) < 0.2) * rng.integers(-1, 4, (80, 14)).astype(float)
+    x[:, 3], x[:, 4], x[:, 5], x[:, 6] = x[:, 2] * 2, -x[:, 1], 0, 1  # alike, opposite, never, always there
+    x[:, 7] = np.arange(80) < 45
+    x[:, 8] = 1 - x[:, 7]  # never meets 7
+    as_vector = lambda i, r: Vectors.dense(r) if i % 3 else SparseVector(14, np.flatnonzero(r).tolist(), r[np.flatnonzero(r)].tolist())
+    d = spark.createDataFrame([(as_vector(i, r), "k") for i, r in enumerate(x)] + [(None, "k")], T.StructType([T.StructField("v", VectorUDT()), T.StructField("i", T.StringType())])).repartition(3)
+    for least in (0.1, 0.5, 0.999):
+        got = {(r.a, r.b): r.r for r in metrics.sparse_correlations(d, "v", least).collect()}
+        with np.errstate(invalid="ignore"):
+            c = np.corrcoef(x.T)
+        want = {(a, b): c[a, b] for a in range(14) for b in range(a + 1, 14) if abs(c[a, b]) >= least + 1e-12}
+        assert got.keys() >= want.keys() and all(abs(r - c[k]) < 1e-9 and abs(c[k]) >= least - 1e-9 for k, r in got.items())
+    assert metrics.sparse_correlations(d.limit(0), "v", 0.5).count() == 0
+
+
 @pytest.mark.parametrize("large", [10**6, 40, 3])
 def test_medians_by_selection(spark, large):
     import random
