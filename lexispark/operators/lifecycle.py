@@ -37,13 +37,14 @@ def relabelled(train: DataFrame, requests: DataFrame, key: str, label: str, new_
 
 
 def upserted(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
-    """Target with the source's rows put in place of those of equal key, or added. Both have the same columns and
-    source one row per key. A hash join of the whole, idempotent: write it beside the old table, then swap."""
+    """Target with the source's rows put in place of those of equal key, or added; source has one row per key.
+    Columns of the target that source lacks keep their values, and are null in added rows. A hash join of the whole,
+    idempotent: write it beside the old table, then swap."""
     t, s = target.alias("t"), source.alias("s")
     rest = [c for c in target.columns if c != key]
     full = t.join(s, F.col(f"t.{key}") == F.col(f"s.{key}"), "full_outer")
     hit = F.col(f"s.{key}").isNotNull()
-    return full.select(F.coalesce(f"s.{key}", f"t.{key}").alias(key), *(F.when(hit, F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(c) for c in rest))
+    return full.select(F.coalesce(f"s.{key}", f"t.{key}").alias(key), *(F.when(hit, F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(c) if c in source.columns else F.col(f"t.{c}").alias(c) for c in rest))
 
 
 def flagged(df: DataFrame, done: DataFrame, keys: Sequence[str], flag: str, value: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexispark.plans import queries_models, queries_relational, queries_structured, queries_text  # noqa: F401
+from lexispark.plans import queries_models, queries_relational, queries_runs, queries_structured, queries_text  # noqa: F401
 from lexispark.plans.registry import QUERIES, SQL
 
 
