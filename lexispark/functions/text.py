@@ -8,6 +8,8 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexispark.functions.stems import porter_stem
+
 
 def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -48,9 +50,10 @@ def stop_words(language: str = "english") -> list[str]:
     return list(STOP_WORDS) if language == "english" else StopWordsRemover.loadDefaultStopWords(language)
 
 
-def sentence_tokens(c: Column | str, stop: Iterable[str] = (), letters_only: bool = False) -> Column:
+def sentence_tokens(c: Column | str, stop: Iterable[str] = (), letters_only: bool = False, stem: bool = False) -> Column:
     """Lower-case tokens without stop words; one with a slash and no digit is split on it. Texts that start with
-    `==` have none. letters_only is the cleaning option: all but letters and underscores become blanks first."""
+    `==` have none. letters_only is the cleaning option: all but letters and underscores become blanks first. stem puts
+    stems in the place of words, within the row; stems.stems() does each distinct word once, with lemmas if wanted."""
     text = _c(c)
     heading = text.startswith("==")
     text = F.lower(text)
@@ -61,7 +64,8 @@ def sentence_tokens(c: Column | str, stop: Iterable[str] = (), letters_only: boo
     if unwanted:
         words = F.filter(words, lambda w: ~w.isin(unwanted))
     parts = F.transform(words, lambda w: F.when(w.contains("/") & ~w.rlike("[0-9]"), F.filter(F.split(w, "/"), lambda p: p != "")).otherwise(F.array(w)))
-    return F.when(heading, F.array().cast("array<string>")).otherwise(F.flatten(parts))
+    tokens = F.flatten(parts)
+    return F.when(heading, F.array().cast("array<string>")).otherwise(F.transform(tokens, porter_stem) if stem else tokens)
 
 
 def normalized(c: Column | str | None, original: Column | str, stop: Iterable[str] = ()) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexispark.functions import corrections, similarity, text
+from lexispark.functions import corrections, similarity, stems, text
 from lexispark.operators import fuzzy
 from lexispark.plans.registry import Tables, query
 from lexispark.sources import io
@@ -248,3 +248,30 @@ def _(t: Tables):
 def _(t: Tables):
     new, known = lines(t)
     return fuzzy.nearest(new, known, "descr", "cls", "idx", "dl", by_text=True)
+
+
+# Every rule once more, in another way: the suffix by one expression that takes the longest, its new form from a map.
+_STEMS = r"""
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(regexp_replace(text, '[^a-zA-Z]', ' ', 'g')), '[a-z]+')) AS word FROM documents),
+s0 AS (SELECT word, regexp_replace(regexp_replace(word, '(^|[aeiou])y', '\1Y', 'g'), 'yy', 'yY', 'g') AS x FROM w),
+s1 AS (SELECT word, CASE WHEN x LIKE '%sses' OR x LIKE '%ies' THEN left(x, -2) WHEN x LIKE '%s' AND x NOT LIKE '%ss' THEN left(x, -1) ELSE x END AS x FROM s0 WHERE length(word) > 2),
+s2 AS (SELECT word, x, CASE WHEN x LIKE '%eed' THEN NULL WHEN regexp_matches(x, '[aeiouy].*ed$') THEN left(x, -2) WHEN regexp_matches(x, '[aeiouy].*ing$') THEN left(x, -3) END AS cut FROM s1),
+s3 AS (SELECT word, CASE WHEN x LIKE '%eed' THEN CASE WHEN regexp_matches(x, '^[^aeiouy]*[aeiouy]+[^aeiouy].*eed$') THEN left(x, -1) ELSE x END WHEN cut IS NULL THEN x WHEN regexp_matches(cut, '(at|bl|iz)$') THEN cut || 'e'
+  WHEN regexp_matches(cut, '(bb|cc|dd|ff|gg|hh|jj|kk|mm|nn|pp|qq|rr|tt|vv|ww|xx|yY)$') THEN left(cut, -1) WHEN regexp_matches(cut, '^[^aeiouy]+[aeiouy][^aeiouywxY]$') THEN cut || 'e' ELSE cut END AS x FROM s2),
+s4 AS (SELECT word, CASE WHEN regexp_matches(x, '[aeiouy].*[yY]$') THEN left(x, -1) || 'i' ELSE x END AS x FROM s3),
+t2 AS (SELECT map(string_split('ational tional enci anci izer abli alli entli eli ousli ization ation ator alism iveness fulness ousness aliti iviti biliti', ' '), string_split('ate tion ence ance ize able al ent e ous ize ate ate al ive ful ous al ive ble', ' ')) AS m),
+t3 AS (SELECT map(string_split('icate ative alize iciti ical ful ness', ' '), ['ic', '', 'al', 'ic', 'ic', '', '']) AS m),
+s5 AS (SELECT word, x, regexp_extract(x, '(ational|tional|enci|anci|izer|abli|alli|entli|eli|ousli|ization|ation|ator|alism|iveness|fulness|ousness|aliti|iviti|biliti)$', 1) AS e FROM s4),
+s6 AS (SELECT word, CASE WHEN e <> '' AND regexp_matches(left(x, length(x) - length(e)), '^[^aeiouy]*[aeiouy]+[^aeiouy]') THEN left(x, length(x) - length(e)) || (SELECT m FROM t2)[e] ELSE x END AS x FROM s5),
+s7 AS (SELECT word, x, regexp_extract(x, '(icate|ative|alize|iciti|ical|ful|ness)$', 1) AS e FROM s6),
+s8 AS (SELECT word, CASE WHEN e <> '' AND regexp_matches(left(x, length(x) - length(e)), '^[^aeiouy]*[aeiouy]+[^aeiouy]') THEN left(x, length(x) - length(e)) || (SELECT m FROM t3)[e] ELSE x END AS x FROM s7),
+s9 AS (SELECT word, x, regexp_extract(x, '(al|ance|ence|er|ic|able|ible|ant|ement|ment|ent|ion|ou|ism|ate|iti|ous|ive|ize)$', 1) AS e FROM s8),
+s10 AS (SELECT word, CASE WHEN e <> '' AND regexp_matches(left(x, length(x) - length(e)), '^[^aeiouy]*[aeiouy]+[^aeiouy]+[aeiouy]+[^aeiouy]') AND (e <> 'ion' OR regexp_matches(x, '[st]ion$')) THEN left(x, length(x) - length(e)) ELSE x END AS x FROM s9),
+s11 AS (SELECT word, CASE WHEN x LIKE '%e' AND (regexp_matches(left(x, -1), '^[^aeiouy]*[aeiouy]+[^aeiouy]+[aeiouy]+[^aeiouy]') OR (regexp_matches(left(x, -1), '^[^aeiouy]*[aeiouy]+[^aeiouy]+[aeiouy]*$') AND NOT regexp_matches(left(x, -1), '[^aeiouy][aeiouy][^aeiouywxY]$'))) THEN left(x, -1) ELSE x END AS x FROM s10)
+SELECT word, lower(CASE WHEN x LIKE '%ll' AND regexp_matches(x, '^[^aeiouy]*[aeiouy]+[^aeiouy]+[aeiouy]+[^aeiouy]') THEN left(x, -1) ELSE x END) AS stem FROM s11
+UNION ALL SELECT word, word FROM w WHERE length(word) <= 2"""
+
+
+@query("T3_stems", _STEMS)
+def _(t: Tables):
+    return stems.stems(t.documents.select(text.corpus_tokens("text").alias("w")), "w")
