@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.functions.text import corpus_tokens, reverse_key
+from lexispark.sources import workbook
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
@@ -43,11 +44,12 @@ def load_training(spark: SparkSession, csv: str, schema: str, path: str) -> None
 
 
 def load_workbook(spark: SparkSession, path: str, schema: str, batch: str, batch_column: str, to: str) -> None:
-    """One batch of a landing file, appended. Spark reads no workbooks: a CSV export, or pandas where it can."""
-    if path.endswith((".xls", ".xlsx")):
-        import pandas as pd  # needs a workbook reader, which may be missing
-
-        rows = spark.createDataFrame(pd.read_excel(path), schema)
+    """One batch of a landing file, a workbook or a CSV export of one, appended. Workbooks are read by the executors."""
+    if path.endswith(".xls"):
+        raise ValueError("the binary .xls format is not read; save the workbook as .xlsx or CSV")
+    if path.endswith(".xlsx"):
+        workbook.register(spark)
+        rows = spark.read.format("workbook").schema(schema).load(path)
     else:
         rows = read_csv(spark, path, schema)
     append(rows.where(F.col(batch_column) == batch), to)
