@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from lexispark.functions.similarity import register
 from lexispark.plans import pipeline
 from lexispark.sources import io
-from lexispark.streaming.incremental import classify_new, latest, requeued
+from lexispark.streaming.incremental import classify_keyed, classify_new, latest, requeued
 
 
 def test_sentences(spark, tmp_path):
@@ -95,6 +95,39 @@ def test_pending_rows_come_again(spark, tmp_path):
     assert spark.read.parquet(to).count() == 4
 
 
+def test_keyed_state(spark, tmp_path):
+    """Three batches with re-queued, repeated and null keys, a batch that fails once, and a new query for each."""
+    src, ck = str(tmp_path / "in"), str(tmp_path / "ck")
+    schema = "id long, part string, n int, at timestamp"
+    known, fails = {0, 2**60 + 1}, [False]
+
+    def classify(d):
+        if fails.pop():
+            raise RuntimeError("lost")
+        return d.withColumn("rev_stat", F.when(F.col("id").isin(sorted(known)), "No Review Necessary").otherwise("Pending"))
+
+    def batch(run, to, check, *ids):
+        rows = [(i, "a", None if i == 0 else 7, None) for i in ids]
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
+        for broken in (True, False) if run is classify_keyed else (False,):
+            fails[:] = [False] * 9 + [broken]
+            query = run(spark, src, schema, classify, to, check, ["id", "part"], "rev_stat")
+            try:
+                query.awaitTermination()
+            except Exception as e:
+                assert broken and "lost" in str(e)
+
+    batches = ([0, 1, 1, None, 2**60 + 1], [1, 0, 2, None], [2, 1, 3, 2**60 + 1])
+    for i, ids in enumerate(batches):
+        batch(classify_keyed, str(tmp_path / "keyed"), ck, *ids)
+        known.add(i + 1)
+    got = spark.read.parquet(str(tmp_path / "keyed"))
+    assert sorted((r.batch, -1 if r.id is None else r.id, r.rev_stat) for r in got.collect()) == [
+        (0, -1, "Pending"), (0, 0, "No Review Necessary"), (0, 1, "Pending"), (0, 2**60 + 1, "No Review Necessary"), (1, -1, "Pending"), (1, 1, "No Review Necessary"), (1, 2, "Pending"), (2, 2, "No Review Necessary"), (2, 3, "Pending"),
+    ]
+    assert {(r.id, r.n) for r in got.where("batch = 0").collect()} == {(0, None), (1, 7), (None, 7), (2**60 + 1, 7)}
+
+
 def test_sql_functions(spark):
     register(spark)
     assert tuple(spark.sql("SELECT round(jaro_sim('dear', 'bear'), 2), dl_sim('ca', 'abc'), clean_text('a-b')").first()) == (0.83, 0.33, "a b")
