@@ -53,6 +53,18 @@ def _(t: Tables):
     return features.word_vectors(t.part, "p_name", size=16, window=5)
 
 
+@query("M3_subsampled_words", """
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(regexp_replace(text, '[^a-zA-Z]', ' ', 'g')), '\\s+'), lambda x: x <> '') AS w FROM documents),
+o AS (SELECT doc_id, i - 1 AS i, w[i] AS word FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM w)),
+f AS (SELECT word, count(*) / (SELECT count(*) FROM o) AS f FROM o GROUP BY 1)
+SELECT word, count(*) AS n, count(*) FILTER (CAST('0x' || left(md5('786:' || doc_id || ':' || i || ':' || word), 8) AS BIGINT) / 4294967296e0 < (sqrt(f / 1e-3) + 1) * 1e-3 / f) AS kept FROM o JOIN f USING (word) GROUP BY 1""")
+def _(t: Tables):
+    words = t.documents.select("doc_id", text.corpus_tokens("text").alias("w"))
+    few = features.subsampled(words, "w", "doc_id")
+    marked = words.select(F.explode("w").alias("word"), F.lit(0).alias("k")).unionByName(few.select(F.explode("w").alias("word"), F.lit(1).alias("k")))
+    return marked.groupBy("word").agg(F.count_if(F.col("k") == 0).alias("n"), F.count_if(F.col("k") == 1).alias("kept"))
+
+
 @query("M3_bigram_phrases", """
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(regexp_replace(text, '[^a-zA-Z]', ' ', 'g')), '\\s+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT x, count(*) AS n FROM (SELECT unnest(w) AS x FROM w) GROUP BY 1),

@@ -329,3 +329,18 @@ def test_phrases_are_one_word(spark):
     d = spark.createDataFrame([(["a", "b", "c", "a", "b"],), (["b", "c", "d"],), ([],), (None,)], "w array<string>")
     pairs = spark.createDataFrame([("a", "b"), ("b", "c")], "a string, b string")
     assert [r.w for r in features.phrased(d, "w", pairs).collect()] == [["a_b", "c", "a_b"], ["b_c", "d"], [], []]
+
+
+def test_subsampled_words(spark):
+    from lexispark.operators import features
+
+    d = spark.createDataFrame([(i, ["often"] * 50 + [f"w{i}"]) for i in range(400)] + [(None, None), (None, []), (7, [None, "often"])], "k long, w array<string>")
+    got = features.subsampled(d, "w", "k", 0.01)
+    n = got.select(F.explode("w").alias("w")).groupBy("w").count().collect()
+    share = {r.w: r["count"] for r in n}
+    f = 20001 / 20402
+    assert abs(share["often"] / 20001 - ((f / 0.01) ** 0.5 + 1) * 0.01 / f) < 0.01 and share[None] == 1 and len(share) == 402 and got.count() == 403
+    assert sorted(map(str, got.collect())) == sorted(map(str, features.subsampled(d.repartition(3), "w", "k", 0.01).collect()))
+    assert features.subsampled(d.limit(0), "w", "k").isEmpty()
+    texts = d.where("k is not null").select("k", F.array_join("w", " ").alias("t"))
+    assert features.word_vectors(texts, "t", size=4, sample=0.01, key="k", least=1).where("word = 'often'").count() == 1
