@@ -141,3 +141,37 @@ def test_distances_of_several_at_once(a, others):
 
 def test_rounding():
     assert sim.rounded(0.845) == 0.84 and sim.rounded(2.675) == 2.67 and sim.rounded(0.125) == 0.13
+
+
+def test_cleaning_by_fewer_patterns_is_the_same(spark):
+    """Against the patterns one after the other, on texts where addresses touch; a run of signs is not tried from each."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from lexispark.functions import text
+
+    odd = ["a@b_c@d x", "x.@y@z@@w", "@@a", "a@b@c@d e_f@g", "é_a@b.c-d_e@f 12 (3) ", "  a  b-c ", "", "-", "http://a@b c@d", "+49 (0)30 1234-5678 a1b", "1@2 3.4@5", None, "a+b%c>d/e&f,,g", "Ab\tcD\n"]
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "i int, t string")
+    one = F.col("t")
+    for pattern, new in ((r"[^\x00-\x7F]+", ""), (r"https?://[^ \t\n\r]+", " "), (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", " "), (r"[+]?[0-9][0-9() .-]{6,}[0-9]", " "), (r"[0-9]+", " "), (r"[^A-Za-z ]", " "), (r" {2,}", " ")):
+        one = F.regexp_replace(one, pattern, new)
+    signs = F.regexp_replace(F.regexp_replace("t", "[^A-Za-z0-9+%.>/&]", " "), " {2,}", " ")
+    words = F.filter(F.split(F.lower(F.regexp_replace("t", "[^a-zA-Z]", " ")), r"\s+"), lambda w: w != "")
+    for r in d.select("i", F.struct(F.trim(one), signs, words).alias("a"), F.struct(text.document_clean("t"), text.charset_clean("t"), text.corpus_tokens("t")).alias("z")).collect():
+        assert tuple(r.a) == tuple(r.z), odd[r.i]
+    began = time.time()
+    assert spark.range(1).select(F.length(text.document_clean(F.repeat(F.lit("a"), 1_000_000)))).first()[0] == 1_000_000
+    assert time.time() - began < 30
+
+
+def test_known_and_new_texts_are_read_once(spark, tmp_path):
+    """What J1 and J2 join are digests, which are there; the texts are in neither plan."""
+    from lexispark.plans.queries_relational import known_texts
+    from lexispark.plans.registry import Tables
+
+    spark.createDataFrame([(1, "a b"), (2, "a, b"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    new, known = known_texts(Tables(spark, str(tmp_path)))
+    assert sorted(r.doc_id for r in new.collect()) == [2, 3] and [r.train_id for r in known.collect()] == [1]
+    assert all("regexp" not in x._jdf.queryExecution().optimizedPlan().toString() for x in (new, known))
