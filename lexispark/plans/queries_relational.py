@@ -12,7 +12,7 @@ from lexispark.operators import lifecycle as life
 from lexispark.plans import pipeline
 from lexispark.plans.queries_text import T1
 from lexispark.plans.registry import Tables, query
-from lexispark.session import shared_dir
+from lexispark.session import shared_dir, stored
 from lexispark.sources import io
 from lexispark.streaming import incremental
 
@@ -21,7 +21,7 @@ _KEYED = f"WITH d AS (SELECT doc_id, {T1.format('text')} AS k FROM documents), n
 
 def known_texts(t: Tables):
     """New texts (doc_id, k), which have no label, and known ones (train_id, k, toxic); k stands for the cleaned text."""
-    d = t.documents.select("doc_id", text.text_key(text.charset_clean("text")).alias("k"))
+    d = stored(t.documents.select("doc_id", text.text_key(text.charset_clean("text")).alias("k")), "keys")  # texts are read once
     return d.join(t.labels, "doc_id", "left_anti"), d.join(t.labels, "doc_id").select(F.col("doc_id").alias("train_id"), "k", "toxic")
 
 
