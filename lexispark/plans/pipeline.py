@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lexispark.functions import text as tx
 from lexispark.operators import classify, features, fuzzy, lifecycle, sampling, structured, voting
+from lexispark.session import stored
 from lexispark.sources import io
 
 
@@ -118,7 +119,7 @@ def classify_lines(lines: DataFrame, training: DataFrame, trained: Trained | Non
     none = F.lit("")
     exact = work.join(known, "_clean").select(key, F.col(f"_t.{label}").alias(label), F.lit(1.0).alias("confidence"), F.lit("exact").alias("origin"), none.alias("algorithms"))
     rest = work.join(known, "_clean", "left_anti")
-    near = fuzzy.nearest(rest, training, text, label, key, "jaro", least)
+    near = stored(fuzzy.nearest(rest, training, text, label, key, "jaro", least), "near")  # read once for each model and more
     fuzzy_rows = near.where("similarity is not null").select(key, F.col("prediction").alias(label), fuzzy.boosted(F.col("similarity")).alias("confidence"), F.lit("fuzzy").alias("origin"), none.alias("algorithms"))
     out = exact.unionByName(fuzzy_rows)
     left = near.where("similarity is null").select(*lines.columns)

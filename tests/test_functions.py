@@ -175,3 +175,35 @@ def test_known_and_new_texts_are_read_once(spark, tmp_path):
     new, known = known_texts(Tables(spark, str(tmp_path)))
     assert sorted(r.doc_id for r in new.collect()) == [2, 3] and [r.train_id for r in known.collect()] == [1]
     assert all("regexp" not in x._jdf.queryExecution().optimizedPlan().toString() for x in (new, known))
+
+
+def test_many_at_once_are_as_one_by_one():
+    """Distances by a tree of prefixes, Jaro by places as bits, and the block search by either way."""
+    import random
+
+    import numpy as np
+    import pandas as pd
+
+    from lexispark.functions import similarity
+    from lexispark.operators import fuzzy
+
+    draw = random.Random(5)
+    texts = ["".join(draw.choice("abcd\u00e9") for _ in range(draw.choice([0, 1, 2, 5, 9, 20]))) for _ in range(150)] + ["b" * 64]
+    sizes = np.array([len(x) for x in texts])
+    codes = np.zeros((len(texts), 64), dtype=np.uint32)
+    for i, x in enumerate(texts):
+        codes[i, : len(x)] = np.frombuffer(x.encode("utf-32-le"), dtype=np.uint32)
+    tree, places = similarity.Prefixes(codes, sizes), similarity.Places(codes, sizes)
+    for a in [*texts[:40], "", "zab", "a" * 70, "abc" * 30]:
+        assert tree.distances(a).tolist() == [similarity.damerau_levenshtein(a, b) for b in texts]
+        some = np.arange(0, len(texts), 2)
+        assert places.jaro(a, some).tolist() == [similarity.jaro(a, texts[i]) for i in some]
+    known, new = pd.DataFrame({"k_text": [*dict.fromkeys(texts)]}), pd.DataFrame({"n_text": [x[::-1] + "d" for x in texts[:30]], "n_least": [None, 0.4, None] * 10})
+    for measure, one in (("jaro", similarity.jaro), ("dl", similarity.dl_similarity)):
+        got = {(r.n_text, r.k_text) for r in fuzzy._best(known, new, measure).itertuples()}
+        want = set()
+        for text, least in zip(new["n_text"], new["n_least"]):
+            two = {b: np.floor(one(text, b) * 100 + 0.5 + 1e-9) / 100 for b in known["k_text"]}
+            bar = max(two.values()) if least != least else least
+            want |= {(text, b) for b, x in two.items() if x >= bar}
+        assert got == want
