@@ -17,6 +17,7 @@ from lexispark.functions import corrections
 from lexispark.functions import text as tx
 from lexispark.operators import classify, lifecycle, metrics, sampling
 from lexispark.plans import pipeline
+from lexispark.session import stored
 from lexispark.sources import io
 
 #: What makes a line one line; nulls are equal here.
@@ -32,9 +33,11 @@ def _by_key(df: DataFrame, other: DataFrame, how: str) -> DataFrame:
 def work_list(history: DataFrame, report: DataFrame) -> DataFrame:
     """The lines a run has to classify: Unprocessed ones that have no settled row in the report (a run that broke off
     before it flagged them has left one), and those whose row still stands at Pending."""
-    settled, pending = report.where("rev_stat <> 'Pending'"), report.where("rev_stat = 'Pending'")
+    has = lambda x: F.coalesce(F.bool_or(x), F.lit(False))
+    known = report.groupBy(*(F.col(k).alias(f"_{k}") for k in KEY)).agg(has(F.col("rev_stat") != "Pending").alias("_settled"), has(F.col("rev_stat") == "Pending").alias("_pending"))
+    both = history.join(known, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEY], "left")  # a row for each line: known has a key once
     fresh = F.coalesce(F.col("processed_flag") == "Unprocessed", F.lit(False))
-    return _by_key(history.where(fresh), settled, "left_anti").unionByName(_by_key(_by_key(history.where(~fresh), pending, "left_semi"), settled, "left_anti"))
+    return both.where(~F.coalesce("_settled", F.lit(False)) & (fresh | F.coalesce("_pending", F.lit(False)))).select(*history.columns)
 
 
 def distinct_lines(work: DataFrame) -> DataFrame:
@@ -102,7 +105,7 @@ def classification_run(spark: SparkSession, root: str, trained: pipeline.Trained
     fields = history.drop("processed_flag", "last_name", "first_name").schema
     none = spark.createDataFrame([], fields).withColumns({"rev_stat": F.lit("Pending"), "conf_score": F.lit(0.0)})
     report = spark.read.parquet(at("report")) if pipeline.table_exists(spark, at("report")) else none
-    work = work_list(history, report)
+    work = stored(work_list(history, report), "work")  # read for its texts, for its rows and for what they replace
     io.replace(classified_texts(distinct_lines(work), training, trained, abbreviations, important), at("classified"))
     texts = spark.read.parquet(at("classified"))
     io.replace(report_after(report, work, reported(work, texts), threshold), at("report"))

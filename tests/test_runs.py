@@ -89,3 +89,14 @@ def test_training_run(spark, tmp_path):
     io.replace(spark.read.parquet(f"{root}/requests").limit(0), f"{root}/requests")
     io.replace(spark.read.parquet(f"{root}/reviews").where("rev_stat = 'Pending'"), f"{root}/reviews")
     assert runs.training_run(spark, root, f"{root}/models", "20260103000000", "2026-01-03", which=which, least=10) is None
+
+
+def test_work_list_takes_one_join(spark, tmp_path):
+    """Lines with settled and Pending rows at once, with neither, and with a status of null."""
+    root = str(tmp_path)
+    laid_out(spark, root)
+    history, report = spark.read.parquet(f"{root}/history"), spark.read.parquet(f"{root}/report")
+    more = [(1, 1, "red bolt", "d1", None, 0.1), (2, 1, "blue widgt", "d1", "Approved", 0.1), (2, 1, "blue widgt", "d1", "Pending", 0.1), (3, 1, None, None, "Pending", 0.1), (3, 1, None, None, "Pending", 0.1), (6, 1, "", "d1", "Pending", 0.1)]
+    work = runs.work_list(history, report.unionByName(spark.createDataFrame(more, report.schema)))
+    assert sorted(r.clm_id for r in work.collect()) == [1, 1, 3, 4, 6] and work.columns == history.columns
+    assert work._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
