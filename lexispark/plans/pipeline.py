@@ -49,12 +49,16 @@ class Trained:
         return self.selector.transform(out) if self.selector is not None else out.withColumn("selected", F.col("features"))
 
     def classified(self, df: DataFrame, row: str) -> DataFrame:
-        """Votes, boosted, put to the vote, with a confidence: row_id, vote, algorithms, n_agree, confidence."""
-        data = df if self.bag is None else self.featured(df)
-        long = classify.votes(self.models, data, "selected", row)
+        """Votes, boosted, put to the vote, with a confidence: row_id, vote, algorithms, n_agree, confidence. The models
+        look at the text alone, so each distinct one is classified once."""
+        texts = stored(df.select(self.text).distinct(), "texts")
+        data = texts if self.bag is None else self.featured(texts)
+        long = classify.votes(self.models, data, "selected", self.text)
         long = long.withColumn("prob", voting.band_boosted(F.col("clf"), F.col("prob")))
-        out = voting.majority(long)
-        return out.withColumn("confidence", voting.confidence(F.col("n_agree"), F.col("sum_prob"))).drop("mean_prob", "sum_prob")
+        out = voting.majority(long).withColumnRenamed("row_id", "_text")
+        out = out.withColumn("confidence", voting.confidence(F.col("n_agree"), F.col("sum_prob"))).drop("mean_prob", "sum_prob")
+        rows = df.select(F.col(row).alias("row_id"), F.col(self.text).alias("_own"))
+        return rows.join(out, F.col("_own").eqNullSafe(F.col("_text"))).drop("_own", "_text")
 
     def save(self, spark: SparkSession, root: str, stamp: str) -> str:
         """To a folder of its own below root; returns the folder."""
@@ -84,11 +88,13 @@ class Trained:
 def train(df: DataFrame, text: str, label: str, key: str, which: list[classify.Classifier] | None = None, concepts: dict[str, list[str]] | None = None, size: int = 100, window: int = 10) -> Trained:
     """Features, selection and all classifiers, fitted on these rows alone. All words are features; with `concepts`
     (name: key words) so are the similarities to them, by word vectors learned from the same texts with their frequent
-    phrases joined."""
+    phrases joined. Rows of equal text and class are put together first, with their number as a weight, so that passes
+    over the rows grow with what is distinct; classifiers that take no weights get all rows."""
     which = which or classify.registry()
     up = sampling.upsampled(df, label, key).drop("copy")
+    texts = stored(up.groupBy(text, label).agg(F.min(F.struct(key)).alias("_first"), F.count("*").alias("_copies")).select(text, label, F.col(f"_first.{key}").alias(key), "_copies"), "texts")
     if all(c.on_text for c in which):
-        return Trained(None, None, classify.trained(up, text, "", label, key, which), text)
+        return Trained(None, None, classify.trained(texts, text, "", label, key, which), text)
     bag = features.bag_of_words(text, "features").fit(up)
     vectors = None
     if concepts:
@@ -96,10 +102,8 @@ def train(df: DataFrame, text: str, label: str, key: str, which: list[classify.C
         learned = features.word_vectors(df, text, size=size, window=window, phrases=phrases)
         vectors = {r.word: np.array(r.vector) for r in learned.collect()}
     model = Trained(bag, None, {}, text, vectors, concepts if vectors else None)
-    data = model.featured(up).drop("selected")
-    model.selector = features.varying(data, "features")
-    data = model.selector.transform(data) if model.selector is not None else data.withColumn("selected", F.col("features"))
-    model.models = classify.trained(data, text, "selected", label, key, which)
+    model.selector = features.varying(model.featured(texts), "features", copies="_copies")
+    model.models = classify.trained(model.featured(up), text, "selected", label, key, which, model.featured(texts), "_copies")
     return model
 
 

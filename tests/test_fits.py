@@ -31,6 +31,14 @@ def test_all_regressions_at_once_are_the_single_ones(spark):
         assert np.abs(one.coefficients.toArray() - weights[k]).max() < 1e-3 and abs(one.intercept - bias[k]) < 1e-3
 
 
+@pytest.mark.parametrize("fit", [lambda d, **o: fits.logistic_of_all(d, "v", "y", rounds=20, **o), lambda d, **o: fits.network_of_words(d, "v", "y", units=8, rounds=5, **o)])
+def test_a_weight_stands_for_equal_rows(spark, fit):
+    few = some(spark, rows=60).withColumn("n", F.col("k") % 4 + 1)
+    (names, *many), (same, *once) = fit(few.withColumn("n", F.explode(F.sequence(F.lit(1), "n")))), fit(few, weight="n")
+    flat = lambda found: np.concatenate([np.ravel(x) for part in found for x in (part if isinstance(part, list) else [part])])
+    assert names == same and np.abs(flat(many) - flat(once)).max() < 1e-3
+
+
 def jobs(spark, run):
     spark.sparkContext.setJobGroup("fit", "fit")
     before = set(spark.sparkContext.statusTracker().getJobIdsForGroup("fit"))

@@ -200,6 +200,34 @@ def test_training_takes_text_keys(spark):
     assert out and all(r.match == 1 for r in out)
 
 
+def test_equal_texts_are_learned_and_classified_once(spark):
+    from lexispark.operators import classify, features
+    from lexispark.plans import pipeline
+
+    d = spark.createDataFrame([(i, ["red bolt", "blue gear", "old ring"][i % 3], "abc"[i % 3]) for i in range(600)], "k long, t string, c string")
+    seen = []
+
+    class Told:
+        def predict(self, df, _):
+            seen.append(df.count())
+            return df.withColumn("prediction", F.lit("a")).withColumn("prob", F.lit(1.0))
+
+    def told(df, features, label, copies=None):
+        seen.append((df.count(), copies and df.agg(F.sum(copies)).first()[0]))
+        return Told()
+
+    train, _, _ = sampling.hold_out_with_classes(d, "k", "c", 0.3)
+    n = train.count()
+    out = pipeline.train_and_classify(d, "t", "c", "k", 0.3, [classify.Classifier("W", told, weighted=True), classify.Classifier("P", lambda df, f, l: told(df, f, l))]).collect()
+    assert seen == [(3, n), (n, None), 3, 3] and sorted(r.k for r in out) == sorted({r.k for r in d.collect()} - {r.k for r in train.collect()})
+
+    bag = features.bag_of_words("t", "f").fit(d).transform(d.withColumn("t", F.when(F.col("k") == 7, "red red gear").otherwise(F.col("t"))))
+    once = bag.groupBy("t", "f").agg(F.count("*").alias("n"))
+    for deviation in (0.03, 0.41, 0.4715, 1.0):
+        every, few = features.varying(bag, "f", deviation=deviation), features.varying(once, "f", deviation=deviation, copies="n")
+        assert (every and [*every.selectedFeatures]) == (few and [*few.getIndices()])
+
+
 def test_sparse_correlations(spark):
     import numpy as np
     from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
