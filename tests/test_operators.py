@@ -228,6 +228,31 @@ def test_equal_texts_are_learned_and_classified_once(spark):
         assert (every and [*every.selectedFeatures]) == (few and [*few.getIndices()])
 
 
+def test_phrases_are_counted_in_parts_of_bounded_size(spark, monkeypatch):
+    import random
+    from collections import Counter
+
+    from lexispark.operators import features
+
+    rng = random.Random(4)
+    names = [x + y for x in "abcdefgh" for y in "klmno"]
+    texts = [" ".join(rng.choices(["the", *names], [600, *range(1, 41)], k=rng.randint(0, 30))) + " new york" * (i % 3) for i in range(150)] + [None, "", "york"]
+    words = [t.split() for t in texts if t]
+    n, pairs = Counter(w for t in words for w in t), Counter(p for t in words for p in zip(t, t[1:]))
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    monkeypatch.setattr(features, "PAIRS", 100, raising=False)
+    for least, score, common in ((2, 0.2, 10_000), (2, 0.02, 10_000), (2, 0.02, 1), (1, 0.0, 10_000), (0, 0.05, 10_000)):
+        monkeypatch.setattr(features, "COMMON", common, raising=False)
+        found = features.bigram_phrases(d, "t", least, score)
+        worth = {p: (k - least) * len(n) / (n[p[0]] * n[p[1]]) for p, k in pairs.items() if k >= least}
+        want = sorted((*p, pairs[p], round(x, 6)) for p, x in worth.items() if x > score)
+        assert want and [(r.a, r.b, r.n, pytest.approx(r.score, abs=2e-6)) for r in sorted(found.collect())] == want
+        parts = 1 + sum(n.values()) // 100
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(f"], {parts}") + plan.count(f"Repartition {parts}, true") == 2, plan
+    assert features.bigram_phrases(d.where("false"), "t").collect() == []
+
+
 def test_sparse_correlations(spark):
     import numpy as np
     from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
